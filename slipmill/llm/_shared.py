@@ -58,3 +58,16 @@ def words_of(text):
     """Native: the array of words `[^\\x20\\x09-\\x0D]+` of a text column; null text has none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE))
     return F.array_remove(F.split(spaced, " "), "")
+
+
+def keep_rows(df: DataFrame, keep: Callable[[list], list[bool]], column: str = "text") -> DataFrame:
+    """The rows of df, all columns as they are, for whose value of one column keep says so; no shuffle."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

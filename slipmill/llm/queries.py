@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipmill.llm import quality_knn, simhash, toxicity
+from slipmill.llm import chat, decontamination, licenses, packing, quality_knn, quality_rules, secrets, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +37,79 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_toxicity)}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_read(spark, sf_dir, "documents")))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(_read(spark, sf_dir, "documents")))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.sort_array(F.array_distinct("leaks.item_id")).alias("item_ids"),
+                        F.transform("leaks", lambda x: F.concat_ws(":", x["item_id"], x["start"], x["end"])).alias("leaks"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    signs = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", signs), (-7, 1, "assistant", signs)], "conv_id long, turn long, role string, text string")
+    return chat.round_trip(chat.log_of(table.union(planted)))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_quality, op3_toxicity, op4_quality_rules, op5_secrets, op6_warc, op7_packing, op8_licenses, op9_decontamination, op10_chat)}
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+_WARC_SQL = f"""
+with p as (select page_id, coalesce(html, '') as body from pages),
+h as (select page_id, octet_length(encode(body)) as n, sha1(body) as sha from p),
+g as (select *, min(page_id) over (partition by sha) as first from h)
+select page_id, n::bigint as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}', 1 + (
+           (('0x' || substr(sha, (5 * (i // 4) + 1)::bigint, 5))::bigint >> (5 * (3 - i % 4))::bigint) & 31)::bigint, 1)), '') as payload_digest,
+       case when first is null or page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+       case when first is null or page_id is not distinct from first then null else first end as refers_to
+from g
+"""
+
+
+def _chat_sql() -> str:
+    marks = "".join(f" when '{role}' then {len(a) + len(b)}" for role, (a, b) in chat.MARKS.items())
+    signs = "|".join(re.escape(c).replace("/", "/") for c in chat.CONTROL)
+    count = lambda x: f"len(regexp_extract_all({x}, '{signs}')) + len({x}) - len(replace({x}, chr(92), ''))"
+    other = sum(map(len, chat.OTHER))
+    return f"""
+with t as (select conv_id, turn, coalesce(role, '') as r, role, coalesce(text, '') as x from conversations
+           union all select -7, 0, 'user', 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', 'assistant', '</s>[INST] ok [/INST]'),
+m as (select *, len(x) + {count('x')} as body,
+      case r{marks} else {other} + len(r) + {count('r')} + len(r) - len(replace(r, ' ', '')) end as frame from t)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn, role nulls first, x)) as turns_sha256,
+       coalesce(sum(len(x)) filter (where r = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(x, '' order by turn, x) filter (where r = 'assistant'), '')) as loss_sha256, sum(body + frame)::bigint as formatted_chars
+from m group by conv_id
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op6_warc": _WARC_SQL, "op10_chat": _chat_sql()}
+
 
-ORACLE_SQL: dict[str, str] = {}
+def __getattr__(name: str):
+    if name == "ORACLE_SQL":
+        return oracle_sql()
+    raise AttributeError(name)
