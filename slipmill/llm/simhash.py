@@ -63,12 +63,13 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every document."""
+    """doc_id, fp (the fingerprint as a signed long) and th (a hash of the text) of every document."""
 
     def rows(batch: dict) -> dict:
-        return {"doc_id": batch["doc_id"], "fp": [fingerprint(t) for t in batch["text"]]}
+        return {"doc_id": batch["doc_id"], "fp": [fingerprint(t) for t in batch["text"]], "th": batch["th"]}
 
-    return map_rows(docs, rows, "doc_id long, fp long", ["doc_id", "text"])
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    return map_rows(hashed, rows, "doc_id long, fp long, th long", ["doc_id", "text", "th"])
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -218,19 +219,33 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, shard: int = 2048, tile: int = 8192, sample: int = 20000) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document of docs (doc_id, text)."""
-    prints = cut(fingerprints(docs))
+def members(prints: DataFrame, shard: int = 2048, tile: int = 8192, sample: int = 20000) -> DataFrame:
+    """fp and component_id of every distinct fingerprint of prints (doc_id, fp)."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
     found = components(links(classes.where("id is not null"), shard, tile, sample))
-    member = classes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(member, "fp").select(
+    return classes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shard: int = 2048, tile: int = 8192, sample: int = 20000) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every document of docs (doc_id, text)."""
+    prints = cut(fingerprints(docs).select("doc_id", "fp"))
+    return prints.join(members(prints, shard, tile, sample), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest doc_id stays, once."""
-    found = cut(near_duplicates(docs.select("doc_id", "text")))
-    out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """docs without near copies: of each component one row with the smallest doc_id stays, all its columns as they are.
+
+    A row is known by its doc_id and a hash of its text. Rows without a doc_id go if a numbered one has their fingerprint;
+    else one row of each fingerprint stays.
+    """
+    prints = cut(fingerprints(docs))
+    owned = prints.join(members(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = owned.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("_alone")).agg(F.min("th").alias("_th")).select(F.col("doc_id").alias("_id"), "_th")
+    th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    out = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left_semi")
+    repeated = prints.groupBy("doc_id", "th").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return out
+    name = next(n for n in ("_row", "_row_", "_row__") if n not in docs.columns)
+    return out.withColumn(name, F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", name]).drop(name)

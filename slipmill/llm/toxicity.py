@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipmill.llm._shared import map_rows
+from slipmill.llm._shared import keep_rows, map_rows
 
 #: Width of the hashed features, labelled rows of either kind at most, and remembered words per worker at most.
 WIDTH, LIMIT, MEMORY = 1 << 17, 800, 1_000_000
@@ -241,6 +241,21 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return map_rows(docs, rows, "doc_id long, score double, spans array<struct<start:int,end:int>>", ["doc_id", "text"])
 
 
+def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    memory: dict[str, float] = {}
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        line = shared.value["line"]
+        if line is None:
+            return [True] * len(texts)
+        x = np.array([[*summary(p), 1.0] for p in tag(shared.value, texts, memory)])
+        return (1 / (1 + np.exp(-np.clip(x @ line, -30, 30))) < threshold).tolist()
+
+    return keep_rows(docs, keep)
+
+
 def offsets(text: str, p: np.ndarray) -> list[dict]:
     """Runs of toxic tokens as code point spans."""
     hot, out = p > 0.5, []
