@@ -1,4 +1,6 @@
 """Registered queries of the receipt operators and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from slipmill.plans import text_queries
+
+QUERIES: dict = {**text_queries.QUERIES}
+ORACLE_SQL: dict = {**text_queries.ORACLE_SQL}
