@@ -1,7 +1,8 @@
 """WARC archives: written with revisit records for equal payloads, and read back by boundary-chain verification.
 
 Writing. The SHA-1 of each payload is grouped to the smallest id; that record is the response, the others refer to it.
-Payloads cross the one shuffle compressed. Spark's text writer commits the files, with the blank lines that end a record
+Only repeated
+digests are kept; up to a checked number they are broadcast, beyond it payloads cross one shuffle, compressed. Spark's text writer commits the files, with the blank lines that end a record
 as its line separator, so a lost executor leaves no half record.
 
 Reading. Files are split anywhere. Spark's text reader cuts each split at the magic line ``WARC/1.1``; a piece between
@@ -36,6 +37,8 @@ from slipmill.llm._shared import cut, map_rows, shared_dir
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 #: Time stamp of written records; archives of equal pages are equal.
 DATE = "1970-01-01T00:00:00Z"
+#: Most repeated digests that are broadcast (about 100 bytes each); with more of them payloads are shuffled to the digests.
+SMALL = 500_000
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -61,6 +64,9 @@ def write(pages: DataFrame, path: str, least: int = 0, records: int = 20_000) ->
     marked = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
     firsts = pages.select("page_id", F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("n")).where(F.col("n") >= least)
     firsts = firsts.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1").select("sha", "first")
+    firsts = cut(firsts)
+    if firsts.count() <= SMALL:  # no payload is shuffled then
+        firsts = F.broadcast(firsts)
 
     def pack(batch: dict) -> dict:
         return {k: batch[k] for k in ("page_id", "url", "sha")} | {"body": [zlib.compress(t.encode(), 1) for t in batch["html"]]}
