@@ -62,7 +62,7 @@ def _url_pairs(url: Column) -> Column:
         F.lower(unescaped(F.substring(p, F.lit(1), F.instr(p, F.lit("=")) - 1))).alias("key"),
         unescaped(F.substring(p, F.instr(p, F.lit("=")) + 1, F.length(p))).alias("value")))
     named = F.filter(named, lambda p: p["key"].isin(*P.QR_PARAMETERS))
-    last = lambda k: F.element_at(F.filter(named, lambda p: p["key"] == k), -1)["value"]
+    last = lambda k: F.try_element_at(F.filter(named, lambda p: p["key"] == k), F.lit(-1))["value"]
     keys = F.array_distinct(F.transform(named, lambda p: p["key"]))
 
     def value(k: Column) -> Column:
