@@ -2,11 +2,11 @@
 
 States: plain and toxic. The training tokens get their labels from the document labels of a bounded sample (``limit``
 rows of either label, a documented parameter): a token of a toxic document is toxic if its word, or a stem of four to
-six of its letters, stands so much more often in the sample's toxic documents than in its clean ones that chance does
+six of its letters, stands in so many more of the sample's toxic documents than of its clean ones that chance does
 not explain it (a likelihood ratio test). The field has one hashed weight vector over word, prefix, suffix and shape
 features and a transition matrix, trained by gradient ascent on the exact log-likelihood (forward-backward). Scoring
 runs forward-backward over every token of every whole text; the marginals give the offending offsets, and a calibrated
-logistic function of the largest and the summed marginal gives the document's score.
+logistic function of the two largest and the summed marginals gives the document's score.
 
 Defined cases: null and empty texts, and texts without a word, have the score of a document without toxic tokens and no
 spans; null labels are not learnt from; a sample without toxic or without clean rows gives every document the score 0;
@@ -64,15 +64,17 @@ def lexicon(toxic: list[list[str]], clean: list[list[str]], doubt: float = 0.05)
     """Words and stems that the sample proves to be toxic: a share of toxic texts over 0.9 at even odds, and a likelihood
     ratio that chance gives none of the stems tried (``doubt`` over all of them together).
 
-    A stem counts once for each pair of neighbours it stands between, so copies of a text prove nothing.
+    A stem counts once for each document in which it stands between neighbours that no document before had, so neither copies
+    of a text nor a word that one text repeats prove anything.
     """
     tally, total = [Counter(), Counter()], [1, 1]
     for side, docs in enumerate((clean, toxic)):
-        seen = {c for words in docs for c in zip(words, ["", *words], [*words[1:], ""], strict=False)}
-        total[side] += len(seen)
-        for w, n in Counter(c[0] for c in seen).items():
-            for stem in stems(w):
-                tally[side][stem] += n
+        seen: set[tuple[str, str, str]] = set()
+        for words in docs:
+            new = set(zip(words, ["", *words], [*words[1:], ""], strict=False)) - seen
+            seen |= new
+            total[side] += bool(new)
+            tally[side].update({stem for w in {c[0] for c in new} for stem in stems(w)})
     odds, least, out = total[1] / total[0], 2 * np.log(max(2, len(tally[1])) / doubt), set()
     for stem, a in tally[1].items():
         b = tally[0][stem]
@@ -177,15 +179,22 @@ def fit(toxic: list[str | None], clean: list[str | None], rounds: int = 40, rate
         trans += rate * grad_trans / np.sqrt(square_trans)
         bias += rate * grad_bias / np.sqrt(square_bias)
     model |= {"weight": weight.astype(np.float32), "bias": bias, "trans": trans}
-    x = np.array([summary(p) for at in range(0, len(texts), 256) for p in tag(model, texts[at : at + 256], {})])
+    x = np.array([summary(*t) for at in range(0, len(texts), 256) for t in tag(model, texts[at : at + 256], {})])
     model["line"] = _line(x, np.repeat([1.0, 0.0], [len(toxic), len(clean)]))
     return model
 
 
-def summary(p: np.ndarray) -> tuple[float, float]:
-    """Of a text's marginals: the logit of the largest, and the logarithm of one plus the sum over 0.05."""
-    top = min(max(float(p.max()) if len(p) else 0.0, 1e-4), 1 - 1e-4)
-    return float(np.log(top / (1 - top))), float(np.log1p(p[p > 0.05].sum()))
+def summary(words: list[str], p: np.ndarray) -> tuple[float, float, float]:
+    """Of a text's tokens and their marginals: the logits of the largest and of the largest of another word, and the logarithm of one plus
+    the sum over 0.05. Each word counts once, so a line that repeats is no more toxic than one."""
+    best: dict[str, float] = {}
+    for i in np.flatnonzero(p > 0.05).tolist():
+        word = normal(words[i])
+        best[word] = max(best.get(word, 0.0), float(p[i]))
+    ranked = sorted(best.values(), reverse=True)
+    top = ranked[0] if ranked else float(p.max()) if len(p) else 0.0
+    logit = lambda v, least: float(np.log(min(max(v, least), 1 - 1e-4) / (1 - min(max(v, least), 1 - 1e-4))))
+    return logit(top, 1e-4), logit(ranked[1] if len(ranked) > 1 else 0.0, 0.01), float(np.log1p(sum(ranked)))
 
 
 def _line(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -200,15 +209,15 @@ def _line(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def tag(model: dict, texts: list[str | None], memory: dict[str, float]) -> list[np.ndarray]:
-    """Marginals of every token of every text. memory: token scores, kept between calls and emptied when full."""
+def tag(model: dict, texts: list[str | None], memory: dict[str, float]) -> list[tuple[list[str], np.ndarray]]:
+    """The tokens of every text and their marginals. memory: token scores, kept between calls and emptied when full."""
     weight, bias, words = model["weight"], model["bias"], [_WORD.findall(t or "") for t in texts]
     if len(memory) > MEMORY:
         memory.clear()
     if new := [*set().union(*words).difference(memory)]:
         flat, owner = features(new)
         memory.update(zip(new, (np.bincount(owner, weight[flat], len(new)) + bias).tolist(), strict=True))
-    return marginals([np.fromiter(map(memory.__getitem__, ws), np.float64, len(ws)) for ws in words], model["trans"])
+    return list(zip(words, marginals([np.fromiter(map(memory.__getitem__, ws), np.float64, len(ws)) for ws in words], model["trans"]), strict=True))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = LIMIT) -> dict:
@@ -232,8 +241,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         if model["line"] is None:
             none = [0.0] * len(batch["text"]), [[]] * len(batch["text"])
             return {"doc_id": batch["doc_id"], "score": none[0], "spans": none[1]}
-        for text, p in zip(batch["text"], tag(model, batch["text"], memory), strict=True):
-            x = np.array([*summary(p), 1.0]) @ model["line"]
+        for text, (words, p) in zip(batch["text"], tag(model, batch["text"], memory), strict=True):
+            x = np.array([*summary(words, p), 1.0]) @ model["line"]
             scores.append(float(1 / (1 + np.exp(-np.clip(x, -30, 30)))))
             spans.append(offsets(text or "", p) if len(p) and p.max() > 0.5 else [])
         return {"doc_id": batch["doc_id"], "score": scores, "spans": spans}
@@ -250,7 +259,7 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFram
         line = shared.value["line"]
         if line is None:
             return [True] * len(texts)
-        x = np.array([[*summary(p), 1.0] for p in tag(shared.value, texts, memory)])
+        x = np.array([[*summary(*t), 1.0] for t in tag(shared.value, texts, memory)])
         return (1 / (1 + np.exp(-np.clip(x @ line, -30, 30))) < threshold).tolist()
 
     return keep_rows(docs, keep)
