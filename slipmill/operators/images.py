@@ -11,8 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GRAY = "struct<width:int,height:int,pixels:binary>"
+_GRAY = T.StructType().add("width", T.IntegerType()).add("height", T.IntegerType()).add("pixels", T.BinaryType())
 #: Mean and deviation of the three channels of detection input.
 MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
@@ -82,7 +84,7 @@ def gray(a: np.ndarray) -> dict:
 def per_image(change: Callable[[np.ndarray, tuple], np.ndarray]) -> Callable[..., Column]:
     """A column function (image, *parameters) -> image from a NumPy function of one image's pixels and its row's parameters."""
 
-    @F.pandas_udf(GRAY)
+    @F.pandas_udf(_GRAY)
     def run(image: pd.DataFrame, parameters: pd.DataFrame) -> pd.DataFrame:
         rows = zip(image.to_dict("records"), parameters.itertuples(index=False), strict=True)
         return pd.DataFrame([gray(change(pixels(i), tuple(p))) for i, p in rows], columns=["width", "height", "pixels"])

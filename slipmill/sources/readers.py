@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slipmill.operators.images import GRAY
+
 EMPTY, UNDECODED = "EmptyInput", "Decode"
 
 
@@ -14,10 +18,15 @@ def _guard(path: str | None) -> str:
     return path
 
 
+def checked(df: DataFrame) -> DataFrame:
+    """doc_id, content and error_kind of byte documents; those without bytes are errors."""
+    return df.select("doc_id", "content", F.when(F.coalesce(F.length("content"), F.lit(0)) == 0, EMPTY).alias("error_kind"))
+
+
 def binaries(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """doc_id (the path), content and error_kind of every file; empty files are errors."""
+    """doc_id (the path), content and error_kind of every file. Spark's reader passes over files of no bytes."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(_guard(path))
-    return df.select(F.col("path").alias("doc_id"), "content", F.when(F.col("length") == 0, EMPTY).alias("error_kind"))
+    return checked(df.select(F.col("path").alias("doc_id"), "content"))
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -33,11 +42,6 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 def decoded(df: DataFrame) -> DataFrame:
     """Gray images of Spark's image structs (doc_id, image): luma of blue, green, red (and alpha, not used)."""
-    import numpy as np
-    import pandas as pd
-
-    from slipmill.operators.images import GRAY
-
     @F.pandas_udf(GRAY)
     def luma(image: pd.DataFrame) -> pd.DataFrame:
         out = []
