@@ -71,3 +71,9 @@ def keep_rows(df: DataFrame, keep: Callable[[list], list[bool]], column: str = "
                 yield part.filter(pa.array(keep(part.column(at).to_pylist()), type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def settled(column):
+    """column, in a projection that filters stay above: pushed below, they would compute long chains of expressions anew for each name
+    they mention."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
