@@ -120,15 +120,16 @@ def folded(events: Iterator[tuple]) -> Iterator[tuple]:
 _PIECES = pa.schema([("conv_id", pa.int64()), ("message", pa.int64()), ("piece", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32())])
 
 
-def formatted(events: DataFrame) -> DataFrame:
-    """conv_id, message, piece, loss_start and loss_end (code points of the piece) of every final message."""
+def formatted(events: DataFrame, dealt: bool = False) -> DataFrame:
+    """conv_id, message, piece, loss_start and loss_end (code points of the piece) of every final message. dealt: a conversation's events
+    are in one partition already, as log_of() leaves them; they are only sorted then."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _pack(((c, m, *render(role, text)) for c, m, role, text in folded(_stream(batches))), _PIECES)
 
     rows = events.select("conv_id", F.col("message").cast("long").alias("message"), F.col("seq").cast("long").alias("seq"), "kind", "role", "text")
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text")
-    return dealt.mapInArrow(run, "conv_id long, message long, piece string, loss_start int, loss_end int")
+    rows = (rows if dealt else rows.repartition("conv_id")).sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text")
+    return rows.mapInArrow(run, "conv_id long, message long, piece string, loss_start int, loss_end int")
 
 
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -172,9 +173,9 @@ def log_of(conversations: DataFrame) -> DataFrame:
                            F.when(F.col("k") == 0, "open").otherwise("delta").alias("kind"), F.when(F.col("k") == 0, F.col("role")).alias("role"), "text")
 
 
-def round_trip(events: DataFrame) -> DataFrame:
-    """Formats a log, writes the pieces to the shared folder and digests what is read back."""
+def round_trip(events: DataFrame, dealt: bool = False) -> DataFrame:
+    """Formats a log (dealt: see formatted()), writes the pieces to the shared folder and digests what is read back."""
     spark = events.sparkSession
     path = f"{shared_dir(spark)}/chat-{uuid.uuid4().hex}"
-    formatted(events).write.parquet(path)
+    formatted(events, dealt).write.parquet(path)
     return digests(spark.read.parquet(path))

@@ -73,4 +73,5 @@ def test_digests(spark):
     assert got[1].n_turns == 4 and got[1].loss_chars == 6 and got[1].loss_sha256 == sha("a\\ba\\b")
     assert got[1].turns_sha256 == sha("user\n</s>[INST] ok [/INST]\nassistant\na\\b\nassistant\na\\b\nassistant\n\n")
     assert got[None].loss_chars == 70_000 and got[2].loss_sha256 == sha("") and got[2].turns_sha256 == sha("\nx\n")
+    assert sorted(map(str, C.round_trip(C.log_of(table.repartition(5)), dealt=True).collect())) == sorted(map(str, got.values()))
     assert C.round_trip(C.log_of(table.limit(0))).collect() == []
