@@ -36,6 +36,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def settled(c: Column) -> Column:
+    """c, in a projection that filters stay above. For costly columns that later filters would else compute anew, name by name."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def groups(c: Column, pattern: str, n: int) -> Column:
     """An array of the first n groups of the first match by one pass of the pattern; null without a match."""
     found = F.regexp_extract(c, rx(pattern), 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipmill.functions.dialect import trim_u
+from slipmill.functions.dialect import let, trim_u
 from slipmill.functions.qr import normal
 
 NOT_SCANNED, VERIFIED, MISMATCH = "NotScanned", "Verified", "Mismatch"
@@ -22,14 +22,20 @@ def verification(fields: Column, qr: Column, raw: Column) -> Column:
     reported as they stand.
     """
     known = F.filter(fields, lambda f: trim_u(F.coalesce(f["value"], F.lit(""))) != "")
-    pairs = F.transform(qr, lambda q: F.struct(q["key"].alias("key"), q["value"].alias("qr_value"),
-                                              F.get(F.filter(known, lambda f: f["key"] == q["key"]), 0)["value"].alias("ocr_value")))
-    pairs = F.filter(pairs, lambda p: p["ocr_value"].isNotNull())
-    same = lambda p: normal(p["key"], p["qr_value"]) == normal(p["key"], p["ocr_value"])
-    matched, conflicts = F.filter(pairs, same), F.filter(pairs, lambda p: ~same(p))
+
+    def side_by_side(k: Column) -> Column:
+        pairs = F.transform(qr, lambda q: F.struct(q["key"].alias("key"), q["value"].alias("qr_value"), F.get(F.filter(k, lambda f: f["key"] == q["key"]), 0)["value"].alias("ocr_value")))
+        same = lambda p: normal(p["key"], p["qr_value"]) == normal(p["key"], p["ocr_value"])
+        return F.transform(F.filter(pairs, lambda p: p["ocr_value"].isNotNull()), lambda p: F.struct(p.alias("pair"), same(p).alias("same")))
+
+    def parted(pairs: Column) -> Column:
+        chosen = lambda same: F.transform(F.filter(pairs, lambda p: p["same"] == same), lambda p: p["pair"])
+        return F.struct(chosen(True).alias("matched"), chosen(False).alias("conflicts"))
+
     none = F.array().cast("array<struct<key:string,qr_value:string,ocr_value:string>>")
-    return F.struct(F.when(raw.isNull(), NOT_SCANNED).otherwise(_status(F.size(matched), F.size(conflicts))).alias("status"), raw.alias("raw_content"),
-                    F.coalesce(matched, none).alias("matched"), F.coalesce(conflicts, none).alias("conflicts"))
+    return let(let(let(known, side_by_side), parted), lambda v: F.struct(
+        F.when(raw.isNull(), NOT_SCANNED).otherwise(_status(F.size(v["matched"]), F.size(v["conflicts"]))).alias("status"), raw.alias("raw_content"),
+        F.coalesce(v["matched"], none).alias("matched"), F.coalesce(v["conflicts"], none).alias("conflicts")))
 
 
 def compare(fields: DataFrame, qr: DataFrame) -> DataFrame:

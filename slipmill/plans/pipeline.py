@@ -60,8 +60,8 @@ def verified(documents: DataFrame, payloads: DataFrame | None) -> DataFrame:
         return documents.withColumn("verification", F.lit(None).cast("struct<status:string,raw_content:string,matched:array<struct<key:string,qr_value:string,ocr_value:string>>,"
                                                                   "conflicts:array<struct<key:string,qr_value:string,ocr_value:string>>>"))
     joined = documents.join(payloads.select("doc_id", F.col("raw").alias("_raw")), "doc_id", "left")
-    fields = F.coalesce("fields", F.array().cast(FIELD))
-    return joined.withColumn("verification", verification(fields, qr_fields(F.col("_raw")), trim_u(F.col("_raw")))).drop("_raw")
+    read = joined.withColumns({"_qr": qr_fields(F.col("_raw")), "_raw": trim_u(F.col("_raw"))})
+    return read.withColumn("verification", verification(F.coalesce("fields", F.array().cast(FIELD)), F.col("_qr"), F.col("_raw"))).drop("_raw", "_qr")
 
 
 def image_documents(images: DataFrame, recognize: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

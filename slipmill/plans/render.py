@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slipmill.functions.dialect import settled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -70,7 +72,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts of five kinds by the key's remainder: toll, tax invoice, train, flight, none."""
     kind = F.col("k") % 5
     text = F.when(kind == 0, toll_text()).when(kind == 1, vat_text()).when(kind == 2, train_text()).when(kind == 3, flight_text()).otherwise(line("memo ", F.col("no")))
-    return orders(spark, sf_dir).withColumn("text", text)
+    return orders(spark, sf_dir).withColumn("text", settled(text))
 
 
 def qr_payload(number: Column | None = None) -> Column:

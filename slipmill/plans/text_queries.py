@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipmill.functions import patterns as P
+from slipmill.functions.dialect import settled
 from slipmill.functions.qr import compact_date, plain_amount, qr_fields
 from slipmill.functions.receipts import clean_tax_no, cn_amount, cn_integer, kind_of, vat_names, vat_values
 from slipmill.operators import verify
@@ -49,7 +50,7 @@ def vat_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vat_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = render.orders(spark, sf_dir).withColumn("text", render.vat_text())
+    docs = render.orders(spark, sf_dir).withColumn("text", settled(render.vat_text()))
     return pipeline.wide_fields(pipeline.text_documents(docs), P.VAT)
 
 
@@ -126,7 +127,7 @@ def normal_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts with payloads: a wrong number for keys divisible by 7, none at all for 10 of 11."""
     wrong = F.when(F.col("k") % 7 == 0, F.lpad((F.col("k") + 1).cast("string"), 8, "0")).otherwise(F.col("no"))
-    return render.orders(spark, sf_dir).withColumns({"text": render.vat_text(), "raw": F.when(F.col("k") % 11 != 10, render.qr_payload(wrong))})
+    return render.orders(spark, sf_dir).withColumns({"text": settled(render.vat_text()), "raw": settled(F.when(F.col("k") % 11 != 10, render.qr_payload(wrong)))})
 
 
 def verify_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
