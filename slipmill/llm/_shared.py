@@ -49,11 +49,6 @@ def map_rows(df: DataFrame, rows: Callable[[list[dict]], dict[str, list]], schem
     return df.select(*columns).mapInArrow(run, target)
 
 
-def one_of_each(df: DataFrame, key: str, order: list, limit: int) -> DataFrame:
-    """At most limit rows of df in an order that depends on the rows alone; a top-k, so nothing else reaches the driver."""
-    return df.orderBy(*order, F.col(key)).limit(limit)
-
-
 def words_of(text):
     """Native: the array of words `[^\\x20\\x09-\\x0D]+` of a text column; null text has none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE))

@@ -39,3 +39,25 @@ def test_marginals_are_exact(length):
 
 def test_no_text():
     assert [len(p) for p in T.marginals([np.zeros(0)], np.zeros((2, 2)))] == [0]
+
+
+def test_score_of_planted_words(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    prose = lambda n: " ".join("".join(rng.choice(list("abdeilnorst"), 4)) for _ in range(n))
+    rows = [(i, prose(40) + (" idiot " + prose(10) + " clown! " + prose(10) if i < 40 else "")) for i in range(120)]
+    rows += [(500, None), (501, ""), (None, "an idiot and a clown"), (3, rows[3][1]), (502, prose(60_000))]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, 1, int(i < 40)) for i in range(100)] + [(500, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    model = T.train(docs, labels, F.lit(True))
+    got = {(r.doc_id, k): r for k, r in enumerate(T.score(docs, model).collect())}
+    assert len(got) == len(rows)
+    for (i, k), r in got.items():
+        text = rows[k][1] or ""
+        assert (r.score >= 0.5) == ("idiot" in text)
+        assert [text[s.start : s.end] for s in r.spans] == [w for w in text.split() if w.strip("!") in ("idiot", "clown")]
+    assert T.keep_clean(docs, model).count() == sum("idiot" not in (t or "") for _, t in rows)
+    none = T.train(docs, labels.limit(0), F.lit(True))
+    assert {r.score for r in T.score(docs, none).collect()} == {0.0} and T.keep_clean(docs, none).count() == len(rows)
+    assert T.score(docs.limit(0), model).collect() == []
