@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipmill.llm import decontamination, packing, secrets, simhash, toxicity
+from slipmill.llm import decontamination, near_copies, packing, secrets, toxicity
 from slipmill.llm._shared import shared_dir
 
 
@@ -23,8 +23,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each SimHash component."""
-    return simhash.keep_one(docs)
+    """One document, the one with the smallest doc_id, of each component of texts whose five-word shingles are similar to 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
