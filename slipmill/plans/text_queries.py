@@ -28,9 +28,9 @@ def _long_sql(kind: str, values: dict[str, str], where: str) -> str:
     return ORDERS + " union all ".join(rows)
 
 
-def _extracted(spark: SparkSession, sf_dir: str, remainder: int) -> DataFrame:
-    docs = render.documents(spark, sf_dir).where(F.col("k") % 5 == remainder)
-    return pipeline.long_fields(pipeline.text_documents(docs))
+def _extracted(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Fields of all receipts whose text is of the kind; toll receipts are of kind VAT."""
+    return pipeline.long_fields(pipeline.text_documents(render.documents(spark, sf_dir)).where(F.col("kind") == kind))
 
 
 def classify_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def classify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vat_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(spark, sf_dir, 1)
+    return _extracted(spark, sf_dir, P.VAT)
 
 
 def vat_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +55,17 @@ def vat_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(spark, sf_dir, 2)
+    return _extracted(spark, sf_dir, P.TRAIN)
 
 
 def flight_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(spark, sf_dir, 3)
+    return _extracted(spark, sf_dir, P.FLIGHT)
+
+
+def receipt_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of every receipt, toll and unknown ones too, with the kind that was found."""
+    documents = pipeline.text_documents(render.documents(spark, sf_dir))
+    return documents.select("kind", "doc_id", F.inline_outer("fields")).where("ord is not null")
 
 
 def vat_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +166,7 @@ def text_of_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    classify_receipts, classify_documents, classify_counts, vat_fields, vat_wide, train_fields, flight_fields, vat_dates, vat_names_fallback, vat_tax_numbers, vat_totals,
+    classify_receipts, classify_documents, classify_counts, vat_fields, vat_wide, train_fields, flight_fields, receipt_fields, vat_dates, vat_names_fallback, vat_tax_numbers, vat_totals,
     cn_amounts, qr_long, normal_dates, normal_amounts, verify_receipts, verify_join, verify_conflicts, verify_summary, text_of_boxes)}
 
 _KIND = f"case k % 5 when 0 then '{P.VAT}' when 1 then '{P.VAT}' when 2 then '{P.TRAIN}' when 3 then '{P.FLIGHT}' else '{P.UNKNOWN}' end"
@@ -217,3 +223,5 @@ ORACLE_SQL = {
     "text_of_boxes": f"""with t as (select conv_id, turn, regexp_replace(coalesce(text, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') as x from conversations)
         select conv_id as doc_id, coalesce(string_agg(x, chr(10) order by turn, x) filter (where x <> ''), '') as raw_text from t group by conv_id""",
 }
+ORACLE_SQL["receipt_fields"] = " union all ".join(
+    f"select '{kind}' as kind, * from ({ORACLE_SQL[name]})" for kind, name in ((P.VAT, "vat_fields"), (P.TRAIN, "train_fields"), (P.FLIGHT, "flight_fields")))
