@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -14,10 +15,13 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; only where none is set, one of our own."""
+    """The checkpoint folder that driver and executors share, as spark.checkpoint.dir names it. Only a session that is one process
+    (local[...]) may leave it out: it gets a folder of its own. A cluster without the setting is an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -28,6 +32,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+#: Most rows of two longs that are broadcast (16 MB); beyond it the join shuffles.
+SMALL = 500_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df, cut, and marked for broadcast if it has no more than so many rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def map_rows(df: DataFrame, rows: Callable[[list[dict]], dict[str, list]], schema: str, columns: list[str]) -> DataFrame:
     """mapInArrow over the named columns. rows gets a dict of column lists for a bounded slice and returns column lists.
 
