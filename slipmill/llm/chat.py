@@ -2,8 +2,8 @@
 
 A log has events (conv_id, seq, message, kind, role, text). ``message`` numbers the messages of a conversation in order.
 Kinds: open (starts a message with a role and a first text), delta (adds text), edit (replaces the text), regenerate (starts the
-message's text anew and discards every later message begun before). Rows are dealt by conversation, sorted by message and
-sequence within it, and folded in one streaming pass that holds a single message at a time: the longest conversation needs
+message's text anew and discards every later message begun before). Rows are numbered by a window over the conversation, in order of
+message and sequence, so Spark deals and sorts them (not again, if they are dealt by conversation already), and are folded in one streaming pass that holds a single message at a time: the longest conversation needs
 no more memory than its longest message.
 
 Rendering gives one row a message: the formatted piece and the loss span in it (assistants' texts alone). Control strings of the
@@ -14,7 +14,7 @@ Template: system ``<<SYS>> text <</SYS>>``, user ``[INST] text [/INST]``, assist
 ``[TURN] role : text [/TURN]``, a line end after each.
 
 Defined cases: null text is empty; a null role is the empty role; events of a message before its open or regenerate make
-a message with an empty role; an event of unknown kind is an error; ties in (message, seq) go by kind, role and text;
+a message with an empty role; a null message or seq comes before all others; an event of unknown kind is an error; ties in (message, seq) go by kind, role and text;
 repeated rows count each; rows with a null conv_id form one conversation; other columns do not matter; an empty table
 gives an empty result.
 """
@@ -27,7 +27,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipmill.llm._shared import shared_dir
@@ -37,6 +37,9 @@ MARKS = {"system": ("<<SYS>> ", " <</SYS>>\n"), "user": ("[INST] ", " [/INST]\n"
 OTHER = ("[TURN] ", " : ", " [/TURN]\n")
 CONTROL = ("<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "[TURN]", "[/TURN]")
 
+#: What a null seq counts as.
+FIRST = -(1 << 63)
+
 _ESCAPE = re.compile("|".join([r"\\", *(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL)]))
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 
@@ -90,15 +93,16 @@ def _pack(rows: Iterator[tuple], schema: pa.Schema, size: int = 1024, chars: int
 def folded(events: Iterator[tuple]) -> Iterator[tuple]:
     """(conv_id, message, role, text) of the final messages, from events sorted by conversation, message and sequence."""
     none = object()
-    conv, message, role, parts, begun, cut, newest = none, none, "", [], False, -1, -1
+    conv, message, role, parts, begun, cut, newest = none, none, "", [], False, FIRST, FIRST
 
     def ended() -> list[tuple]:
         return [(conv, message, role, "".join(parts))] if begun else []
 
-    for c, m, seq, kind, r, text in events:
+    for c, m, seq, kind, r, text, *_ in events:
+        seq = FIRST if seq is None else seq
         if (c, m) != (conv, message) or conv is none:
             yield from ended()
-            cut, newest = (max(cut, newest), -1) if conv is not none and c == conv else (-1, -1)
+            cut, newest = (max(cut, newest), FIRST) if conv is not none and c == conv else (FIRST, FIRST)
             conv, message, role, parts, begun = c, m, "", [], False
         if seq < cut:
             continue
@@ -120,16 +124,15 @@ def folded(events: Iterator[tuple]) -> Iterator[tuple]:
 _PIECES = pa.schema([("conv_id", pa.int64()), ("message", pa.int64()), ("piece", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32())])
 
 
-def formatted(events: DataFrame, dealt: bool = False) -> DataFrame:
-    """conv_id, message, piece, loss_start and loss_end (code points of the piece) of every final message. dealt: a conversation's events
-    are in one partition already, as log_of() leaves them; they are only sorted then."""
+def formatted(events: DataFrame) -> DataFrame:
+    """conv_id, message, piece, loss_start and loss_end (code points of the piece) of every final message."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _pack(((c, m, *render(role, text)) for c, m, role, text in folded(_stream(batches))), _PIECES)
 
+    order = Window.partitionBy("conv_id").orderBy("message", "seq", "kind", "role", "text")
     rows = events.select("conv_id", F.col("message").cast("long").alias("message"), F.col("seq").cast("long").alias("seq"), "kind", "role", "text")
-    rows = (rows if dealt else rows.repartition("conv_id")).sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text")
-    return rows.mapInArrow(run, "conv_id long, message long, piece string, loss_start int, loss_end int")
+    return rows.withColumn("at", F.row_number().over(order)).mapInArrow(run, "conv_id long, message long, piece string, loss_start int, loss_end int")
 
 
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -162,20 +165,38 @@ def digests(pieces: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+#: What log_of() writes and the fold must take back.
+STALE = "to be taken back"
+
+
 def log_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: an open event and the text's two streamed halves."""
+    """A table of finished turns (conv_id, turn, role, text) as a log. By a hash of conversation and message, a turn is an open event and the
+    text's two streamed halves; or a wrong text that an edit replaces; or a wrong text and a start of the next message, both taken back when the
+    message is regenerated."""
     text = F.coalesce(F.col("text"), F.lit(""))
     half = (F.length(text) / 2).cast("int")
-    deltas = F.array(F.lit(""), F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text)))
+    start, end = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+
+    def event(later: int, kind: str, role: Column | None, what: Column | str) -> Column:
+        return F.struct(F.lit(later).alias("later"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"),
+                        (F.lit(what) if isinstance(what, str) else what).alias("text"))
+
+    opened = event(0, "open", F.col("role"), "")
+    ways = (
+        F.array(opened, event(0, "delta", None, start), event(0, "delta", None, end)),
+        F.array(opened, event(0, "delta", None, STALE), event(0, "edit", None, start), event(0, "delta", None, end)),
+        F.array(opened, event(0, "delta", None, STALE), event(1, "open", F.lit("user"), STALE), event(1, "delta", None, STALE),
+                event(0, "regenerate", None, start), event(0, "delta", None, end)),
+    )
     numbered = conversations.withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
-    numbered = numbered.select("conv_id", "message", "role", F.posexplode(deltas).alias("k", "text"))
-    return numbered.select("conv_id", "message", (F.col("message") * 3 + F.col("k")).alias("seq"),
-                           F.when(F.col("k") == 0, "open").otherwise("delta").alias("kind"), F.when(F.col("k") == 0, F.col("role")).alias("role"), "text")
+    way = F.pmod(F.xxhash64("conv_id", "message"), F.lit(3))
+    events = numbered.select("conv_id", "message", F.posexplode(F.when(way == 0, ways[0]).when(way == 1, ways[1]).otherwise(ways[2])).alias("k", "e"))
+    return events.select("conv_id", (F.col("message") + F.col("e.later")).alias("message"), (F.col("message") * 8 + F.col("k")).alias("seq"), "e.kind", "e.role", "e.text")
 
 
-def round_trip(events: DataFrame, dealt: bool = False) -> DataFrame:
-    """Formats a log (dealt: see formatted()), writes the pieces to the shared folder and digests what is read back."""
+def round_trip(events: DataFrame) -> DataFrame:
+    """Formats a log, writes the pieces to the shared folder and digests what is read back."""
     spark = events.sparkSession
     path = f"{shared_dir(spark)}/chat-{uuid.uuid4().hex}"
-    formatted(events, dealt).write.parquet(path)
+    formatted(events).write.parquet(path)
     return digests(spark.read.parquet(path))

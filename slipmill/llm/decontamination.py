@@ -8,7 +8,8 @@ windows are joined with those of the training text and every hit is compared tok
 
 The benchmark is a stated query set: it is taken in blocks of at most ``block`` tokens; a block's seeds (bounded by the
 block) are broadcast and every document is searched in place, so no text and no hash of it is shuffled, however large the
-benchmark. A hot document source or a passage that many documents share changes nothing.
+benchmark. ``TOGETHER`` blocks are searched in one pass, each in a worker of its own; between passes the rows are cut into the shared
+folder, so memory is bounded by that many blocks. A hot document source or a passage that many documents share changes nothing.
 
 Tokens are lower-cased runs of letters, digits and underscores. Defined cases: null and empty texts hold no leak; items
 without a token are never found; an item of fewer than five tokens is found word by word only; repeated items and
@@ -25,10 +26,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slipmill.llm._shared import keep_rows, map_rows
+from slipmill.llm._shared import cut, keep_rows, map_rows
 
-#: Tokens of a window, share of them that may be substituted, tokens of benchmark text in one broadcast block.
-WINDOW, TOLERANCE, BLOCK = 13, 0.2, 500_000
+#: Tokens of a window, share of them that may be substituted, tokens of benchmark text in one broadcast block, blocks in one pass.
+WINDOW, TOLERANCE, BLOCK, TOGETHER = 13, 0.2, 500_000, 4
 _TOKEN = re.compile(r"\w+")
 
 
@@ -140,8 +141,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     """doc_id and leaks (item_id, start and end in tokens, from the first to the last matching window) of every document."""
     kind = "array<struct<item_id:long,start:int,end:int>>"
     out = docs.select("doc_id", "text", F.array().cast(kind).alias("leaks"))
-    for each in blocks(benchmark, block):
-        shared = docs.sparkSession.sparkContext.broadcast(each)
+    for n, each in enumerate(blocks(benchmark, block)):
+        shared, out = docs.sparkSession.sparkContext.broadcast(each), cut(out) if n and n % TOGETHER == 0 else out
 
         def rows(batch: dict, shared=shared) -> dict:
             more = search(shared.value, batch["text"])
@@ -155,7 +156,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
 
 def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """docs without those that an item leaks into."""
-    for each in blocks(benchmark, block):
-        shared = docs.sparkSession.sparkContext.broadcast(each)
+    for n, each in enumerate(blocks(benchmark, block)):
+        shared, docs = docs.sparkSession.sparkContext.broadcast(each), cut(docs) if n and n % TOGETHER == 0 else docs
         docs = keep_rows(docs, lambda texts, shared=shared: [not x for x in search(shared.value, texts)])
     return docs

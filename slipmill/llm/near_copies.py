@@ -13,9 +13,11 @@ Candidates come from two searches.
    values are a sketch; candidates that differ in over ``MOST`` of them (4.5 deviations from what 0.8 gives) are not verified.
 
 A bucket is not compared pair by pair. In each of ``TURNS`` turns the components that meet in a bucket are compared through
-members drawn from its largest component: of all pairs between two components the likeliest by sketch are verified, 1, 4, 16 ... of
-them, and components that turn out to be linked become one. So a large group of copies costs rows in proportion to its size. What
-is then still apart within a bucket is compared in full, so every two members of a bucket are in one component or were compared.
+members drawn from its largest component: of all pairs between two components the likeliest by sketch are verified, one, then
+16 of them, and components that turn out to be linked become one. So a large group of copies costs rows in proportion to its size. What
+is then still apart within a bucket is compared in full, so every two members of a bucket are in one component or were compared: in
+buckets of up to ``FEW`` as pairs, in larger ones inside tasks, tile against tile, whose sets are counted by matrix products and
+which give only a forest of links.
 
 Defined cases: texts under five words are one shingle; null and empty texts have the empty set and are copies of each other;
 rows are known by doc_id and a hash of the text; a null doc_id stays only where no numbered row is in its component; of
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -39,8 +42,10 @@ from slipmill.llm._shared import cut, fresh, map_rows, small
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 26, 5
-#: Differing sketch bits at most, turns, members drawn from a bucket's largest component in each, remembered words per worker.
-MOST, TURNS, HUBS, MEMORY = 28, 4, 4, 1_000_000
+#: Differing sketch bits at most, turns, members drawn from a bucket's largest component in each turn, remembered words per worker.
+MOST, TURNS, HUBS, MEMORY = 28, 2, 6, 1_000_000
+#: Members of a bucket that is compared as pairs; members and bytes of sets of a tile in larger ones.
+FEW, TILE, TILE_BYTES = 8, 1024, 16_000_000
 _RNG = np.random.default_rng(11)
 _TIMES, _PLUS, _PLACE = (_RNG.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, SHINGLE))
 _WORDS: dict[bytes, int] = {}
@@ -103,21 +108,21 @@ def prints(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sh and set (bytes) of every class of wanted (sh, doc_id, th), made again from the texts of docs, which are not shuffled while wanted is
-    small."""
+    """sh and set (bytes) of every class of wanted (sh, doc_id, th), once for each row of docs that has its id and text; made again from the texts,
+    which are not shuffled while wanted is small."""
     wanted = small(wanted.select("sh", F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
     texts = docs.select("doc_id", "text", _text_hash().alias("th")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
 
     def rows(batch: dict) -> dict:
         return {"sh": batch["sh"], "set": [shingle_set(t).tobytes() for t in batch["text"]]}
 
-    return map_rows(texts, rows, "sh long, set binary", ["sh", "text"]).dropDuplicates(["sh"])
+    return map_rows(texts, rows, "sh long, set binary", ["sh", "text"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar. pairs is cut; each pair moves its own two sets."""
+    """The pairs (a, b) of classes whose sets are similar. pairs is cut; each pair moves its own two sets, which may stand in sets repeatedly."""
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sh"))
-    both = sets.join(F.broadcast(sides) if pairs.count() <= 200_000 else sides, "sh").groupBy("a", "b").agg(F.min("set").alias("x"), F.max("set").alias("y"))
+    both = sets.join(F.broadcast(sides) if pairs.count() <= 50_000 else sides, "sh").groupBy("a", "b").agg(F.min("set").alias("x"), F.max("set").alias("y"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,11 +165,68 @@ def _relabelled(open_: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _met(open_: DataFrame, turn: int) -> DataFrame:
-    """The rows of buckets with several labels, with the label of the bucket's largest component (main) and members drawn from it."""
+    """The rows of buckets with several labels, with the label of the bucket's largest component (main), members drawn from it (hubs), and of
+    the bucket total (members), rest (those outside main) and mass (the sets' sizes)."""
     drawn = F.array(*(F.min(F.struct(F.xxhash64("sh", F.lit(turn * HUBS + k)).alias("h"), "sh", "n", "bits")) for k in range(HUBS)))
-    parts = open_.groupBy("key", "label").agg(F.count("*").alias("size"), drawn.alias("hubs"))
-    heads = parts.groupBy("key").agg(F.count("*").alias("labels"), F.max_by(F.struct(F.col("label").alias("main"), "hubs"), F.struct("size", "label")).alias("head"))
-    return open_.join(heads.where("labels > 1").select("key", "head.main", "head.hubs"), "key")
+    parts = open_.groupBy("key", "label").agg(F.count("*").alias("size"), F.sum("n").alias("mass"), drawn.alias("hubs"))
+    heads = parts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("size").alias("total"), F.sum("mass").alias("mass"), F.max("size").alias("most"),
+                                     F.max_by(F.struct(F.col("label").alias("main"), "hubs"), F.struct("size", "label")).alias("head"))
+    return open_.join(heads.where("labels > 1").select("key", "head.main", "head.hubs", "total", (F.col("total") - F.col("most")).alias("rest"), "mass"), "key")
+
+
+def _sides(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members outside main, and all, under names of their own."""
+    side = lambda c: [F.col(a).alias(f"{b}{c}") for a, b in (("sh", "s"), ("label", "l"), ("n", "n"), ("bits", "x"))]
+    return met.where("label <> main").select("key", "main", "hubs", "total", "rest", "mass", *side("p")), met.select("key", *side("q"))
+
+
+def common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of every set of xs with every set of ys."""
+    flat, owner = zip(*((np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (xs, ys)), strict=True)
+    names, out, cells = np.intersect1d(*flat), np.zeros((len(xs), len(ys)), np.float32), []
+    for values, rows in zip(flat, owner, strict=True):
+        at = np.searchsorted(names, values)
+        known = at < len(names)
+        known[known] = names[at[known]] == values[known]
+        order = np.argsort(at[known], kind="stable")
+        cells.append((at[known][order], rows[known][order]))
+    for low in range(0, len(names), 4096):
+        marks = []
+        for (at, rows), n in zip(cells, (len(xs), len(ys)), strict=True):
+            part = slice(*np.searchsorted(at, (low, low + 4096)))
+            mark = np.zeros((n, min(4096, len(names) - low)), np.float32)
+            mark[rows[part], at[part] - low] = 1
+            marks.append(mark)
+        out += marks[0] @ marks[1].T
+    return out
+
+
+def in_tiles(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of large buckets, every member outside main against every member; a task holds two tiles of sets."""
+    left, right = _sides(many)
+    left = left.join(right, (left["key"] == right["key"]) & (F.col("lp") != F.col("lq")) & _candidate(F.col("np"), F.col("nq"), F.col("xp"), F.col("xq"))[0], "left_semi")
+    bytes_ = F.col("mass") * 8 / TILE_BYTES
+    tiles = {"ti": F.ceil(F.greatest(F.col("rest") / TILE, bytes_ * F.col("rest") / F.col("total"), F.lit(1))).cast("int"), "tj": F.ceil(F.greatest(F.col("total") / TILE, bytes_, F.lit(1))).cast("int")}
+    left = cut(left.withColumns(tiles).select("key", F.col("sp").alias("sh"), F.col("lp").alias("label"), "ti", "tj"))
+    right = right.join(left.groupBy("key").agg(F.first("ti").alias("ti"), F.first("tj").alias("tj")), "key").select("key", F.col("sq").alias("sh"), F.col("lq").alias("label"), "ti", "tj")
+    own = lambda n: F.pmod(F.xxhash64("sh"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = left.select("key", "sh", "label", F.lit(True).alias("own"), own("ti").alias("i"), each("tj").alias("j")).union(
+        right.select("key", "sh", "label", F.lit(False).alias("own"), each("ti").alias("i"), own("tj").alias("j")))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, sh, label = pdf["own"].to_numpy(bool), pdf["sh"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64)
+        found, l, m = [np.frombuffer(x, np.uint64) for x in pdf["set"]], np.flatnonzero(own), np.flatnonzero(~own)
+        if not len(l) or not len(m):
+            return pd.DataFrame({"a": sh[:0], "b": sh[:0]})
+        both, n = common([found[k] for k in l], [found[k] for k in m]).astype(np.float64), np.array([len(x) for x in found])
+        i, j = np.nonzero((both / (n[l][:, None] + n[m][None, :] - both) >= SIMILAR) & (label[l][:, None] != label[m][None, :]))
+        forest = simhash.Forest(sh, 0)
+        forest.join(l[i], m[j])
+        a, b = forest.links()
+        return pd.DataFrame({"a": sh[a], "b": sh[b]})
+
+    return cut(dealt.join(sets, "sh").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct())
 
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -177,24 +239,24 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     edges = good[0]
     for turn in range(TURNS + 1):
         met = cut(_met(_relabelled(open_, edges), turn))
-        left = met.where("label <> main").select("key", F.col("sh").alias("p"), F.col("label").alias("lp"), F.col("n").alias("np"), F.col("bits").alias("xp"), "main", "hubs")
+        left, right = _sides(met)
         if turn < TURNS:
-            pairs = left.withColumn("h", F.explode("hubs")).select("*", F.col("h.sh").alias("q"), F.col("main").alias("lq"), F.col("h.n").alias("nq"), F.col("h.bits").alias("xq"))
+            pairs = left.withColumn("h", F.explode("hubs")).select("*", F.col("h.sh").alias("sq"), F.col("main").alias("lq"), F.col("h.n").alias("nq"), F.col("h.bits").alias("xq"))
             fits = F.lit(True)
         else:
-            right = met.select("key", F.col("sh").alias("q"), F.col("label").alias("lq"), F.col("n").alias("nq"), F.col("bits").alias("xq"))
-            fits = (F.col("lp") != F.col("lq")) & ((F.col("lq") == F.col("main")) | (F.col("p") > F.col("q")))
-            pairs = left.join(right, "key")
+            good.append(in_tiles(met.where(F.col("total") > FEW), sets))
+            pairs = left.where(F.col("total") <= FEW).join(right, "key")
+            fits = (F.col("lp") != F.col("lq")) & ((F.col("lq") == F.col("main")) | (F.col("sp") > F.col("sq")))
         able, differ = _candidate(F.col("np"), F.col("nq"), F.col("xp"), F.col("xq"))
-        pairs = pairs.where(fits & able).select(*_ordered("p", "q"), F.least("lp", "lq").alias("la"), F.greatest("lp", "lq").alias("lb"), differ.alias("d"))
+        pairs = pairs.where(fits & able).select(*_ordered("sp", "sq"), F.least("lp", "lq").alias("la"), F.greatest("lp", "lq").alias("lb"), differ.alias("d"))
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if turn < TURNS:
-            pairs = pairs.groupBy("la", "lb", F.pmod(F.xxhash64("a", "b"), F.lit(4**turn)).alias("part")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b", "la", "lb")
+            pairs = pairs.groupBy("la", "lb", F.pmod(F.xxhash64("a", "b"), F.lit(16**turn)).alias("part")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b", "la", "lb")
         chosen = cut(pairs.select("a", "b", "la", "lb").dropDuplicates(["a", "b"]))
         good.append(similar(chosen, sets))
         tried = tried.union(chosen.select("a", "b"))
         edges = chosen.join(good[-1], ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        open_ = met.drop("main", "hubs")
+        open_ = met.select(open_.columns)
     return reduce(DataFrame.union, good)
 
 

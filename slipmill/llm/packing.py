@@ -6,10 +6,11 @@ bucket's batches hold as many documents as fit ``budget`` padded tokens, at leas
 
 A document's batch is its rank in the bucket divided by the batch's capacity. Ranks come from two levels: rows are numbered
 within a bucket and one of its slices (by hash of the row, so a bucket with a third of all rows is many slices), and slices
-are offset by the counts before them. Only ids and lengths are shuffled.
+are offset by the counts before them. Rows that are equal have one hash; if they fill a slice beyond four times ``slice_rows``,
+rows are dealt by their place in the table instead. Only ids and lengths are shuffled.
 
-Lengths over ``fine`` count in steps of 1/256 of a power of two, so the histogram stays at some thousands of rows for any
-text length; the bounds are the longest true lengths in their step. Without that rounding the optimum is exact.
+The histogram is exact, one row a length. For corpora with more lengths than a driver should hold, ``fine`` counts those over
+it in steps of 1/256 of a power of two; the bounds are then the longest true lengths in their step.
 
 Defined cases: null and empty texts have no tokens and go to the first bucket; a document longer than the budget has a
 batch of its own; repeated rows are packed each; null doc_ids are packed first in their slice; other columns do not
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from slipmill.llm._shared import cut, map_rows, words_of
 
-#: Number of buckets, padded tokens in a batch, rows of a slice, length up to which the histogram is exact.
-BUCKETS, BUDGET, SLICE, FINE = 16, 65_536, 50_000, 8192
+#: Number of buckets, padded tokens in a batch, rows of a slice.
+BUCKETS, BUDGET, SLICE = 16, 65_536, 50_000
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -90,10 +91,10 @@ def _step(n: Column, fine: int) -> Column:
 
 
 def pack(docs: DataFrame, tokens: Column | Callable[[str], int] | None = None, buckets: int = BUCKETS, budget: int = BUDGET,
-         slice_rows: int = SLICE, fine: int = FINE) -> DataFrame:
+         slice_rows: int = SLICE, fine: int | None = None) -> DataFrame:
     """doc_id, n_tokens, bucket (its bound), batch (number within the bucket), place (in the batch) and padding of every document."""
-    sized = cut(token_counts(docs, tokens))
-    cells = sized.groupBy(_step(F.col("n_tokens"), fine).alias("cell")).agg(F.max("n_tokens").alias("top"), F.sum("n_tokens").alias("mass"), F.count("*").alias("n"))
+    sized = cut(token_counts(docs, tokens).withColumn("row", F.monotonically_increasing_id()))
+    cells = sized.groupBy((_step(F.col("n_tokens"), fine) if fine else F.col("n_tokens")).alias("cell")).agg(F.max("n_tokens").alias("top"), F.sum("n_tokens").alias("mass"), F.count("*").alias("n"))
     histogram = cells.orderBy("cell").collect()
     bounds = optimal_bounds(np.array([r.top for r in histogram], np.int64), np.array([r.n for r in histogram], np.int64), buckets)
     total = sum(r.n for r in histogram)
@@ -101,7 +102,9 @@ def pack(docs: DataFrame, tokens: Column | Callable[[str], int] | None = None, b
     for b in reversed(bounds[:-1]):
         bound = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(bound)
     slices = max(1, -(-total // slice_rows))
-    dealt = sized.withColumns({"bucket": bound.cast("long"), "slice": F.pmod(F.col("spread"), F.lit(slices))})
+    most = sized.groupBy("spread").count().agg(F.max("count")).first()[0] or 0
+    key = F.col("spread") if most <= 4 * slice_rows else F.xxhash64("row")
+    dealt = sized.withColumns({"bucket": bound.cast("long"), "slice": F.pmod(key, F.lit(slices))})
 
     inside = Window.partitionBy("bucket", "slice").orderBy(F.col("doc_id").asc_nulls_first(), "spread", "n_tokens")
     counts = dealt.groupBy("bucket", "slice").agg(F.count("*").alias("n"))

@@ -1,9 +1,11 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A bounded sample of labelled training documents (``limit`` rows, a documented parameter) is turned into hashed counts
-of character-class bigrams and trigrams and of word-structure bins, weighted by inverse document frequency, and reduced
-by a truncated SVD. The labelled vectors are broadcast: their size is limit * dims * 4 bytes (1 MB at the defaults),
-whatever the corpus. Every document of the corpus is mapped to the same space, its cosine with every labelled vector is
+A bounded sample of labelled training documents (``limit`` rows, a documented parameter) is turned into three blocks of counts:
+words and hashed byte trigrams (what a text says), and n-grams of character classes with shares of repeated words and lines (how it
+is built). Each block is weighted by inverse document frequency and brought to length one; a truncated SVD of all three
+together gives the latent space. Tasks make the counts of the labelled documents, so the driver gets at most ``limit`` sparse rows of
+at most ``WIDTH`` counts, never a text. The labelled vectors are broadcast: their size is limit * dims * 4 bytes (1.5 MB at the
+defaults), whatever the corpus. Every document of the corpus is mapped to the same space, its cosine with every labelled vector is
 computed exactly, in blocks of documents, and the k nearest vote with their labels, weighted by similarity.
 
 Defined cases: null and empty texts have the zero vector, so all neighbours are equally near and the score is the share
@@ -14,14 +16,18 @@ doc_ids are scored as they stand; other columns do not matter; an empty table gi
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipmill.llm._shared import map_rows
 
-#: Hashed width of the trigram part, number of latent dimensions, voters, labelled rows at most.
-TRIGRAMS, DIMS, VOTERS, LIMIT = 1024, 64, 25, 4096
+#: Hashed widths of words, byte trigrams and class trigrams, number of latent dimensions, voters, labelled rows at most.
+WORDS, BYTES, TRIGRAMS, DIMS, VOTERS, LIMIT = 4096, 2048, 1024, 96, 25, 4096
+#: Remembered words per worker at most.
+MEMORY = 500_000
 _CLASSES = 24
 
 
@@ -51,24 +57,41 @@ def _class_table() -> np.ndarray:
 
 _TABLE = _class_table()
 _BINS = 8
-WIDTH = _CLASSES**2 + TRIGRAMS + 4 * _BINS
+SHAPE = _CLASSES**2 + TRIGRAMS + 4 * _BINS
+WIDTH = WORDS + BYTES + SHAPE
+BLOCKS = (slice(0, WORDS), slice(WORDS, WORDS + BYTES), slice(WORDS + BYTES, WIDTH))
+_PLACES: dict[bytes, int] = {}
+
+
+def _hashed(a: np.ndarray, width: int) -> np.ndarray:
+    """Places of up to 32-bit numbers among width."""
+    return (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % width
 
 
 def counts(text: str | None) -> np.ndarray:
-    """The raw feature vector of a whole text: relative class n-gram frequencies and word-structure bins."""
+    """The raw feature vector of a whole text: words and byte trigrams in lower case, class n-grams and structure bins; square roots of shares."""
     out = np.zeros(WIDTH, np.float32)
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:
         return out
+    low = data.lower()
+    terms = low.split()
+    if len(_PLACES) > MEMORY:
+        _PLACES.clear()
+    for w in set(terms).difference(_PLACES):
+        _PLACES[w] = zlib.crc32(w.strip(b".,;:!?\"'()[]")) % WORDS
+    n = len(terms) or 1
+    out[BLOCKS[0]] = np.bincount(np.fromiter(map(_PLACES.__getitem__, terms), np.int64, len(terms)), minlength=WORDS) / n
+    raw = np.frombuffer(low, np.uint8).astype(np.uint32)
+    out[BLOCKS[1]] = np.bincount(_hashed(raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:], BYTES), minlength=BYTES) / len(data)
     c = _TABLE[np.frombuffer(data, np.uint8)]
     two = c[:-1] * _CLASSES + c[1:]
-    out[: _CLASSES**2] = np.bincount(two, minlength=_CLASSES**2)
+    shape = out[BLOCKS[2]]
+    shape[: _CLASSES**2] = np.bincount(two, minlength=_CLASSES**2) / len(data)
     three = (two[:-1] * _CLASSES + c[2:]) * 2654435761 % (1 << 32) * TRIGRAMS >> 32
-    out[_CLASSES**2 : _CLASSES**2 + TRIGRAMS] = np.bincount(three, minlength=TRIGRAMS)
-    out[: _CLASSES**2 + TRIGRAMS] = np.sqrt(out[: _CLASSES**2 + TRIGRAMS] / len(data))
-    words = data.split()
-    lines = data.split(b"\n")
-    n = len(words) or 1
+    shape[_CLASSES**2 : _CLASSES**2 + TRIGRAMS] = np.bincount(three, minlength=TRIGRAMS) / len(data)
+    np.sqrt(out, out=out)
+    words, lines = data.split(), data.split(b"\n")
     shares = (
         sum(map(bytes.__eq__, words, words[1:])) / n,
         1 - len(set(words)) / n,
@@ -76,20 +99,28 @@ def counts(text: str | None) -> np.ndarray:
         min(1.0, len(data) / n / 40),
     )
     for i, share in enumerate(shares):
-        out[_CLASSES**2 + TRIGRAMS + i * _BINS + min(_BINS - 1, int(share * _BINS))] = 1
+        shape[_CLASSES**2 + TRIGRAMS + i * _BINS + min(_BINS - 1, int(share * _BINS))] = 1
     return out
 
 
-def fit(texts: list[str | None], labels: list[int], dims: int = DIMS) -> dict:
-    """The space (projection with idf folded in) and the labelled, normalised vectors in it."""
-    x = np.stack([counts(t) for t in texts])
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
+def _weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Rows of raw vectors by idf, each block of length one or zero."""
     x = x * idf
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    x = x / np.where(norm > 0, norm, 1)
-    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    project = vectors[:, ::-1][:, :dims].astype(np.float32)
-    return {"project": idf[:, None] * project, "near": _unit(x @ project), "label": np.array(labels, np.float32)}
+    for block in BLOCKS:
+        x[:, block] = _unit(x[:, block])
+    return x
+
+
+def fit(x: np.ndarray, labels: list[int], dims: int = DIMS, seed: int = 3) -> dict:
+    """The space and the labelled, normalised vectors in it, from the raw vectors of labelled documents. The truncated SVD works on a random
+    subspace that four products with x and its transpose turn towards the largest singular vectors."""
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+    x = _weighted(x, idf)
+    q = np.random.default_rng(seed).normal(size=(WIDTH, min(dims + 16, WIDTH))).astype(np.float32)
+    for _ in range(4):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    project = q @ np.linalg.svd(x @ q, full_matrices=False)[2].T[:, :dims]
+    return {"idf": idf, "project": project, "near": _unit(x @ project), "label": np.array(labels, np.float32)}
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -101,7 +132,7 @@ def votes(model: dict, texts: list[str | None], voters: int = VOTERS) -> np.ndar
     """Similarity-weighted share of label 1 among the nearest labelled vectors of each text."""
     if not len(model["label"]):
         return np.full(len(texts), 0.5)
-    x = _unit(np.stack([counts(t) for t in texts]) @ model["project"])
+    x = _unit(_weighted(np.stack([counts(t) for t in texts]), model["idf"]) @ model["project"])
     near = x @ model["near"].T
     k = min(voters, near.shape[1])
     top = np.argsort(-near, axis=1, kind="stable")[:, :k] if k == near.shape[1] else _top(near, k)
@@ -128,10 +159,20 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = LIMIT
     drawn = marked.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(
         F.min("text").alias("text"), F.min("label").alias("label"))
-    rows = sorted(found.collect(), key=lambda r: r.doc_id)
+    kind = "doc_id long, label int, at array<int>, value array<float>"
+
+    def sparse(batch: dict) -> dict:
+        raw = [counts(t) for t in batch["text"]]
+        at = [np.flatnonzero(v) for v in raw]
+        return {"doc_id": batch["doc_id"], "label": batch["label"], "at": at, "value": [v[i] for v, i in zip(raw, at, strict=True)]}
+
+    rows = sorted(map_rows(found.withColumn("label", F.col("label").cast("int")), sparse, kind, ["doc_id", "text", "label"]).collect(), key=lambda r: r.doc_id)
     if not rows:
-        return {"project": np.zeros((WIDTH, 1), np.float32), "near": np.zeros((0, 1), np.float32), "label": np.zeros(0)}
-    return fit([r.text for r in rows], [r.label for r in rows])
+        return {"idf": np.ones(WIDTH, np.float32), "project": np.zeros((WIDTH, 1), np.float32), "near": np.zeros((0, 1), np.float32), "label": np.zeros(0)}
+    x = np.zeros((len(rows), WIDTH), np.float32)
+    for row, r in zip(x, rows, strict=True):
+        row[r.at] = r.value
+    return fit(x, [r.label for r in rows])
 
 
 def score(docs: DataFrame, model: dict, voters: int = VOTERS) -> DataFrame:

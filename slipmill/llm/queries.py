@@ -42,7 +42,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(_read(spark, sf_dir, "documents")))
+    docs = _read(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, words=secrets.vocabulary(docs)))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     signs = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-7, 0, "user", signs), (-7, 1, "assistant", signs)], "conv_id long, turn long, role string, text string")
-    return chat.round_trip(chat.log_of(table.union(planted)), dealt=True)
+    return chat.round_trip(chat.log_of(table.union(planted)))
 
 
 QUERIES = {f.__name__: f for f in (

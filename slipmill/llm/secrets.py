@@ -2,9 +2,13 @@
 
 Three patterns give the base spans (assign, access, hex). Beside them, every value in a credential context (``password: x``,
 ``pwd=x``, ``Authorization: Bearer x``, ``passphrase is x`` ...) gets the number of guesses that finding it takes: the
-cheapest segmentation into words, dates, years, repeats, alphabet or digit sequences, keyboard walks and brute-force
-stretches, by dynamic programming over the whole value. Values of ``threshold`` decimal digits of guesses or more are
-spans of the kind guess. ``pass: please`` is cheap and stays; a random key is not.
+cheapest segmentation into words, dates, repeats, runs of the alphabet or of digits, walks over neighbouring keys (with turns),
+speakable letters and brute-force stretches, by dynamic programming over the whole value. Every stretch of these kinds is offered,
+not only the longest. Values of ``threshold`` decimal digits of guesses or more are spans of the kind guess. ``pass: please`` is cheap
+and stays; a random key is not.
+
+Words are ranked: the fixed ones first, then those that ``vocabulary`` counts most often in a corpus (a job; at most ``RANKS`` of
+them reach the driver). A guess list is public, so its rank is the number of guesses.
 
 All spans are code points of the whole text, end exclusive. One pass over the documents, no shuffle.
 
@@ -21,7 +25,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slipmill.llm._shared import map_rows
+from slipmill.llm._shared import map_rows, words_of
 
 #: Decimal digits of guesses from which a value counts as a secret.
 THRESHOLD = 10.0
@@ -33,7 +37,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret|signing|encryption)[_-]?key|credentials?|auth(?:orization)?)"""
-    r"""["'`]?(?:\x20{0,8}(?:=>|:=|[:=])\x20{0,8}(?:(?:bearer|basic)\x20{1,8})?|\x20{1,8}is\x20{1,8}(?=["'`]?[!-~]{0,64}[0-9]))["'`]?([^\s"'`,;<>(){}\[\]]{6,})""", re.I | re.A)
+    r"""["'`]?(?:[\x20\t]*(?:=>|:=|[:=])[\x20\t]*(?:(?:bearer|basic)[\x20\t]+)?|[\x20\t]+is[\x20\t]+)["'`]?([^\s"'`,;<>(){}\[\]]{6,})""", re.I | re.A)
 _STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
 
 #: Frequent words of passwords, most frequent first; the place is the number of guesses.
@@ -44,15 +48,30 @@ and for with this that from have not you are was but all can had her one our out
 two way who boy did its let put say she too use summer winter spring autumn january february march april june july august
 september october november december monday tuesday friday sunday love baby angel lovely star family jordan michael thomas
 access key server database mysql oracle linux windows apple google computer internet""".split()
-ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+#: The rows of a keyboard, and how far each is shifted to the right, in keys.
+ROWS = (("`1234567890-=", -1.0), ("qwertyuiop[]", 0.5), ("asdfghjkl;'", 0.75), ("zxcvbnm,./", 1.25))
+#: Most words of a corpus that are ranked; longest unit of a repeat.
+RANKS, UNIT = 20_000, 16
 
-_WORDS = {w: math.log10(i + 1) for i, w in reversed(list(enumerate(dict.fromkeys(COMMON))))}
-_LONGEST = max(map(len, _WORDS))
+_FIXED = {w: math.log10(i + 1) for i, w in reversed(list(enumerate(dict.fromkeys(COMMON))))}
 _PLAIN = str.maketrans("430157$@!", "aeoistsai")
-_NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:])} | {b + a for row in ROWS for a, b in zip(row, row[1:])}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
-_LETTERS = re.compile(r"[A-Za-z]?[a-z]{3,15}")
-_REPEAT = re.compile(r"(.{1,8}?)\1{2,}", re.S)
+_VOWELS = frozenset("aeiouy")
+#: log10 of guesses: a new stretch; the first key of a walk, a turn of it, a step straight on; the start of a run, a step of it; another copy of
+#: a repeat; the first of speakable letters, a change between vowel and consonant, a letter of the same kind.
+STRETCH, WALK, TURN, AHEAD, RUN, STEP, COPY, SPEAK, CHANGE, SAME = 0.301, 1.68, 0.7, 0.1, 1.0, 0.1, 0.1, 1.5, 0.5, 0.85
+
+
+def _places() -> dict[str, tuple[float, float]]:
+    shifted = dict(zip("~!@#$%^&*()_+{}|:\"<>?", "`1234567890-=[]\\;',./"))
+    at = {c: (row, x + shift) for row, (keys, shift) in enumerate(ROWS) for x, c in enumerate(keys)}
+    return at | {c: at[k] for c, k in shifted.items() if k in at}
+
+
+_AT = _places()
+#: (a, b) -> direction, for keys next to each other.
+_WAY = {(a, b): (q[0] - p[0], (q[1] > p[1]) - (q[1] < p[1])) for a, p in _AT.items() for b, q in _AT.items()
+        if p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1}
 
 
 def _letters(c: str) -> int:
@@ -62,55 +81,95 @@ def _letters(c: str) -> int:
     return 100
 
 
-def pieces(value: str) -> list[tuple[int, int, float]]:
-    """(start, end, log10 of guesses) of every stretch that is cheaper than trying all characters."""
-    low, out = value.lower(), []
-    if len(low) != len(value):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
-    plain = low.translate(_PLAIN)
+def _low(value: str) -> str:
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+
+
+def word_pieces(value: str, words: dict[str, float]) -> list[tuple[int, int, float]]:
+    """(start, end, cost) of every stretch of three characters or more that is a word, in lower case or with signs for letters, or a date."""
+    low, out = _low(value), []
+    plain, most = low.translate(_PLAIN), max(map(len, words), default=0)
     for at in range(len(value)):
-        for end in range(at + 3, min(len(value), at + _LONGEST) + 1):
-            for form, extra in ((low, 0.0), (plain, 0.6)):
-                if (cost := _WORDS.get(form[at:end])) is not None:
-                    cased = 0.0 if value[at:end] == low[at:end] else 0.5
-                    out.append((at, end, cost + extra + cased))
-                    break
-    out += [(m.start(), m.end(), math.log10(365 * 60) if m.end() - m.start() > 4 else math.log10(140)) for m in _DATE.finditer(value)]
-    for m in _LETTERS.finditer(value):
-        vowels = sum(c in "aeiouyAEIOUY" for c in m[0]) / len(m[0])
-        if 0.25 <= vowels <= 0.7:  # speakable: as cheap as a word of a large dictionary
-            out.append((m.start(), m.end(), 1.5 + 0.5 * len(m[0])))
-    for m in _REPEAT.finditer(value):
-        unit = m[1]
-        out.append((m.start(), m.end(), sum(math.log10(_letters(c)) for c in unit) + math.log10((m.end() - m.start()) // len(unit))))
-    for test, first in ((lambda a, b: a + b in _NEXT, 47.0), (lambda a, b: ord(b) - ord(a) == 1, 26.0), (lambda a, b: ord(a) - ord(b) == 1, 52.0)):
-        at = 0
-        for i in range(1, len(low) + 1):
-            if i == len(low) or not test(low[i - 1], low[i]):
-                if i - at >= 3:
-                    out.append((at, i, math.log10(first * (i - at))))
-                at = i
+        for end in range(at + 3, min(len(value), at + most) + 1):
+            costs = [words[form[at:end]] + extra for form, extra in ((low, 0.0), (plain, 0.6)) if form[at:end] in words]
+            if costs:
+                out.append((at, end, min(costs) + 0.5 * (value[at:end] != low[at:end])))
+        for end in range(at + 4, min(len(value), at + 10) + 1):
+            if _DATE.fullmatch(value, at, end):
+                out.append((at, end, math.log10(140) if end == at + 4 else math.log10(365 * 140)))
     return out
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of value takes; linear in its length."""
-    if not value:
-        return 0.0
+def guess_cost(value: str, words: dict[str, float] | None = None) -> float:
+    """log10 of the guesses that the cheapest segmentation of value takes; work in proportion to its length.
+
+    States are the kinds of the stretch that ends at a place: each is entered from the cheapest of all (done) for STRETCH and grows a
+    character at a time (a repeat: a copy), so a stretch of any length is one path.
+    """
+    return _cost(value, _FIXED if words is None else words, {})
+
+
+def _cost(value: str, words: dict[str, float], units: dict[str, float]) -> float:
+    n, low = len(value), _low(value)
     ending: dict[int, list[tuple[int, float]]] = {}
-    for a, b, cost in pieces(value):
+    for a, b, cost in word_pieces(value, words):
         ending.setdefault(b, []).append((a, cost))
-    # Two states at each place: the last stretch is brute force, or it is not. A new stretch costs a factor of two.
-    free, known = [0.0], [0.0]
-    step = math.log10(2)
-    for i, c in enumerate(value):
-        brute = math.log10(_letters(c))
-        free.append(min(free[i] + (0 if i else step), known[i] + step) + brute)
-        known.append(min((min(free[a], known[a]) + step + cost for a, cost in ending.get(i + 1, ())), default=math.inf))
-    return min(free[-1], known[-1])
+    done = [0.0] + [math.inf] * n
+    brute, walk, run, speak = math.inf, {}, {}, {}
+    again: list[dict[int, float]] = [{} for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        c, sign = low[i - 1], math.log10(_letters(value[i - 1]))
+        brute = min(brute, done[i - 1] + STRETCH) + sign
+        # Walks and runs start with three characters; only the first of speakable letters may be a capital.
+        steps = [(low[k - 1], low[k]) for k in range(max(1, i - 3), i)]
+        ways, walk_to = [_WAY.get(s) for s in steps], {}
+        if ways and ways[-1]:
+            for way, cost in walk.items():
+                walk_to[ways[-1]] = min(walk_to.get(ways[-1], math.inf), cost + (AHEAD if way == ways[-1] else TURN))
+            if i >= 3 and ways[-2]:
+                walk_to[ways[-1]] = min(walk_to.get(ways[-1], math.inf), done[i - 3] + STRETCH + WALK + TURN + (AHEAD if ways[-2] == ways[-1] else TURN))
+        gaps, run_to = [ord(b) - ord(a) for a, b in steps], {}
+        if gaps and gaps[-1] in (1, -1):
+            costs = [run[gaps[-1]] + STEP] if gaps[-1] in run else []
+            if i >= 3 and gaps[-2] == gaps[-1]:
+                costs.append(done[i - 3] + STRETCH + RUN + 2 * STEP)
+            run_to = {gaps[-1]: min(costs)} if costs else {}
+        speak_to = {}
+        if "a" <= c <= "z":
+            for (kind, length), cost in speak.items() if value[i - 1] == c else ():
+                more = length + 1 if kind == (c in _VOWELS) else 1
+                if more < 3:
+                    key = (c in _VOWELS, more)
+                    speak_to[key] = min(speak_to.get(key, math.inf), cost + (CHANGE if more == 1 else SAME))
+            key = (c in _VOWELS, 1)
+            speak_to[key] = min(speak_to.get(key, math.inf), done[i - 1] + STRETCH + SPEAK + 0.5 * (value[i - 1] != c))
+        walk, run, speak = walk_to, run_to, speak_to
+        for p in range(1, min(UNIT, i // 2) + 1):
+            if value[i - p : i] == value[i - 2 * p : i - p]:
+                unit = value[i - p : i]
+                if unit not in units:
+                    units[unit] = _cost(unit, words, units) if p > 1 else sign
+                cost = min(done[i - 2 * p] + STRETCH + units[unit] + COPY, again[i - p].get(p, math.inf) + COPY)
+                again[i][p] = cost
+        done[i] = min([brute, *walk.values(), *run.values(), *speak.values(), *again[i].values(), *(done[a] + STRETCH + cost for a, cost in ending.get(i, ()))])
+    return done[n]
+
+
+def vocabulary(docs: DataFrame, ranks: int = RANKS) -> dict[str, float]:
+    """Words of 3 to 15 letters with the cost of their rank: the fixed ones, then the commonest of docs. Tokens count where they stand between
+    white space, in lower case or with a capital, with no sign but one at their end, so parts of keys are no words."""
+    token = F.explode(words_of(F.col("text"))).alias("w")
+    word = F.lower(F.regexp_extract("w", r"^([A-Z]?[a-z]{2,14})[.,;:!?]?$", 1)).alias("w")
+    counted = docs.select(token).select(word).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    out, place = dict(_FIXED), len(_FIXED)
+    for r in counted.orderBy(F.desc("n"), "w").limit(ranks).collect():
+        if r.w not in out:
+            place += 1
+            out[r.w] = math.log10(place)
+    return out
 
 
-def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
+def find(text: str | None, threshold: float = THRESHOLD, words: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by start, then kind as listed."""
     if not text:
         return []
@@ -119,18 +178,19 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int,
     if any(s in low for s in _STEMS):
         out += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
         at = {m.span(1) for m in _CONTEXT.finditer(text)} | {m.span(2) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6}
-        out += [("guess", a, b) for a, b in at if guess_cost(text[a:b]) >= threshold]
+        out += [("guess", a, b) for a, b in at if guess_cost(text[a:b], words) >= threshold]
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and spans (kind, start, end) of every document of docs (doc_id, text)."""
+def scan(docs: DataFrame, threshold: float = THRESHOLD, words: dict[str, float] | None = None) -> DataFrame:
+    """doc_id and spans (kind, start, end) of every document of docs (doc_id, text); words: see vocabulary(), by default the fixed ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def rows(batch: dict) -> dict:
-        found = [find(t, threshold) for t in batch["text"]]
+        found = [find(t, threshold, shared.value) for t in batch["text"]]
         return {"doc_id": batch["doc_id"], "spans": [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found]}
 
     return map_rows(docs, rows, "doc_id long, spans array<struct<kind:string,start:int,end:int>>", ["doc_id", "text"])
@@ -144,9 +204,9 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(line(base), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
-def masked(text: str | None, threshold: float = THRESHOLD) -> str | None:
+def masked(text: str | None, threshold: float = THRESHOLD, words: dict[str, float] | None = None) -> str | None:
     """text with every secret replaced by a mask; overlapping spans become one."""
-    if not (spans := find(text, threshold)):
+    if not (spans := find(text, threshold, words)):
         return text
     out, at, end = [], 0, -1
     for _, a, b in spans:
@@ -157,8 +217,9 @@ def masked(text: str | None, threshold: float = THRESHOLD) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def mask(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def mask(docs: DataFrame, threshold: float = THRESHOLD, words: dict[str, float] | None = None) -> DataFrame:
     """docs with the secrets of their texts masked and n_chars, if there is one, counted anew; other columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         import pyarrow as pa
@@ -167,7 +228,7 @@ def mask(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 where = part.schema.names.index("text")
-                text = pa.array([masked(t, threshold) for t in part.column(where).to_pylist()], type=part.schema.field(where).type)
+                text = pa.array([masked(t, threshold, shared.value) for t in part.column(where).to_pylist()], type=part.schema.field(where).type)
                 yield part.set_column(where, part.schema.field(where), text)
 
     out = docs.mapInArrow(run, docs.schema)

@@ -1,10 +1,10 @@
 """Toxic spans by a linear-chain conditional random field.
 
 States: plain and toxic. The training tokens get their labels from the document labels of a bounded sample (``limit``
-rows of either label, a documented parameter): a token of a toxic document is toxic if its word, or a stem of four to
+rows of either label, of these as many as have ``chars`` characters together; documented parameters): a token of a toxic document is toxic if its word, or a stem of four to
 six of its letters, stands in so many more of the sample's toxic documents than of its clean ones that chance does
 not explain it (a likelihood ratio test). The field has one hashed weight vector over word, prefix, suffix and shape
-features and a transition matrix, trained by gradient ascent on the exact log-likelihood (forward-backward). Scoring
+features and a transition matrix, trained on every token of the sample by gradient ascent on the exact log-likelihood (forward-backward). Scoring
 runs forward-backward over every token of every whole text; the marginals give the offending offsets, and a calibrated
 logistic function of the two largest and the summed marginals gives the document's score.
 
@@ -24,10 +24,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipmill.llm._shared import keep_rows, map_rows
+from slipmill.llm._shared import cut, keep_rows, map_rows
 
-#: Width of the hashed features, labelled rows of either kind at most, and remembered words per worker at most.
-WIDTH, LIMIT, MEMORY = 1 << 17, 800, 1_000_000
+#: Width of the hashed features, labelled rows of either kind at most, their characters at most, remembered words per worker at most.
+WIDTH, LIMIT, CHARS, MEMORY = 1 << 17, 800, 4_000_000, 1_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
@@ -138,7 +138,7 @@ def marginals(unary: list[np.ndarray], trans: np.ndarray, pairs: np.ndarray | No
     return np.split(out.T.reshape(-1)[place], np.cumsum(sizes)[:-1])
 
 
-def fit(toxic: list[str | None], clean: list[str | None], rounds: int = 40, rate: float = 0.5) -> dict:
+def fit(toxic: list[str | None], clean: list[str | None], rounds: int = 25, rate: float = 1.5) -> dict:
     """Weights, transitions and the calibration of document scores."""
     model = {"weight": np.zeros(WIDTH, np.float32), "bias": 0.0, "trans": np.zeros((2, 2)), "line": None}
     if not toxic or not clean:
@@ -149,13 +149,7 @@ def fit(toxic: list[str | None], clean: list[str | None], rounds: int = 40, rate
     plain = [[name[w] for w in ws] for ws in tokens]
     known = lexicon(plain[: len(toxic)], plain[len(toxic) :])
     hot = {w for w, n in name.items() if any(s in known for s in stems(n))}
-    # Stretches around toxic tokens and as many plain ones: the chain is local, so training needs no more.
-    runs: list[tuple[list[str], np.ndarray]] = []
-    for k, ws in enumerate(tokens):
-        gold = np.array([w in hot and k < len(toxic) for w in ws], np.float64)
-        for i in np.flatnonzero(gold)[:4].tolist() or ([len(ws) // 2] if ws else []):
-            part = slice(max(0, i - 20), i + 21)
-            runs.append((ws[part], gold[part]))
+    runs = [(ws, np.array([k < len(toxic) and w in hot for w in ws], np.float64)) for k, ws in enumerate(tokens) if ws]
     if not runs:
         return model
     vocab = {w: i for i, w in enumerate(dict.fromkeys(w for r in runs for w in r[0]))}
@@ -220,14 +214,22 @@ def tag(model: dict, texts: list[str | None], memory: dict[str, float]) -> list[
     return list(zip(words, marginals([np.fromiter(map(memory.__getitem__, ws), np.float64, len(ws)) for ws in words], model["trans"]), strict=True))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = LIMIT) -> dict:
-    """Fits on at most ``limit`` toxic and ``limit`` clean rows for which ``usable`` (over doc_id) holds."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = LIMIT, chars: int = CHARS) -> dict:
+    """Fits on at most ``limit`` toxic and ``limit`` clean rows for which ``usable`` (over doc_id) holds: in the order of a hash of the
+    doc_id, those whole texts that fit into half of ``chars`` for either label, so the driver's share is bounded in bytes too."""
     marked = labels.where(F.col("toxic").isin(0, 1)).where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for k in (1, 0)]
     drawn = F.broadcast(pick[0].union(pick[1]))
-    found = docs.select("doc_id", "text").join(drawn, "doc_id").groupBy("doc_id").agg(
-        F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = sorted(found.collect(), key=lambda r: r.doc_id)
+    found = cut(docs.select("doc_id", "text").join(drawn, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
+    room, chosen = {0: chars // 2, 1: chars // 2}, []
+    for r in found.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.n <= room[r.toxic]:
+            room[r.toxic] -= r.n
+            chosen.append((r.doc_id,))
+    if not chosen:
+        return fit([], [])
+    keys = docs.sparkSession.createDataFrame(chosen, "doc_id long")
+    rows = sorted(found.join(F.broadcast(keys), "doc_id").collect(), key=lambda r: r.doc_id)
     return fit([r.text for r in rows if r.toxic], [r.text for r in rows if not r.toxic])
 
 

@@ -73,5 +73,19 @@ def test_digests(spark):
     assert got[1].n_turns == 4 and got[1].loss_chars == 6 and got[1].loss_sha256 == sha("a\\ba\\b")
     assert got[1].turns_sha256 == sha("user\n</s>[INST] ok [/INST]\nassistant\na\\b\nassistant\na\\b\nassistant\n\n")
     assert got[None].loss_chars == 70_000 and got[2].loss_sha256 == sha("") and got[2].turns_sha256 == sha("\nx\n")
-    assert sorted(map(str, C.round_trip(C.log_of(table.repartition(5)), dealt=True).collect())) == sorted(map(str, got.values()))
+    assert sorted(map(str, C.round_trip(C.log_of(table.repartition(5))).collect())) == sorted(map(str, got.values()))
     assert C.round_trip(C.log_of(table.limit(0))).collect() == []
+
+
+def test_log_holds_what_the_fold_takes_back(spark):
+    table = spark.createDataFrame([(c, t, "assistant" if t % 2 else "user", f"text {c} {t}") for c in range(4) for t in range(9)], "conv_id long, turn long, role string, text string")
+    events = C.log_of(table).collect()
+    assert {"open", "delta", "edit", "regenerate"} == {e.kind for e in events} and any(e.text == C.STALE for e in events)
+    got = sorted((r.conv_id, *C.parse(r.piece)) for r in C.formatted(spark.createDataFrame(events)).collect())
+    assert got == sorted((r.conv_id, r.role, r.text) for r in table.collect())
+
+
+def test_null_order(spark):
+    events = [(1, 1, None, "open", "user", "a"), (1, 1, 5, "delta", None, "b"), (1, None, None, "open", "system", "s"), (1, 2, 1, "regenerate", "assistant", "c")]
+    frame = spark.createDataFrame(events, "conv_id long, message long, seq long, kind string, role string, text string")
+    assert [C.parse(r.piece) for r in C.formatted(frame).collect()] == [("system", "s"), ("user", "ab"), ("assistant", "c")]

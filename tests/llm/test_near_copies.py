@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from slipmill.llm import near_copies as N
 
@@ -70,11 +72,25 @@ def test_against_brute_force(spark):
     assert {r.doc_id for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_large_buckets_in_tiles(spark, monkeypatch):
+    for name, value in (("FEW", 2), ("TURNS", 0), ("TILE", 3)):
+        monkeypatch.setattr(N, name, value)
+    rows = corpus(2)[:90]
+    assert {r.doc_id for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == survivors(rows)
+
+
+def test_common():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (0, 5, 800, 7000, 6500, 3)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:4]]
+    assert (N.common(sets[:4], sets[2:]) == np.array(want)).all()
+
+
 def test_rows_are_known_by_id_and_text(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(7, text), (3, text), (9, "other words that stand alone here"), (9, "quite another text of the same number again"),
             (None, text), (None, None), (None, ""), (5, "twice"), (5, "twice")]
-    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, sh long")
+    docs = spark.createDataFrame([(*r, k, k, k, k) for k, r in enumerate(rows)], "doc_id long, text string, sh long, _gone_id long, _id long, th long")
     kept = N.keep_one(docs)
     assert kept.columns == docs.columns
     got = sorted((r.doc_id or -1, r.text or "") for r in kept.collect())

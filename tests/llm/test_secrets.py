@@ -1,5 +1,8 @@
 """Spans against a plain reading; guess costs; masking."""
 
+import functools
+import itertools
+import math
 import re
 
 from hypothesis import given, settings
@@ -30,12 +33,60 @@ def test_base_spans(text):
     assert [s for s in S.find(text) if s[0] != "guess"] == plain_base(text)
 
 
+WORDS = {"was": 0.4, "pass": 0.2, "aqua": 1.1, "sap": 0.9}
+
+
+def stretch_costs(v):
+    """The cost of v as one stretch, by each kind that it fits."""
+    low, out = v.lower(), [sum(math.log10(S._letters(c)) for c in v)]
+    plain = low.translate(str.maketrans("430157$@!", "aeoistsai"))
+    out += [WORDS[w] + extra + 0.5 * (v != low) for w, extra in ((low, 0), (plain, 0.6)) if w in WORDS and len(v) >= 3]
+    ways = [S._WAY.get(p) for p in zip(low, low[1:])]
+    if len(v) >= 3 and None not in ways:
+        out.append(S.WALK + S.TURN + sum(S.AHEAD if a == b else S.TURN for a, b in zip(ways, ways[1:])))
+    gaps = {ord(b) - ord(a) for a, b in zip(low, low[1:])}
+    if len(v) >= 3 and gaps in ({1}, {-1}):
+        out.append(S.RUN + S.STEP * (len(v) - 1))
+    if re.fullmatch("[A-Za-z][a-z]*", v):
+        kinds = [c in "aeiouy" for c in low]
+        if not any(a == b == c for a, b, c in zip(kinds, kinds[1:], kinds[2:])):
+            out.append(S.SPEAK + 0.5 * (v != low) + sum(S.SAME if a == b else S.CHANGE for a, b in zip(kinds, kinds[1:])))
+    for p in range(1, len(v) // 2 + 1):
+        if len(v) % p == 0 and v == v[:p] * (len(v) // p):
+            out.append((math.log10(S._letters(v[0])) if p == 1 else brute_cost(v[:p])) + S.COPY * (len(v) // p - 1))
+    return min(out)
+
+
+@functools.cache
+def brute_cost(v):
+    """The least over all segmentations."""
+    n, best = len(v), math.inf
+    for cuts in itertools.product((0, 1), repeat=max(0, n - 1)):
+        ends = [0, *(k + 1 for k, c in enumerate(cuts) if c), n]
+        best = min(best, sum(S.STRETCH + stretch_costs(v[a:b]) for a, b in zip(ends, ends[1:])))
+    return best
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.sampled_from(["a", "q", "w", "s", "p", "u", "1", "2", "3", "A", "@", "b", "c", "was", "sap"]), min_size=1, max_size=6).map("".join).filter(lambda v: len(v) <= 8))
+def test_guess_cost_is_the_least_of_all_segmentations(v):
+    assert math.isclose(S.guess_cost(v, WORDS), brute_cost(v), abs_tol=1e-9)
+
+
 def test_guess_cost():
-    cheap = ("password", "Password1", "qwerty123", "aaaaaaaa", "2019-07-04", "letmein", "abcdefgh", "please", "changeme", "P@ssw0rd")
-    dear = ("x9$Kq2!vLw7z", HEX + HEX, "tR4vN8qZ1mXb", "correct-9Xz-horse-Qq7-battery")
+    cheap = ("password", "Password1", "qwerty123", "aaaaaaaa", "2019-07-04", "letmein", "abcdefgh", "please", "changeme", "P@ssw0rd", "1qaz2wsx", "1qaz2wsx3edc", "hunter2hunter2")
+    dear = ("x9$Kq2!vLw7z", HEX + HEX, "tR4vN8qZ1mXb", "correct-9Xz-horse-Qq7-battery", "qZxKvJwYpLmNtR")
     assert all(S.guess_cost(v) < S.THRESHOLD <= S.guess_cost(w) for v in cheap for w in dear)
     assert S.guess_cost("") == 0 and S.guess_cost("password") < S.guess_cost("passwordpassword") + 1
-    assert S.guess_cost("ab" * 50_000) < 10 and S.guess_cost("k7Q" + "x" * 3) > 0
+    assert S.guess_cost("ab" * 20_000) > 100 > S.guess_cost("ab" * 100) and S.guess_cost("k7Q" + "x" * 3) > 0
+
+
+def test_learnt_words(spark):
+    rows = [(1, "Marotiel, brandovexi. marotiel k9Xq2LmZ4vRw key=kqzxwvj"), (2, None), (3, "")]
+    words = S.vocabulary(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, w int"))
+    assert words["password"] == 0 and "k9xq2lmz4vrw" not in words and "kqzxwvj" not in words
+    assert words["marotiel"] < words["brandovexi"] and S.guess_cost("Marotiel-brandovexi", words) < S.THRESHOLD
+    assert S.find("password is qZxKvJwYpLmNtR") == [("guess", 12, 26)] and S.find("passphrase:\t   x9$Kq2!vLw7z")[0][0] == "guess"
 
 
 def test_spans_in_context():

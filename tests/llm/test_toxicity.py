@@ -61,3 +61,36 @@ def test_score_of_planted_words(spark):
     none = T.train(docs, labels.limit(0), F.lit(True))
     assert {r.score for r in T.score(docs, none).collect()} == {0.0} and T.keep_clean(docs, none).count() == len(rows)
     assert T.score(docs.limit(0), model).collect() == []
+
+
+def test_every_token_of_the_sample_is_learnt(monkeypatch):
+    seen = []
+    real = T.marginals
+    monkeypatch.setattr(T, "marginals", lambda unary, *a, **k: seen.append(sum(map(len, unary))) or real(unary, *a, **k))
+    toxic = ["good " * 300 + "you idiot " * 6 + "fine " * 200] * 3
+    clean = [f"word{i} plain text here " * 40 for i in range(5)]
+    T.fit(toxic, clean, rounds=1)
+    assert seen[0] == sum(len(t.split()) for t in toxic + clean)
+
+
+def test_sample_is_bounded_in_characters(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, ("idiot " if i % 2 else "fine ") * (10_000 if i < 4 else 5)) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert T.train(docs, labels, F.lit(True), chars=2000)["line"] is not None
+    assert T.train(docs, labels, F.lit(True), chars=2)["line"] is None
+
+
+def test_held_out_documents_of_the_tables(spark):
+    import os
+
+    at = "/root/testdata/sf0.1"
+    if not os.path.isdir(at):
+        pytest.skip("no tables")
+    from slipmill.llm.queries import op3_toxicity
+
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    rows = op3_toxicity(spark, at).where("held_out").join(labels, "doc_id").where("toxic is not null").collect()
+    right = {k: np.mean([r.predicted == k for r in rows if r.toxic == k]) for k in (0, 1)}
+    assert right[0] >= 0.97 and right[1] >= 0.8
