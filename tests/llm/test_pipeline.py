@@ -48,3 +48,17 @@ def test_stages(spark, planted):
 
 def test_run(spark, planted):
     assert corpus_pipeline.run(spark, planted[0]).count() == len(planted[1]) - 40 - 4 - 1
+
+
+def test_empty_tables_and_other_columns(spark, planted, tmp_path):
+    at, _ = planted
+    none = str(tmp_path)
+    for name, kind in (("documents", COLUMNS + ", _gone_id int, bucket string"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{none}/{name}.parquet")
+    table = spark.read.parquet(f"{none}/documents.parquet")
+    more = spark.read.parquet(f"{at}/documents.parquet").limit(5).selectExpr("*", "1 as _gone_id", "'b' as bucket")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table, none).count() == 0, name
+        out = stage(spark, more, none)
+        assert out.count() == 5 and (name == "packing" or out.columns == more.columns)
+    assert corpus_pipeline.run(spark, none).count() == 0
