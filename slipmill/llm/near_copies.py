@@ -13,8 +13,8 @@ Candidates come from two searches.
    values are a sketch; candidates that differ in over ``MOST`` of them (4.5 deviations from what 0.8 gives) are not verified.
 
 A bucket is not compared pair by pair. In each of ``TURNS`` turns the components that meet in a bucket are compared through
-members drawn from its largest component: of all pairs between two components the likeliest by sketch are verified, one, then
-16 of them, and components that turn out to be linked become one. So a large group of copies costs rows in proportion to its size. What
+members drawn from its largest component: of all pairs between two components the likeliest by sketch are verified (one, in later
+turns 16 times as many), and components that turn out to be linked become one. So a large group of copies costs rows in proportion to its size. What
 is then still apart within a bucket is compared in full, so every two members of a bucket are in one component or were compared: in
 buckets of up to ``FEW`` as pairs, in larger ones inside tasks, tile against tile, whose sets are counted by matrix products and
 which give only a forest of links.
@@ -43,7 +43,7 @@ from slipmill.llm._shared import cut, fresh, map_rows, small
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 26, 5
 #: Differing sketch bits at most, turns, members drawn from a bucket's largest component in each turn, remembered words per worker.
-MOST, TURNS, HUBS, MEMORY = 28, 2, 6, 1_000_000
+MOST, TURNS, HUBS, MEMORY = 28, 1, 8, 100_000
 #: Members of a bucket that is compared as pairs; members and bytes of sets of a tile in larger ones.
 FEW, TILE, TILE_BYTES = 8, 1024, 16_000_000
 _RNG = np.random.default_rng(11)

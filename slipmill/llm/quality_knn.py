@@ -27,7 +27,7 @@ from slipmill.llm._shared import map_rows
 #: Hashed widths of words, byte trigrams and class trigrams, number of latent dimensions, voters, labelled rows at most.
 WORDS, BYTES, TRIGRAMS, DIMS, VOTERS, LIMIT = 4096, 2048, 1024, 96, 25, 4096
 #: Remembered words per worker at most.
-MEMORY = 500_000
+MEMORY = 100_000
 _CLASSES = 24
 
 

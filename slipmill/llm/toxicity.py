@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from slipmill.llm._shared import cut, keep_rows, map_rows
 
 #: Width of the hashed features, labelled rows of either kind at most, their characters at most, remembered words per worker at most.
-WIDTH, LIMIT, CHARS, MEMORY = 1 << 17, 800, 4_000_000, 1_000_000
+WIDTH, LIMIT, CHARS, MEMORY = 1 << 17, 800, 4_000_000, 200_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
