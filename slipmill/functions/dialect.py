@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Unicode white space, written out: a class of ranges is several times as fast as the property.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@functools.cache
 def rx(pattern: str, flags: str = "") -> str:
-    return f"(?dU{flags}){pattern}"
+    """pattern with Unicode classes, and line feeds as the only line ends."""
+    if "(?i)" in pattern:
+        return f"(?dU{flags}){pattern}"
+    out, inside = [], False
+    for part in re.findall(r"\\.|.", pattern, re.S):
+        if part in (r"\s", r"\S"):
+            part = WHITE if inside else f"[{'^' * (part == chr(92) + 'S')}{WHITE}]"
+        elif part in (r"\d", r"\D"):
+            part = rf"\{'p' if part[1] == 'd' else 'P'}{{Nd}}"
+        elif part in "[]":
+            inside = part == "["
+        out.append(part)
+    return f"(?d{flags}){''.join(out)}"
 
 
 def trim_u(c: Column) -> Column:
-    return F.regexp_replace(c, rx(r"^\s+|\s+$"), "")
+    return F.btrim(c, F.lit("".join(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))))
 
 
 def some(c: Column) -> Column:

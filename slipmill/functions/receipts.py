@@ -19,41 +19,46 @@ FIELD = "array<struct<ord:int,key:string,label:string,value:string,confidence:fl
 
 def kind_of(text: Column) -> Column:
     """The kind of a document: the first rule that holds; null text is unknown."""
-    t = trim_u(F.coalesce(text, F.lit("")))
+    t = F.coalesce(text, F.lit(""))
     toll = has(t, P.TOLL_TITLE) | (has(t, P.TOLL_ENTRY) & has(t, P.TOLL_EXIT))
     vat = has(t, *P.VAT_WORDS) | (has(t, P.VAT_TOTAL) & has(t, P.VAT_TAX))
     train = has(t, *P.TRAIN_WORDS) | t.rlike(rx(P.TRAIN_LINE, "m"))
     return F.when(toll | vat, P.VAT).when(train, P.TRAIN).when(has(t, *P.FLIGHT_WORDS), P.FLIGHT).otherwise(P.UNKNOWN)
 
 
+#: Signs by number: digits 0 to 9 in either script as their figures, then the units.
+_SMALL = [u for u, v in P.UNITS.items() if v < 10_000]
+_FIGURES = "0123456789"
+
+
 def cn_integer(c: Column) -> Column:
     """A number in Chinese numerals as a long; a unit without a digit before it counts once, a second digit replaces the first."""
-    state = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("section"), F.lit(0).cast("long").alias("num"))
+    plain = F.translate(c, "".join(P.DIGITS), _FIGURES * len(P.DIGITS))
+    long = lambda x: x.cast("long")
+    state = F.struct(long(F.lit(0)).alias("total"), long(F.lit(0)).alias("section"), long(F.lit(0)).alias("num"))
 
     def make(total: Column, section: Column, num: Column) -> Column:
-        return F.struct(total.cast("long").alias("total"), section.cast("long").alias("section"), num.cast("long").alias("num"))
+        return F.struct(long(total).alias("total"), long(section).alias("section"), long(num).alias("num"))
 
     def step(s: Column, ch: Column) -> Column:
-        digit = F.greatest(*(F.instr(F.lit(d), ch) for d in P.DIGITS)) - 1
-        unit = F.lit(None).cast("long")
-        for sign, value in P.UNITS.items():
-            unit = F.when(ch == sign, F.lit(value).cast("long")).otherwise(unit)
-        zero, all_ = F.lit(0), F.try_add(F.try_add(s["total"], s["section"]), s["num"])
-        return (F.when(digit >= 0, make(s["total"], s["section"], digit))
-                .when(unit == 100_000_000, make(F.try_multiply(all_, unit), zero, zero))
-                .when(unit == 10_000, make(s["total"], F.try_multiply(F.try_add(s["section"], s["num"]), unit), zero))
-                .when(unit.isNotNull(), make(s["total"], F.try_add(s["section"], F.try_multiply(F.greatest(s["num"], F.lit(1)), unit)), zero))
+        unit, zero = F.lit(10), F.lit(0)
+        for sign in _SMALL:
+            unit = F.when(ch == sign, F.lit(P.UNITS[sign])).otherwise(unit) if P.UNITS[sign] != 10 else unit
+        all_ = F.try_add(F.try_add(s["total"], s["section"]), s["num"])
+        return (F.when(ch.between("0", "9"), make(s["total"], s["section"], F.ascii(ch) - 48))
+                .when(ch.isin(*_SMALL), make(s["total"], F.try_add(s["section"], F.try_multiply(F.greatest(s["num"], long(F.lit(1))), long(unit))), zero))
+                .when(ch == "万", make(s["total"], F.try_multiply(F.try_add(s["section"], s["num"]), long(F.lit(10_000))), zero))
+                .when(ch == "亿", make(F.try_multiply(all_, long(F.lit(100_000_000))), zero, zero))
                 .otherwise(s))
 
-    return F.aggregate(F.split(c, ""), state, step, lambda s: F.try_add(F.try_add(s["total"], s["section"]), s["num"]))
+    return F.aggregate(F.split(plain, ""), state, step, lambda s: F.try_add(F.try_add(s["total"], s["section"]), s["num"]))
 
 
 def cn_amount(text: Column) -> Column:
     """The first amount in words as a string with two decimals, or null."""
-    part = lambda k: F.coalesce(some(F.regexp_extract(text, rx(P.CN_AMOUNT), k)), F.lit("零"))
-    digit = lambda c: (F.greatest(*(F.instr(F.lit(d), c) for d in P.DIGITS)) - 1).cast("decimal(38,2)")
-    value = cn_integer(part(1)).cast("decimal(36,2)") + digit(part(2)) / 10 + digit(part(3)) / 100
-    return F.when(first(text, P.CN_AMOUNT).isNotNull(), value.cast("decimal(38,2)").cast("string"))
+    digit = lambda c: F.coalesce(some(F.translate(c, "".join(P.DIGITS), _FIGURES * len(P.DIGITS))), F.lit("0"))
+    whole = lambda g: cn_integer(F.get(g, 0)).cast("string")
+    return let(groups(text, P.CN_AMOUNT, 3), lambda g: F.concat(whole(g), F.lit("."), digit(F.get(g, 1)), digit(F.get(g, 2))))
 
 
 def clean_tax_no(c: Column) -> Column:
@@ -131,9 +136,11 @@ register(P.TRAIN, lambda t: _listed(P.TRAIN, train_values(t)))
 register(P.FLIGHT, lambda t: _listed(P.FLIGHT, flight_values(t)))
 
 
-def fields_of(kind: Column, text: Column) -> Column:
-    """Fields in order; only the branch of the row's kind is evaluated. Other kinds have none."""
+def fields_of(kind: Column, text: Column, kinds: tuple[str, ...] | None = None) -> Column:
+    """Fields in order; only the branch of the row's kind is evaluated. Other kinds have none, nor have those not among kinds, if given."""
     out = F.array().cast(FIELD)
     for name, extract in EXTRACTORS.items():
+        if kinds is not None and name not in kinds:
+            continue
         out = F.when(kind == name, extract(text).cast(FIELD)).otherwise(out)
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipmill.functions.dialect import trim_u
+from slipmill.functions.dialect import rx, trim_u
 from slipmill.functions.qr import qr_fields
 from slipmill.functions.receipts import FIELD, fields_of, kind_of
 from slipmill.operators.verify import verification
@@ -17,14 +17,14 @@ PDF_LEAST = 20
 EMPTY, NO_RASTER = "EmptyInput", "RasterNotAvailable"
 
 
-def text_documents(df: DataFrame, text: str = "text", id_col: str = "doc_id", on_error: str = "quarantine") -> DataFrame:
+def text_documents(df: DataFrame, text: str = "text", id_col: str = "doc_id", on_error: str = "quarantine", kinds: tuple[str, ...] | None = None) -> DataFrame:
     """doc_id, kind, fields, raw_text and error_kind of every row. on_error: 'quarantine' keeps blank rows with their error_kind
-    and no kind or fields, 'fail' raises."""
+    and no kind or fields, 'fail' raises. kinds: only documents of these kinds get fields."""
     t = F.col(text)
-    blank = trim_u(F.coalesce(t, F.lit(""))) == ""
+    blank = ~F.coalesce(t, F.lit("")).rlike(rx(r"\S"))
     error = F.when(blank, F.raise_error(F.lit("EmptyInput: no text"))) if on_error == "fail" else F.when(blank, EMPTY)
     out = df.select(F.col(id_col).alias("doc_id"), F.when(~blank, kind_of(t)).alias("kind"), t.alias("raw_text"), error.cast("string").alias("error_kind"))
-    return out.select("doc_id", "kind", F.when(F.col("error_kind").isNull(), fields_of(F.col("kind"), F.col("raw_text"))).alias("fields"), "raw_text", "error_kind")
+    return out.select("doc_id", "kind", F.when(F.col("error_kind").isNull(), fields_of(F.col("kind"), F.col("raw_text"), kinds)).alias("fields"), "raw_text", "error_kind")
 
 
 def long_fields(documents: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def _long_sql(kind: str, values: dict[str, str], where: str) -> str:
 
 def _extracted(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Fields of all receipts whose text is of the kind; toll receipts are of kind VAT."""
-    return pipeline.long_fields(pipeline.text_documents(render.documents(spark, sf_dir)).where(F.col("kind") == kind))
+    return pipeline.long_fields(pipeline.text_documents(render.documents(spark, sf_dir), kinds=(kind,)).where(F.col("kind") == kind))
 
 
 def classify_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def vat_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vat_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = render.orders(spark, sf_dir).withColumn("text", settled(render.vat_text()))
-    return pipeline.wide_fields(pipeline.text_documents(docs), P.VAT)
+    return pipeline.wide_fields(pipeline.text_documents(docs, kinds=(P.VAT,)), P.VAT)
 
 
 def train_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ def vat_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cn_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts in words, every digit printed with its unit, zeros too."""
-    o = render.table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("n"))
+    o = render.spread(render.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")).select("o_orderkey", F.floor("o_totalprice").cast("long").alias("n"))
     sign = lambda p: F.substring(F.lit(P.DIGITS[0]), (F.floor(F.col("n") / p) % 10 + 1).cast("int"), F.lit(1))
     words = F.concat(sign(10_000_000), F.lit("仟"), sign(1_000_000), F.lit("佰"), sign(100_000), F.lit("拾"), sign(10_000), F.lit("万"), sign(1000), F.lit("仟"),
                      sign(100), F.lit("佰"), sign(10), F.lit("拾"), sign(1))
@@ -138,7 +138,7 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verify_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _checked(spark, sf_dir)
-    fields = pipeline.text_documents(rows.select("doc_id", "text", "raw"))
+    fields = pipeline.text_documents(rows.select("doc_id", "text", "raw"), kinds=(P.VAT,))
     v = pipeline.verified(fields, rows.select("doc_id", "raw")).select("doc_id", "kind", F.size("fields").alias("n_fields"), "verification.*")
     return v.select("doc_id", "kind", "n_fields", "status", F.size("matched").alias("n_matched"), F.size("conflicts").alias("n_conflicts"),
                     F.get("conflicts", 0)["qr_value"].alias("qr_value"), F.get("conflicts", 0)["ocr_value"].alias("ocr_value"))
@@ -146,13 +146,13 @@ def verify_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verify_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _checked(spark, sf_dir)
-    fields = pipeline.long_fields(pipeline.text_documents(rows))
+    fields = pipeline.long_fields(pipeline.text_documents(rows, kinds=(P.VAT,)))
     return verify.statuses(rows, fields, pipeline.inlined(rows, qr_fields(F.col("raw"))))
 
 
 def verify_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _checked(spark, sf_dir)
-    fields = pipeline.long_fields(pipeline.text_documents(rows))
+    fields = pipeline.long_fields(pipeline.text_documents(rows, kinds=(P.VAT,)))
     return verify.compare(fields, pipeline.inlined(rows, qr_fields(F.col("raw")))).where("not same").drop("same")
 
 

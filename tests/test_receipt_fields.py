@@ -8,7 +8,7 @@ from slipmill.plans import text_queries
 def test_every_receipt_is_extracted(spark, monkeypatch):
     seen = []
     extract = text_queries.pipeline.text_documents
-    monkeypatch.setattr(text_queries.pipeline, "text_documents", lambda docs, *a: seen.append(docs.count()) or extract(docs, *a))
+    monkeypatch.setattr(text_queries.pipeline, "text_documents", lambda docs, *a, **k: seen.append(docs.count()) or extract(docs, *a, **k))
     at = "/root/testdata/sf0.001"
     total = spark.read.parquet(f"{at}/orders.parquet").count()
     for name in ("vat_fields", "train_fields", "flight_fields", "receipt_fields"):
