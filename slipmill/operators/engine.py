@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 LOG = logging.getLogger("slipmill")
@@ -59,11 +61,36 @@ def dictionary(stated: str | None, lines: list[str] | None, leading_blank: bool
     return [""] * leading_blank + [x for x in lines if x.strip()]
 
 
+def stated_characters(metadata: Callable[[], dict]) -> str | None:
+    """The dictionary that a model's metadata state under ``character``; None if there are none or they cannot be read."""
+    try:
+        return metadata().get("character") or None
+    except Exception:  # noqa: BLE001  a model without metadata has no dictionary
+        return None
+
+
+#: Models of this Python worker, by the content of what loads them.
+_LOADED: dict[str, object] = {}
+
+
+def cached(load: Callable[[], object]) -> Callable[[], object]:
+    """load, run at most once in a Python worker for as long as Spark reuses it, however many tasks it serves."""
+    key = hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
+
+    def get() -> object:
+        if key not in _LOADED:
+            _LOADED[key] = load()
+        return _LOADED[key]
+
+    return get
+
+
 def per_worker(load: Callable[[], object], apply: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str) -> Callable[[DataFrame], DataFrame]:
-    """A DataFrame operator. load runs once in each Python worker's task, where the model then stays; apply maps a batch of rows."""
+    """A DataFrame operator. load runs once in each Python worker, where the model then stays; apply maps a batch of rows."""
+    get = cached(load)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model = get()
         for pdf in frames:
             yield apply(model, pdf)
 

@@ -73,6 +73,40 @@ def stacked(images: list[np.ndarray], height: int) -> np.ndarray:
     return np.stack([normalised(i, width, height) for i in images])
 
 
+def detection_tensor(a: np.ndarray, limit: int, fixed: tuple[int, int] | None = None) -> tuple[np.ndarray, float, float]:
+    """A 3 x h x w tensor of an image, and the scales from it to the image (x, y): shrunk so that its longer side is at most limit, never grown; padded to
+    multiples of 32, or cut and padded to fixed (h, w)."""
+    h, w = a.shape
+    ratio = limit / max(h, w) if max(h, w) > limit else 1.0
+    nw, nh = max(round(w * ratio), 1), max(round(h * ratio), 1)
+    if fixed:
+        nh, nw = min(nh, fixed[0]), min(nw, fixed[1])
+    ph, pw = fixed or (-(-nh // 32) * 32, -(-nw // 32) * 32)
+    return normalised(resized(a, nw, nh), pw, ph, MEAN, DEVIATION), w / nw, h / nh
+
+
+def recognition_tensor(a: np.ndarray, height: int, most: int, fixed: bool = False) -> np.ndarray:
+    """A 3 x height x w tensor of a line: as wide as its height asks for, at most most; padded to a multiple of 8, or to most if fixed."""
+    width = min(max(round(a.shape[1] / (max(a.shape[0], 1) / height)), 1), most)
+    return normalised(resized(a, width, height), most if fixed else -(-width // 8) * 8, height)
+
+
+def orientation_tensor(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A 3 x height x width tensor of a line, stretched."""
+    return normalised(resized(a, width, height), width, height)
+
+
+def luminance(a: np.ndarray) -> np.ndarray:
+    """An h x w x 3 array whose channels are equal, as decoders of codes take it."""
+    return np.repeat(a[:, :, None], 3, axis=2)
+
+
+def part_of(a: np.ndarray, x: int, y: int, w: int, h: int) -> np.ndarray:
+    """A part of an image, limited to the image; an empty part is the whole image."""
+    part = a[y : y + h, x : min(x + w, a.shape[1])] if x >= 0 and y >= 0 and w > 0 and h > 0 else a[:0]
+    return part if part.size else a
+
+
 def pixels(image: dict) -> np.ndarray:
     return np.frombuffer(image["pixels"], np.uint8).reshape(image["height"], image["width"])
 
@@ -96,18 +130,24 @@ resize = per_image(lambda a, p: resized(a, int(p[0]), int(p[1])))
 rotated_crop = per_image(lambda a, p: turned_cut(a, float(p[0]), float(p[1]), int(p[2]), int(p[3]), float(p[4])))
 
 
+_half_turn = per_image(lambda a, p: a[::-1, ::-1])
+_turned_if = per_image(lambda a, p: a[::-1, ::-1] if p[0] else a)
+_cut = per_image(lambda a, p: part_of(a, *map(int, p)))
+
+
 def half_turn(image: Column) -> Column:
-    """Turned by 180 degrees: the bytes in reverse."""
-    turned = F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex(image["pixels"]), F.lit("(..)"), F.lit(1))), ""))
-    return F.struct(image["width"].alias("width"), image["height"].alias("height"), turned.alias("pixels"))
+    """Turned by 180 degrees."""
+    return _half_turn(image, F.lit(0))
+
+
+def turned_if(image: Column, flag: Column) -> Column:
+    """Turned by 180 degrees where flag holds."""
+    return _turned_if(image, flag)
 
 
 def cut(image: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
     """A part of an image, limited to the image; an empty part is the whole image."""
-    w_in, h_in = F.least(w, image["width"] - x), F.least(h, image["height"] - y)
-    rows = F.transform(F.sequence(F.lit(0), F.greatest(h_in - 1, F.lit(0))), lambda r: F.hex(F.substring(image["pixels"], (y + r) * image["width"] + x + 1, w_in)))
-    part = F.struct(w_in.cast("int").alias("width"), h_in.cast("int").alias("height"), F.unhex(F.array_join(rows, "")).alias("pixels"))
-    return F.when((w_in > 0) & (h_in > 0), part).otherwise(F.struct(image["width"].alias("width"), image["height"].alias("height"), image["pixels"].alias("pixels")))
+    return _cut(image, x, y, w, h)
 
 
 def code_regions(width: Column, height: Column) -> Column:

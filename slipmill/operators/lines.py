@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,27 +49,53 @@ def segments(width: Column, most: Column, centres: Column) -> Column:
         end = F.when(reach >= width, width).otherwise(F.coalesce(F.try_element_at(within, F.lit(-1)), reach)).cast("int")
         return F.when(s["start"] >= width, s).otherwise(F.struct(end.alias("start"), F.concat(s["ends"], F.array(end)).alias("ends")))
 
-    # A segment is at least one column wide, so as many steps as columns do; gaps rarely make more than two for each reach.
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(width, F.lit(1))), state, step, lambda s: s["ends"])
+    # A segment ends at a gap, each of which ends one at most, or is as wide as the reach.
+    steps = F.ceil(width / F.greatest(most, F.lit(1))).cast("int") + F.size(centres) + 1
+    return F.aggregate(F.sequence(F.lit(1), steps), state, step, lambda s: s["ends"])
+
+
+def gap_centres(a: np.ndarray) -> list[int]:
+    """gaps() of one line's pixels."""
+    empty = np.pad(((a < INK).sum(axis=0) == 0).astype(np.int8), 1)
+    edge = np.diff(empty)
+    return [(s + e - 1) // 2 for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True) if e - s > 1]
+
+
+def segment_ends(width: int, most: int, centres: list[int]) -> list[int]:
+    """segments() of one line."""
+    ends = [0]
+    while ends[-1] < width:
+        reach = min(ends[-1] + most, width)
+        ends.append(reach if reach >= width else max((g for g in centres if ends[-1] < g <= reach), default=reach))
+    return ends[1:]
+
+
+def buckets(widths: list[int]) -> list[range]:
+    """Places of ascending widths that are read together. Widths ascend, so a line that does not fit the last bucket fits no earlier one that is
+    full, and none that is too narrow: only the last is tried."""
+    out: list[range] = []
+    for k, w in enumerate(widths):
+        if out and len(out[-1]) < BUCKET_ROWS and w - widths[out[-1][-1]] <= BUCKET_SPREAD:
+            out[-1] = range(out[-1].start, k + 1)
+        else:
+            out.append(range(k, k + 1))
+    return out
 
 
 def width_buckets(widths: DataFrame) -> DataFrame:
     """doc_id, idx, width and bucket of a document's lines (doc_id, idx, width): by width, into the first bucket with room whose widest member
-    is near. One document's lines are one small group."""
+    is near, which is always the last one, as widths ascend. One document's lines are one small array."""
+    rows = widths.select("doc_id", F.struct(F.col("width").cast("int").alias("width"), F.col("idx").cast("int").alias("idx")).alias("r"))
+    state = F.struct(F.lit(-1).alias("bucket"), F.lit(0).alias("n"), F.lit(0).alias("top"), F.array().cast("array<struct<idx:int,width:int,bucket:int>>").alias("out"))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, widest, count, out = pdf.sort_values(["width", "idx"], kind="stable"), [], [], []
-        for w in pdf["width"]:
-            b = next((i for i, top in enumerate(widest) if count[i] < BUCKET_ROWS and abs(w - top) <= BUCKET_SPREAD), len(widest))
-            if b == len(widest):
-                widest.append(w)
-                count.append(0)
-            widest[b], count[b] = max(widest[b], w), count[b] + 1
-            out.append(b)
-        return pdf.assign(bucket=out)
+    def step(s: Column, r: Column) -> Column:
+        fits = (s["bucket"] >= 0) & (s["n"] < BUCKET_ROWS) & (r["width"] - s["top"] <= BUCKET_SPREAD)
+        bucket = F.when(fits, s["bucket"]).otherwise(s["bucket"] + 1)
+        return F.struct(bucket.alias("bucket"), F.when(fits, s["n"] + 1).otherwise(1).alias("n"), r["width"].alias("top"),
+                        F.concat(s["out"], F.array(F.struct(r["idx"].alias("idx"), r["width"].alias("width"), bucket.alias("bucket")))).alias("out"))
 
-    rows = widths.select("doc_id", F.col("idx").cast("int"), F.col("width").cast("int"))
-    return rows.groupBy("doc_id").applyInPandas(place, "doc_id long, idx int, width int, bucket int")
+    placed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("r")).select("doc_id", F.aggregate("r", state, step, lambda s: s["out"]).alias("o"))
+    return placed.select("doc_id", F.inline("o"))
 
 
 def joined_text(segments: DataFrame) -> DataFrame:
@@ -85,6 +111,11 @@ def statistics(boxes: DataFrame, thresholds: tuple[int, ...] = (2, 5, 10, 20, 40
                      *(F.count_if(F.col("w") < t).alias(f"under_{t}") for t in thresholds))
 
 
+def spread(values: Column) -> Column:
+    """The largest of values over the least, the latter at least 1, as text with two decimals and an x; n/a without any."""
+    return F.coalesce(F.concat((F.max(values) / F.greatest(F.min(values), F.lit(1))).cast("decimal(18,2)").cast("string"), F.lit("x")), F.lit("n/a"))
+
+
 def narrowest(boxes: DataFrame, n: int = 20) -> DataFrame:
     """The n narrowest boxes, ties by id."""
     return boxes.orderBy("w", "box_id").limit(n)

@@ -28,16 +28,44 @@ def nearest(scores: Column, h: Column, w: Column, to_h: int, to_w: int) -> Colum
 
 
 def _labels(mask: np.ndarray) -> np.ndarray:
-    """8-neighbour components: for each cell the raster index of the component's first cell, -1 outside."""
+    """8-neighbour components: for each cell the raster index of the component's first cell, -1 outside. Runs of cells in a row are joined with the
+    runs that touch them in the row above; a run's root is the earliest of its component."""
     h, w = mask.shape
-    label = np.where(mask, np.arange(h * w).reshape(h, w), h * w)
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    out = np.full((h, w), -1)
+    if not len(row):
+        return out
+    above, touch = row * (w + 2) + start, row * (w + 2) + end
+    low = np.searchsorted(touch, (row - 1) * (w + 2) + start, side="left")
+    high = np.searchsorted(above, (row - 1) * (w + 2) + end, side="right")
+    many = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(row)), many)
+    b = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    root = np.arange(len(row))
     while True:
-        wide = np.pad(label, 1, constant_values=h * w)
-        least = np.min([wide[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)], axis=0)
-        least = np.where(mask, least, h * w)
-        if (least == label).all():
-            return np.where(mask, label, -1)
-        label = least
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(step := root[root], root):
+            root = step
+    first = (row * w + start)[root]
+    out[mask] = np.repeat(first, end - start)
+    return out
+
+
+def component_cells(scores: np.ndarray, h: int, w: int, threshold: float = CELL) -> list[dict]:
+    """n, mean and cells (raster indices) of every component of one map, by first cell."""
+    if not h or not w or len(scores) < h * w:
+        return []
+    label = _labels(scores[: h * w].reshape(h, w) > np.float32(threshold)).reshape(-1)
+    at = np.flatnonzero(label >= 0)
+    at = at[np.argsort(label[at], kind="stable")]
+    parts = np.split(at, np.flatnonzero(np.diff(label[at])) + 1) if len(at) else []
+    return [{"n": len(p), "mean": float(scores[p].astype(np.float64).mean()), "cells": p.astype(np.int32)} for p in parts]
 
 
 def components(maps: DataFrame, threshold: float = CELL) -> DataFrame:
@@ -46,8 +74,10 @@ def components(maps: DataFrame, threshold: float = CELL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for map_id, h, w, scores in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p = np.array(scores or [], np.float32)
+            ids, heights, widths, scores = batch.columns
+            for k in range(batch.num_rows):
+                map_id, h, w = ids[k].as_py(), heights[k].as_py(), widths[k].as_py()
+                p = np.asarray(scores[k].values, np.float32) if scores[k].is_valid else np.zeros(0, np.float32)
                 if not h or not w or len(p) < h * w:
                     continue
                 first = _labels(p[: h * w].reshape(h, w) > np.float32(threshold)).reshape(-1)
@@ -91,12 +121,14 @@ def _around(points: Column) -> Column:
     return F.array_min(F.transform(F.transform(F.sequence(F.lit(0), F.lit(179)), ends), box))
 
 
-def boxes(maps: DataFrame, threshold: float = CELL, least_mean: float = LEAST_MEAN, scale_x: float = 1.0, scale_y: float = 1.0) -> DataFrame:
-    """map_id, label and quad (four corners in the image's pixels) of every kept component, its box grown about the centre."""
+def boxes(maps: DataFrame, threshold: float = CELL, least_mean: float = LEAST_MEAN, scale_x: float = 1.0, scale_y: float = 1.0,
+          offset_x: float = 0.0, offset_y: float = 0.0) -> DataFrame:
+    """map_id, label and quad (four corners in the image's pixels: less the offset, times the scale) of every kept component, its box grown about the
+    centre."""
     from slipmill.operators.geometry import corners
 
     width = maps.select("map_id", "w")
     found = kept_components(maps, threshold, least_mean).join(width, "map_id")
     box = found.withColumn("b", smallest_box(F.col("cells"), F.col("w")))
     quad = corners(F.col("b.cx"), F.col("b.cy"), F.col("b.w") * GROWTH, F.col("b.h") * GROWTH, F.radians(F.col("b.a").cast("double")))
-    return box.select("map_id", "label", F.transform(quad, lambda p: F.struct((p["x"] * scale_x).alias("x"), (p["y"] * scale_y).alias("y"))).alias("quad"))
+    return box.select("map_id", "label", F.transform(quad, lambda p: F.struct(((p["x"] - offset_x) * scale_x).alias("x"), ((p["y"] - offset_y) * scale_y).alias("y"))).alias("quad"))

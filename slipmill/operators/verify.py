@@ -41,10 +41,12 @@ def verification(fields: Column, qr: Column, raw: Column) -> Column:
 def compare(fields: DataFrame, qr: DataFrame) -> DataFrame:
     """doc_id, ord (of the QR side), key, qr_value, ocr_value and same, for every key that both long tables have.
 
-    fields: doc_id, key, value; qr: doc_id, ord, key, value. Both sides hash on (doc_id, key), a document's rows stay few.
+    fields: doc_id, key, value and, if they have one, ord; qr: doc_id, ord, key, value. Both sides hash on (doc_id, key), a document's rows stay
+    few. Of fields that repeat a key the first counts (by ord, else the smallest value), as in verification().
     """
     left = qr.select("doc_id", "ord", "key", F.col("value").alias("qr_value"))
-    right = fields.where(trim_u(F.col("value")) != "").select("doc_id", "key", F.col("value").alias("ocr_value"))
+    order = F.col("ord") if "ord" in fields.columns else F.col("value")
+    right = fields.where(trim_u(F.col("value")) != "").groupBy("doc_id", "key").agg(F.min_by("value", order).alias("ocr_value"))
     joined = left.join(right, ["doc_id", "key"])
     return joined.select("doc_id", "ord", "key", "qr_value", "ocr_value", (normal(F.col("key"), F.col("qr_value")) == normal(F.col("key"), F.col("ocr_value"))).alias("same"))
 

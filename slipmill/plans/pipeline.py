@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from slipmill.functions.dialect import rx, trim_u
 from slipmill.functions.qr import qr_fields
@@ -14,7 +16,7 @@ from slipmill.operators.verify import verification
 
 #: Least length of a PDF's trimmed text layer; below it the page is a picture and needs recognition.
 PDF_LEAST = 20
-EMPTY, NO_RASTER = "EmptyInput", "RasterNotAvailable"
+EMPTY, NO_RASTER, BROKEN_PDF = "EmptyInput", "RasterNotAvailable", "Pdf"
 
 
 def text_documents(df: DataFrame, text: str = "text", id_col: str = "doc_id", on_error: str = "quarantine", kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -66,14 +68,34 @@ def verified(documents: DataFrame, payloads: DataFrame | None) -> DataFrame:
 
 def image_documents(images: DataFrame, recognize: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Records of images (doc_id, image). recognize: images -> boxes (doc_id, line_no, text ...), a DataFrame operator such as
-    ``operators.engine.engine(...)``; decode: images -> payloads (doc_id, raw)."""
+    ``operators.recognition.recogniser(...)``; decode: images -> payloads (doc_id, raw)."""
     documents = images.select("doc_id").join(box_text(recognize(images)), "doc_id", "left")
     return verified(text_documents(documents, "raw_text"), decode(images) if decode else None)
 
 
+def guarded(extract: Callable[[bytes], str]) -> Callable[[Column], Column]:
+    """A column function struct(text, fault) from a Python function of one document's bytes; what it raises becomes the fault."""
+
+    @F.pandas_udf("text string, fault string")
+    def run(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c in content:
+            try:
+                rows.append((extract(c), None))
+            except Exception as e:  # noqa: BLE001  a broken document is a row with an error
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["text", "fault"])
+
+    return run
+
+
 def pdf_documents(pdfs: DataFrame, extract: Callable[[Column], Column]) -> DataFrame:
-    """Records of PDFs (doc_id, content). extract: column of bytes -> column of text (a pandas UDF of the user's PDF library)."""
-    t = pdfs.select("doc_id", extract(F.col("content")).alias("text"))
+    """Records of PDFs (doc_id, content). extract: column of bytes -> column of text, or struct(text, fault) as guarded() gives it (from the user's
+    PDF library); rows with a fault have the error_kind Pdf."""
+    t = pdfs.select("doc_id", extract(F.col("content")).alias("t"))
+    t = t.select("doc_id", "t.text", "t.fault") if isinstance(t.schema["t"].dataType, StructType) else t.select("doc_id", F.col("t").alias("text"), F.lit(None).cast("string").alias("fault"))
     short = F.length(trim_u(F.coalesce("text", F.lit("")))) < PDF_LEAST
-    out = text_documents(t.withColumn("text", F.when(~short, F.col("text"))))
-    return out.withColumn("error_kind", F.when(F.col("error_kind") == EMPTY, NO_RASTER).otherwise(F.col("error_kind")))
+    read = t.select(F.struct("doc_id", "fault").alias("row"), F.when(~short, F.col("text")).alias("text"))
+    out = text_documents(read, id_col="row")
+    kind = F.when(F.col("doc_id.fault").isNotNull(), BROKEN_PDF).when(F.col("error_kind") == EMPTY, NO_RASTER).otherwise(F.col("error_kind"))
+    return out.select("doc_id.doc_id", "kind", "fields", "raw_text", kind.alias("error_kind"))
