@@ -116,7 +116,7 @@ def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def width_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _boxes(spark, sf_dir).select((F.col("doc_id") % 500).alias("doc_id"), F.col("box_id").alias("idx"), "w").groupBy("doc_id", "idx").agg(F.max("w").alias("width"))
+    b = _boxes(spark, sf_dir).select(F.floor(F.col("doc_id") / 50).alias("doc_id"), F.col("box_id").alias("idx"), "w").groupBy("doc_id", "idx").agg(F.max("w").alias("width"))
     return lines.width_buckets(b)
 
 
@@ -193,6 +193,13 @@ ORACLE_SQL = {
               least(greatest(cast(round_even(w / (h / 48.0::double), 0) as int), 1), 640) as lw from r)
         select p_partkey, nw as w, nh as h, (nw + 31) // 32 * 32 as padded_w, (nh + 31) // 32 * 32 as padded_h, lw as line_w, (lw + 7) // 8 * 8 as line_padded from n""",
     "ink_gaps": _INK + " select vec_id as line_id, cast((s + e) // 2 as int) as centre from r where e > s",
+    "line_segments": _INK.replace("with e as", "with recursive e as", 1) + """, k as (select vec_id, cast((s + e) // 2 as int) as centre from r where e > s),
+        l as (select vec_id, list(centre order by centre) as g from k group by 1),
+        t as (select e.vec_id, coalesce(g, []) as g from embeddings e left join l on l.vec_id = e.vec_id),
+        w as (select vec_id, g, 0 as pos, '' as ends from t
+              union all select vec_id, g, stop, ends || case when ends = '' then '' else ',' end || stop from (
+                select *, case when pos + 10 >= 32 then 32 else coalesce(list_max(list_filter(g, lambda x: x > pos and x <= pos + 10)), pos + 10) end as stop from w where pos < 32))
+        select vec_id as line_id, ends from w where pos = 32""",
     "joined_segments": "select conv_id as line_id, coalesce(string_agg(coalesce(text, ''), '' order by turn, text), '') as text from conversations group by 1",
     "box_statistics": _BOXES + " select count(*) as n, min(w) as least, cast(floor(quantile_cont(w, 0.5)) as bigint) as median, max(w) as largest, "
         + ", ".join(f"count(*) filter (where w < {t}) as under_{t}" for t in (2, 5, 10, 20, 40)) + " from b",
