@@ -10,9 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space: x20 and x09 to x0D. Everything else belongs to words.
-WHITE = " \t\n\x0b\x0c\r"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share, as spark.checkpoint.dir names it. Only a session that is one process
@@ -72,8 +69,7 @@ def map_rows(df: DataFrame, rows: Callable[[list[dict]], dict[str, list]], schem
 
 def words_of(text):
     """Native: the array of words `[^\\x20\\x09-\\x0D]+` of a text column; null text has none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def keep_rows(df: DataFrame, keep: Callable[[list], list[bool]], column: str = "text") -> DataFrame:
