@@ -116,7 +116,7 @@ def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def width_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _boxes(spark, sf_dir).select(F.floor(F.col("doc_id") / 50).alias("doc_id"), F.col("box_id").alias("idx"), "w").groupBy("doc_id", "idx").agg(F.max("w").alias("width"))
+    b = _boxes(spark, sf_dir).select(F.floor(F.col("doc_id") / 50).alias("doc_id"), (F.col("box_id") % 400).alias("idx"), "w").groupBy("doc_id", "idx").agg(F.max("w").alias("width"))
     return lines.width_buckets(b)
 
 
@@ -200,6 +200,19 @@ ORACLE_SQL = {
               union all select vec_id, g, stop, ends || case when ends = '' then '' else ',' end || stop from (
                 select *, case when pos + 10 >= 32 then 32 else coalesce(list_max(list_filter(g, lambda x: x > pos and x <= pos + 10)), pos + 10) end as stop from w where pos < 32))
         select vec_id as line_id, ends from w where pos = 32""",
+    "reading_order": _BOXES.replace("with b", "with recursive b", 1) + """, i as (select doc_id, idx, cx, cy, least(w, h) as h, row_number() over (partition by doc_id order by idx, cx, cy) as i from b),
+        o as (select *, row_number() over (partition by doc_id order by cy, i) as k from i),
+        r as (select doc_id, k, idx, i, cx, 1 as line, 1::double as n, cy as sy, cx as sx from o where k = 1
+              union all select doc_id, k, idx, i, cx, case when near then line else line + 1 end, case when near then n + 1 else 1 end,
+                case when near then sy + cy else cy end, case when near then sx + cx else cx end from (
+                select o.*, r.line, r.n, r.sy, r.sx, abs(o.cy - r.sy / r.n) < (o.h + r.sx / r.n) / 2 as near from r join o on o.doc_id = r.doc_id and o.k = r.k + 1))
+        select doc_id, string_agg(idx::varchar, ',' order by line, cx, i) as line_numbers from r group by doc_id""",
+    "width_buckets": _BOXES.replace("with b", "with recursive b", 1) + f""", g as (select doc_id // 50 as doc_id, cast(box_id % 400 as int) as idx, max(w) as width from b group by 1, 2),
+        o as (select *, row_number() over (partition by doc_id order by width, idx) as k from g),
+        r as (select doc_id, idx, width, k, 0 as bucket, 1 as n from o where k = 1
+              union all select doc_id, idx, width, k, case when fits then bucket else bucket + 1 end, case when fits then n + 1 else 1 end from (
+                select o.*, r.bucket, r.n, r.n < {lines.BUCKET_ROWS} and o.width - r.width <= {lines.BUCKET_SPREAD} as fits from r join o on o.doc_id = r.doc_id and o.k = r.k + 1))
+        select doc_id, idx, width, bucket from r""",
     "joined_segments": "select conv_id as line_id, coalesce(string_agg(coalesce(text, ''), '' order by turn, text), '') as text from conversations group by 1",
     "box_statistics": _BOXES + " select count(*) as n, min(w) as least, cast(floor(quantile_cont(w, 0.5)) as bigint) as median, max(w) as largest, "
         + ", ".join(f"count(*) filter (where w < {t}) as under_{t}" for t in (2, 5, 10, 20, 40)) + " from b",
