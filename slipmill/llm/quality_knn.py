@@ -104,10 +104,12 @@ def counts(text: str | None) -> np.ndarray:
 
 
 def _weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Rows of raw vectors by idf, each block of length one or zero."""
-    x = x * idf
-    for block in BLOCKS:
-        x[:, block] = _unit(x[:, block])
+    """Rows of raw vectors by idf, each block of length one or zero; in place, some rows at a time, so no second table is held."""
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256]
+        part *= idf
+        for block in BLOCKS:
+            part[:, block] = _unit(part[:, block])
     return x
 
 
@@ -159,19 +161,20 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = LIMIT
     drawn = marked.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(
         F.min("text").alias("text"), F.min("label").alias("label"))
-    kind = "doc_id long, label int, at array<int>, value array<float>"
+    kind = "doc_id long, label int, at binary, value binary"
 
     def sparse(batch: dict) -> dict:
         raw = [counts(t) for t in batch["text"]]
         at = [np.flatnonzero(v) for v in raw]
-        return {"doc_id": batch["doc_id"], "label": batch["label"], "at": at, "value": [v[i] for v, i in zip(raw, at, strict=True)]}
+        return {"doc_id": batch["doc_id"], "label": batch["label"], "at": [i.astype(np.int32).tobytes() for i in at],
+                "value": [v[i].tobytes() for v, i in zip(raw, at, strict=True)]}
 
     rows = sorted(map_rows(found.withColumn("label", F.col("label").cast("int")), sparse, kind, ["doc_id", "text", "label"]).collect(), key=lambda r: r.doc_id)
     if not rows:
         return {"idf": np.ones(WIDTH, np.float32), "project": np.zeros((WIDTH, 1), np.float32), "near": np.zeros((0, 1), np.float32), "label": np.zeros(0)}
     x = np.zeros((len(rows), WIDTH), np.float32)
     for row, r in zip(x, rows, strict=True):
-        row[r.at] = r.value
+        row[np.frombuffer(r.at, np.int32)] = np.frombuffer(r.value, np.float32)
     return fit(x, [r.label for r in rows])
 
 
