@@ -1,4 +1,4 @@
-"""The registered queries of the corpus operators, op1 to op10, and their SQL."""
+"""The registered queries of the corpus operators, op1 to op13, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipmill.llm import chat, decontamination, licenses, packing, quality_knn, quality_rules, secrets, simhash, toxicity, warc
+from slipmill.llm import chat, decontamination, licenses, packing, quality_knn, quality_rules, resampling, secrets, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,8 +71,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(chat.log_of(table.union(planted)))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_quality, op3_toxicity, op4_quality_rules, op5_secrets, op6_warc, op7_packing, op8_licenses, op9_decontamination, op10_chat)}
+    op1_simhash, op2_quality, op3_toxicity, op4_quality_rules, op5_secrets, op6_warc, op7_packing, op8_licenses, op9_decontamination, op10_chat, op11_resampling)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -106,8 +110,32 @@ from m group by conv_id
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# CRC-32 over the bytes of each distinct word, by a table that is made from the polynomial.
+_RESAMPLING_SQL = rf"""
+with crc as (select list(c order by k) as tab from (
+       select k, list_reduce(list_prepend(k, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda c, b: case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as c from range(256) t(k))),
+split as (select 0 as src, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+          union all select 1, null, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+w as (select src, doc_id, unnest(ws) as word from split),
+ids as (select word, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, octet_length(encode(word)) + 1),
+            lambda i: ('0x' || substr(hex(encode(word)), (2 * i - 1)::bigint, 2))::bigint)), lambda c, b: xor(c >> 8, tab[(1 + (xor(c, b) & 255))::bigint]))) % 10000 as bucket
+        from (select distinct word from w) cross join crc),
+n as (select bucket, count(*) filter (where src = 0) as s, count(*) filter (where src = 1) as t from w join ids using (word) group by bucket),
+total as (select sum(s) as s, sum(t) as t from n),
+gain as (select bucket, floor(1000 * ln((n.t + 1)::double * (total.s + 10000)::double / ((n.s + 1)::double * (total.t + 10000)::double)))::bigint as gain from n cross join total),
+sums as (select doc_id, count(*) as n, sum(gain) as g from w join ids using (word) join gain using (bucket) where src = 0 group by doc_id),
+scored as (select d.doc_id, coalesce(n, 0)::bigint as n_features, coalesce(floor(g::double / n), 0)::bigint as weight,
+                  ('0x' || substr(sha256('2024:' || coalesce(d.doc_id::varchar, '')), 1, 8))::bigint as h from documents d left join sums using (doc_id)),
+final as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score from scored),
+able as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from final where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank from final left join able using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": _WARC_SQL, "op10_chat": _chat_sql()}
+    return {"op6_warc": _WARC_SQL, "op10_chat": _chat_sql(), "op11_resampling": _RESAMPLING_SQL}
 
 
 def __getattr__(name: str):

@@ -23,6 +23,7 @@ COLUMNS = {
     "op8_licenses": DOCUMENT,
     "op9_decontamination": DOCUMENT | {"contaminated": "boolean"},
     "op10_chat": {"conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string", "formatted_chars": "bigint"},
+    "op11_resampling": DOCUMENT | dict.fromkeys(("n_features", "weight", "score", "rank"), "bigint"),
 }
 FOLDS = {"op2_quality": lambda n: n % 3 == 1, "op3_toxicity": lambda n: n % 5 == 0}
 
