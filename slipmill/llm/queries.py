@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipmill.llm import chat, decontamination, licenses, packing, quality_knn, quality_rules, resampling, secrets, simhash, toxicity, warc
+from slipmill.llm import chat, collocations, decontamination, licenses, packing, quality_knn, quality_rules, resampling, secrets, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,8 +75,12 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_quality, op3_toxicity, op4_quality_rules, op5_secrets, op6_warc, op7_packing, op8_licenses, op9_decontamination, op10_chat, op11_resampling)}
+    op1_simhash, op2_quality, op3_toxicity, op4_quality_rules, op5_secrets, op6_warc, op7_packing, op8_licenses, op9_decontamination, op10_chat, op11_resampling, op13_collocations)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -134,8 +138,28 @@ select doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then r
 """
 
 
+_COLLOCATION_SQL = rf"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) as phrase from w cross join range(1, 6) t(k) where len(ws) >= k),
+f as (select lang, phrase, k, count(*) as f from g group by all),
+n as (select lang, sum(f) as n from f where k = 1 group by lang),
+c as (select *, string_split(phrase, ' ') as ws from f where k > 1 and f >= 100),
+cuts as (select c.lang, c.phrase, c.k, c.f as a, cut, x.f as l, y.f as r, n.n, (1000::hugeint * c.f * n.n) // (x.f::hugeint * y.f) as score
+         from c cross join range(1, 5) t(cut) join f x on x.lang = c.lang and x.phrase = array_to_string(ws[1 : cut], ' ')
+         join f y on y.lang = c.lang and y.phrase = array_to_string(ws[cut + 1 : c.k], ' ') join n on n.lang = c.lang where cut < c.k),
+least as (select lang, phrase, a, n, min(struct_pack(score := score, cut := cut, l := l, r := r)) as b from cuts group by lang, phrase, a, n),
+best as (select lang, phrase, a, n, b.score as score, b.l as l, b.r as r from least),
+inner_ as (select lang, array_to_string(ws[s : s + m - 1], ' ') as phrase, f from c cross join range(2, 5) t(m) cross join range(1, 5) u(s) where m < k and s + m - 1 <= k),
+covered as (select lang, phrase, max(f) as f from inner_ group by all),
+kept as (select best.* from best left join covered using (lang, phrase) where covered.f is null or 100 * covered.f < 100 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from ranked where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": _WARC_SQL, "op10_chat": _chat_sql(), "op11_resampling": _RESAMPLING_SQL}
+    return {"op6_warc": _WARC_SQL, "op10_chat": _chat_sql(), "op11_resampling": _RESAMPLING_SQL, "op13_collocations": _COLLOCATION_SQL}
 
 
 def __getattr__(name: str):
