@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipmill.llm import chat, collocations, decontamination, licenses, packing, quality_knn, quality_rules, resampling, secrets, simhash, toxicity, warc
+from slipmill.llm import chat, collocations, decontamination, extraction, licenses, packing, quality_knn, quality_rules, resampling, secrets, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,12 +75,16 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_quality, op3_toxicity, op4_quality_rules, op5_secrets, op6_warc, op7_packing, op8_licenses, op9_decontamination, op10_chat, op11_resampling, op13_collocations)}
+    op1_simhash, op2_quality, op3_toxicity, op4_quality_rules, op5_secrets, op6_warc, op7_packing, op8_licenses, op9_decontamination, op10_chat, op11_resampling, op12_extraction, op13_collocations)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -158,8 +162,18 @@ select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from
 """
 
 
+# The tables' pages have one article element each, with headings and paragraphs only, and three named references.
+_EXTRACTION_SQL = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) as body from pages),
+b as (select page_id, url, regexp_split_to_array(body, '</?(?:h1|p)>') as blocks from a),
+d as (select page_id, url, list_transform(blocks, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) as blocks from b),
+t as (select page_id, url, array_to_string(list_filter(list_transform(blocks, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text from d)
+select page_id, url, text, len(text)::bigint as n_chars from t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": _WARC_SQL, "op10_chat": _chat_sql(), "op11_resampling": _RESAMPLING_SQL, "op13_collocations": _COLLOCATION_SQL}
+    return {"op6_warc": _WARC_SQL, "op10_chat": _chat_sql(), "op11_resampling": _RESAMPLING_SQL, "op12_extraction": _EXTRACTION_SQL, "op13_collocations": _COLLOCATION_SQL}
 
 
 def __getattr__(name: str):

@@ -24,13 +24,14 @@ COLUMNS = {
     "op9_decontamination": DOCUMENT | {"contaminated": "boolean"},
     "op10_chat": {"conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string", "formatted_chars": "bigint"},
     "op11_resampling": DOCUMENT | dict.fromkeys(("n_features", "weight", "score", "rank"), "bigint"),
+    "op12_extraction": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
     "op13_collocations": {"lang": "string", "phrase": "string"} | dict.fromkeys(("rank", "a", "l", "r", "n", "score"), "bigint"),
 }
 FOLDS = {"op2_quality": lambda n: n % 3 == 1, "op3_toxicity": lambda n: n % 5 == 0}
 
 
 def source(name):
-    return {"op6_warc": ("pages", "page_id"), "op10_chat": ("conversations", "conv_id")}.get(name, ("documents", "doc_id"))
+    return {"op6_warc": ("pages", "page_id"), "op10_chat": ("conversations", "conv_id"), "op12_extraction": ("pages", "page_id")}.get(name, ("documents", "doc_id"))
 
 
 @pytest.fixture(scope="module")
