@@ -366,6 +366,10 @@ def labelled_pages(count: int = 400, seed: int = 12) -> list[str]:
         inner = [block() for _ in range(rng.choice([0, 1, 1, 3, 6, 12]))]
         for _ in range(rng.choice([0, 0, 1, 2, 3])):
             inner.insert(rng.randrange(len(inner) + 1), some(rng.choice(["advert", "sidebar", "form", "comments", "extra", "extra", "notice", "menu"])))
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):  # boxes in the article that mean nothing
+            low = rng.randrange(len(inner) + 1)
+            high = rng.randrange(low, len(inner) + 1)
+            inner[low:high] = [f"<div{rng.choice(['', '', name(BOXES)])}>{''.join(inner[low:high])}</div>"]
         title = f"<h1>{text(12)}</h1>"
         title = rng.choice([title, title, f"<header>{title}</header>", f'<header>{title}{some("extra")}</header>', ""])
         article = title + "".join(inner) + (some("footer") if rng.random() < 0.1 else "")
