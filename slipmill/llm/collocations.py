@@ -3,9 +3,9 @@
 Texts are lower-cased (A-Z) and split at ``.,;:!?`` and line ends to pieces, these at spaces and tabs to words. Everything is counted per language.
 
 Shards. A task numbers the words of its texts, language by language, in shards of some ``SHARD`` positions; a piece's end is a position without a word,
-so nothing reaches over it. In a shard every word has a bitmap of its positions, compressed to its non-zero 64-bit blocks. Shifting a phrase's bitmap by one
+so nothing reaches over it. In a shard every word has a bitmap of its positions, compressed to its non-zero 8-bit blocks. Shifting a phrase's bitmap by one
 position and ANDing it with a word's bitmap gives the bitmap of the longer phrase; its popcount is the phrase's count in the shard. Phrases are extended
-depth-first, up to ``LONGEST`` words, and the popcounts are summed over the shards. A piece that is longer than a shard goes on in the next one: the last
+depth-first, up to ``LONGEST`` words, in groups of phrases whose bitmaps are shifted and ANDed together, and the popcounts are summed over the shards. A piece that is longer than a shard goes on in the next one: the last
 words are carried, and only phrases that end behind the carried words count there.
 
 Pruning. A phrase that is frequent in the whole corpus consists of frequent words, pairs and triples. Words, then hashed pairs of frequent words, then hashed
@@ -34,7 +34,7 @@ from slipmill.llm._shared import cut, small
 
 LEAST, LONGEST, FIRST, SHARE = 100, 5, 2000, 100
 #: Positions of a shard, bytes of text that are split at once, hash slots of what is frequent (8 MB as bits).
-SHARD, SLICE, BITS = 500_000, 1 << 20, 1 << 26
+SHARD, SLICE, BITS = 3_000_000, 1 << 20, 1 << 26
 _ENDS, _BREAK = re.compile(rb"[.,;:!?\n-\r]+"), re.compile(rb"[.,;:!?\x09-\x0d\x20]")
 #: Stands for a piece's end; UTF-8 has no such byte.
 _END = b"\xff"
@@ -194,93 +194,89 @@ def frequent_runs(docs: DataFrame, marks: np.ndarray, pairs: np.ndarray | None,
     return _slots(sums.select(F.col("h").bitwiseAND(BITS - 1).alias("slot")), BITS)
 
 
-class Bitmap:
-    """Positions as their non-zero 64-bit blocks: numbers of blocks, ascending, and their bits."""
+class Level:
+    """Phrases of one length with their bitmaps: the phrases' words, a row each; and the non-zero blocks of all bitmaps (owner: row of words, block, bits), in order."""
 
-    __slots__ = ("bits", "blocks")
+    __slots__ = ("bits", "block", "owner", "words")
 
-    def __init__(self, blocks: np.ndarray, bits: np.ndarray):
-        self.blocks, self.bits = blocks, bits
+    def __init__(self, words: np.ndarray, owner: np.ndarray, block: np.ndarray, bits: np.ndarray):
+        self.words, self.owner, self.block, self.bits = words, owner, block, bits
 
-    def shifted(self) -> Bitmap:
-        """Every position one further on."""
-        over = self.bits >> np.uint64(63)
-        on = over != 0
-        if not on.any():
-            return Bitmap(self.blocks, self.bits << np.uint64(1))
-        blocks, place = np.unique(np.concatenate([self.blocks, self.blocks[on] + 1]), return_inverse=True)
-        bits = np.zeros(len(blocks), np.uint64)
-        bits[place[: len(self.blocks)]] = self.bits << np.uint64(1)
-        bits[place[len(self.blocks) :]] |= over[on]
-        return Bitmap(blocks, bits)
-
-    def __and__(self, other: Bitmap) -> Bitmap:
-        a, b = (self, other) if len(self.blocks) <= len(other.blocks) else (other, self)
-        at = np.searchsorted(b.blocks, a.blocks)
-        at[at == len(b.blocks)] = 0
-        same = np.flatnonzero(b.blocks[at] == a.blocks)
-        bits = a.bits[same] & b.bits[at[same]]
-        some = bits != 0
-        return Bitmap(a.blocks[same][some], bits[some])
-
-    def count(self, carried: int = 0) -> int:
-        """Positions from carried (under 64) on."""
-        total = int(np.bitwise_count(self.bits).sum())
-        if carried and len(self.blocks) and self.blocks[0] == 0:
-            total -= (int(self.bits[0]) & ((1 << carried) - 1)).bit_count()
-        return total
-
-
-def bitmaps(ids: np.ndarray) -> Callable[[int], Bitmap]:
-    """The bitmap of each word number of ids, by number."""
-    places = np.flatnonzero(ids >= 0)
-    places = places[np.argsort(ids[places], kind="stable")]
-    words, blocks = ids[places], places >> 6
-    starts = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (blocks[1:] != blocks[:-1]))) if len(places) else np.empty(0, np.int64)
-    bits = np.bitwise_or.reduceat(np.uint64(1) << (places & 63).astype(np.uint64), starts) if len(places) else np.empty(0, np.uint64)
-    blocks, words = blocks[starts], words[starts]
-    bounds = np.searchsorted(words, np.arange((int(words[-1]) if len(words) else -1) + 2))
-    return lambda word: Bitmap(blocks[bounds[word] : bounds[word + 1]], bits[bounds[word] : bounds[word + 1]])
-
-
-def _followers(keys: np.ndarray, words: np.ndarray) -> dict[int, list[int]]:
-    """The different words by key."""
-    out: dict[int, list[int]] = {}
-    if len(keys):
-        pairs = np.unique(np.stack([keys, words.astype(np.int64)]), axis=1)
-        starts = np.flatnonzero(np.append(True, pairs[0][1:] != pairs[0][:-1]))
-        for key, part in zip(pairs[0][starts].tolist(), np.split(pairs[1], starts[1:]), strict=True):
-            out[key] = part.tolist()
-    return out
+    def counts(self, carried: int = 0) -> np.ndarray:
+        """The popcount of each bitmap, from position carried (at most 8) on."""
+        bits = np.where(self.block == 0, self.bits & np.uint8(0xFF << carried & 0xFF), self.bits) if carried else self.bits
+        return np.bincount(self.owner, np.bitwise_count(bits), len(self.words)).astype(np.int64)
 
+    def parts(self, most: int) -> Iterator[Level]:
+        """The phrases in groups of some most blocks."""
+        group = np.searchsorted(self.owner, np.arange(len(self.words) + 1)) // most
+        for rows in np.split(np.arange(len(self.words)), np.flatnonzero(np.diff(group[:-1])) + 1) if len(self.words) else ():
+            here = slice(*np.searchsorted(self.owner, (rows[0], rows[-1] + 1)))
+            yield Level(self.words[rows], self.owner[here] - rows[0], self.block[here], self.bits[here])
 
-def phrases(ids: np.ndarray, hashes: np.ndarray, pairs: np.ndarray, triples: np.ndarray, longest: int, carried: int = 0) -> Iterator[tuple[tuple[int, ...], int]]:
-    """Phrases (as word numbers) of 2 to longest words and their counts, depth-first. Tried next are words whose pair, and then triple, with the last ones
-    is marked and stands in the shard."""
+    def shifted(self) -> Level:
+        """Every position one further on."""
+        over, kept = np.flatnonzero(self.bits >> 7), np.flatnonzero(self.bits & 0x7F)
+        owner, block = np.concatenate([self.owner[kept], self.owner[over]]), np.concatenate([self.block[kept], self.block[over] + 1])
+        bits = np.concatenate([self.bits[kept] << 1, np.ones(len(over), np.uint8)])
+        order = np.argsort(owner * (int(block.max(initial=0)) + 1) + block, kind="stable")
+        owner, block, bits = owner[order], block[order], bits[order]
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1]))) if len(owner) else order
+        return Level(self.words, owner[first], block[first], np.bitwise_or.reduceat(bits, first) if len(first) else bits)
+
+
+class Words:
+    """The bitmaps of all words of a shard at some positions, by block and by word."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray):
+        at = at[np.lexsort((ids[at], at >> 3))]
+        block, word, bits = at >> 3, ids[at].astype(np.int64), np.uint8(1) << (at & 7).astype(np.uint8)
+        first = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (word[1:] != word[:-1]))) if len(at) else at
+        self.block, self.word, self.bits = block[first], word[first], np.bitwise_or.reduceat(bits, first) if len(first) else bits
+        self.starts = np.searchsorted(self.block, np.arange((len(ids) >> 3) + 3))
+
+    def alone(self) -> Level:
+        """Every word as a phrase."""
+        order = np.argsort(self.word, kind="stable")
+        words, owner = np.unique(self.word[order], return_inverse=True)
+        return Level(words[:, None], owner, self.block[order], self.bits[order])
+
+    def extend(self, level: Level) -> Level:
+        """The phrases that are one word longer: each shifted bitmap ANDed with the bitmaps of all words that share a block with it, empty ones left out."""
+        moved = level.shifted()
+        low = self.starts[moved.block]
+        many = self.starts[moved.block + 1] - low
+        entry = np.repeat(np.arange(len(many)), many)
+        other = np.arange(len(entry)) + np.repeat(low - np.cumsum(many) + many, many)
+        both = moved.bits[entry] & self.bits[other]
+        some = np.flatnonzero(both)
+        entry, word = entry[some], self.word[other[some]]
+        span = int(word.max(initial=0)) + 1
+        longer, owner = np.unique(moved.owner[entry] * span + word, return_inverse=True)
+        order = np.argsort(owner, kind="stable")
+        words = np.concatenate([moved.words[longer // span], (longer % span)[:, None]], axis=1)
+        return Level(words, owner[order], moved.block[entry[order]], both[some[order]])
+
+
+def phrases(ids: np.ndarray, hashes: np.ndarray, pairs: np.ndarray, triples: np.ndarray, longest: int, carried: int = 0, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Phrases (rows of word numbers) of 2 to longest words and their counts, depth-first in groups whose bitmaps have some most blocks. A phrase goes on only where its last two, and
+    then three, words are marked."""
     if len(ids) < 2 or not len(hashes):
         return
-    n = len(hashes)
     ends, runs = _runs(ids, hashes, None)
     ends = ends[_marked(pairs, runs)]
-    second = _followers(ids[ends - 1].astype(np.int64), ids[ends])
-    ends, runs = _runs(ids, hashes, pairs)
-    ends = ends[_marked(triples, runs)] if len(ends) else ends
-    third = _followers(ids[ends - 2].astype(np.int64) * n + ids[ends - 1], ids[ends])
-    of = bitmaps(ids)
-    open_ = [((word,), of(word)) for word in sorted(second, reverse=True)]
+    second = Words(ids, ends)
+    three, runs = _runs(ids, hashes, pairs)
+    third = Words(ids, three[_marked(triples, runs)] if longest > 2 else three[:0])
+    open_ = [*Words(ids, ends - 1).alone().parts(most)] if len(ends) else []
     while open_:
-        phrase, at = open_.pop()
-        next_ = second.get(phrase[0], ()) if len(phrase) == 1 else third.get(phrase[-2] * n + phrase[-1], ())
-        if not next_:
-            continue
-        moved = at.shifted()
-        for word in next_:
-            longer = moved & of(word)
-            if len(longer.blocks):
-                if count := longer.count(carried):
-                    yield (*phrase, word), count
-                if len(phrase) + 1 < longest:
-                    open_.append(((*phrase, word), longer))
+        level = open_.pop()
+        longer = (second if level.words.shape[1] == 1 else third).extend(level)
+        if len(longer.words):
+            counts = longer.counts(carried)
+            yield longer.words[counts > 0], counts[counts > 0]
+            if longer.words.shape[1] < longest:
+                open_ += longer.parts(most)
 
 
 def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST, longest: int = LONGEST, size: int = SHARD) -> DataFrame:
@@ -292,19 +288,12 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST, longest
 
     def count(lang: str, shard: Shard) -> Iterator[pa.RecordBatch]:
         ids, hashes = _known(shard, lang, shared.value[0])
-        words, found, k, f = shard.words(), [], [], []
-
-        def rows() -> pa.RecordBatch:
-            return _table({"lang": pa.array([lang] * len(found), pa.string()), "phrase": pa.array(found, pa.binary()), "k": pa.array(k, pa.int32()), "f": pa.array(f, pa.int64())})
-
-        for phrase, n in phrases(ids, hashes, *shared.value[1:], longest, shard.carried):
-            found.append(b" ".join(words[i] for i in phrase))
-            k.append(len(phrase))
-            f.append(n)
-            if len(found) == 50_000:
-                yield rows()
-                found, k, f = [], [], []
-        yield rows()
+        words = shard.words()
+        for found, f in phrases(ids, hashes, *shared.value[1:], longest, shard.carried):
+            for at in range(0, len(found), 50_000):
+                part = found[at : at + 50_000].tolist()
+                yield _table({"lang": pa.array([lang] * len(part), pa.string()), "phrase": pa.array([b" ".join([words[i] for i in row]) for row in part], pa.binary()),
+                              "k": pa.array(np.full(len(part), found.shape[1]), pa.int32()), "f": pa.array(f[at : at + 50_000])})
 
     parts = _in_shards(docs, count, "lang string, phrase binary, k int, f long", size, longest - 1)
     return parts.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least)

@@ -58,18 +58,27 @@ def test_empty_table(spark):
     assert co.collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
 
 
+def sets_of(level):
+    return {tuple(w): {int(b) * 8 + j for o, b, bits in zip(level.owner, level.block, level.bits) if o == k for j in range(8) if int(bits) >> j & 1} for k, w in enumerate(level.words.tolist())}
+
+
 def test_bitmaps_are_sets():
     rng = random.Random(2)
     for _ in range(200):
-        ids = np.array([rng.randrange(-1, 4) for _ in range(rng.choice([1, 63, 64, 65, 400]))], np.int32)
-        of, sets = co.bitmaps(ids), [set(np.flatnonzero(ids == k)) for k in range(4)]
-        for a in range(int(ids.max()) + 1):
-            assert of(a).count() == len(sets[a]) and of(a).count(3) == len({p for p in sets[a] if p >= 3})
-            for b in range(int(ids.max()) + 1):
-                both = {p + 1 for p in sets[a]} & sets[b]
-                moved = of(a).shifted() & of(b)
-                assert moved.count() == len(both)
-                assert {int(k) * 64 + j for k, bits in zip(moved.blocks, moved.bits) for j in range(64) if int(bits) >> j & 1} == both
+        ids = np.array([rng.randrange(-1, 4) for _ in range(rng.choice([1, 7, 8, 9, 64, 400]))], np.int32)
+        some = np.flatnonzero(ids >= 0)
+        words = co.Words(ids, some)
+        alone = words.alone()
+        assert sets_of(alone) == {(k,): set(np.flatnonzero(ids == k)) for k in set(ids[some].tolist())}
+        assert alone.counts(3).tolist() == [len({p for p in s if p >= 3}) for s in sets_of(alone).values()]
+        assert {k: {p - 1 for p in s} for k, s in sets_of(alone.shifted()).items()} == sets_of(alone)
+        pairs = {(a, b): {p for p in some if p and ids[p - 1] == a and ids[p] == b} for a in range(4) for b in range(4)}
+        longer = words.extend(alone)
+        assert sets_of(longer) == {k: s for k, s in pairs.items() if s}
+        together = {}
+        for part in longer.parts(2):
+            together |= sets_of(part)
+        assert together == sets_of(longer)
 
 
 @pytest.mark.parametrize("slice_", [1, 7, 40])
@@ -85,8 +94,9 @@ def test_a_long_piece_goes_on_in_the_next_shard(monkeypatch, slice_):
     for lang, shard in co.shards(iter([batch]), 30, 4):
         names = shard.words()
         single.update(names[k] for k in shard.ids()[shard.carried :] if k >= 0)
-        for phrase, n in co.phrases(shard.ids(), co._hash(lang, names), every, every, 5, shard.carried):
-            got[tuple(names[k].decode() for k in phrase)] += n
+        for found, f in co.phrases(shard.ids(), co._hash(lang, names), every, every, 5, shard.carried, most=5):
+            for phrase, n in zip(found.tolist(), f.tolist(), strict=True):
+                got[tuple(names[k].decode() for k in phrase)] += n
     pieces = [words[:450], words[450:], ["other"]]
     assert single == Counter(w.encode() for p in pieces for w in p)
     assert got == Counter(tuple(p[i : i + k]) for p in pieces for k in range(2, 6) for i in range(len(p) - k + 1))
