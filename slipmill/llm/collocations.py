@@ -34,7 +34,9 @@ from slipmill.llm._shared import cut, small
 
 LEAST, LONGEST, FIRST, SHARE = 100, 5, 2000, 100
 #: Positions of a shard, bytes of text that are split at once, hash slots of what is frequent (8 MB as bits).
-SHARD, SLICE, BITS = 3_000_000, 1 << 20, 1 << 26
+SHARD, SLICE, BITS = 2_000_000, 1 << 20, 1 << 26
+#: Buckets that phrases are added up in, one at a time, and phrases that a task packs at once: counts travel in a row for each bucket instead of one for each phrase.
+BUCKETS, PACKED = 4096, 500_000
 _ENDS, _BREAK = re.compile(rb"[.,;:!?\n-\r]+"), re.compile(rb"[.,;:!?\x09-\x0d\x20]")
 #: Stands for a piece's end; UTF-8 has no such byte.
 _END = b"\xff"
@@ -288,15 +290,48 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST, longest
 
     def count(lang: str, shard: Shard) -> Iterator[pa.RecordBatch]:
         ids, hashes = _known(shard, lang, shared.value[0])
-        words = shard.words()
-        for found, f in phrases(ids, hashes, *shared.value[1:], longest, shard.carried):
-            for at in range(0, len(found), 50_000):
-                part = found[at : at + 50_000].tolist()
-                yield _table({"lang": pa.array([lang] * len(part), pa.string()), "phrase": pa.array([b" ".join([words[i] for i in row]) for row in part], pa.binary()),
-                              "k": pa.array(np.full(len(part), found.shape[1]), pa.int32()), "f": pa.array(f[at : at + 50_000])})
-
-    parts = _in_shards(docs, count, "lang string, phrase binary, k int, f long", size, longest - 1)
-    return parts.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        words, held, f = shard.words(), [], []
+        for found, counts in phrases(ids, hashes, *shared.value[1:], longest, shard.carried):
+            held += [b" ".join([words[i] for i in row]) for row in found.tolist()]
+            f.append(counts)
+            if len(held) > PACKED:
+                yield _packed(lang, held, np.concatenate(f))
+                held, f = [], []
+        if held:
+            yield _packed(lang, held, np.concatenate(f))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sums = None, {}
+
+        def rows() -> pa.RecordBatch:
+            good = [(p, n) for p, n in sums.items() if n >= least]
+            return _table({"lang": pa.array([group[1]] * len(good), pa.string()), "phrase": pa.array([p for p, _ in good], pa.binary()),
+                           "k": pa.array([p.count(b" ") + 1 for p, _ in good], pa.int32()), "f": pa.array([n for _, n in good], pa.int64())})
+
+        for batch in batches:
+            for bucket, lang, packed, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, lang) != group:
+                    if sums:
+                        yield rows()
+                    group, sums = (bucket, lang), {}
+                for p, n in zip(packed.split(b"\n"), counts, strict=True):
+                    sums[p] = sums.get(p, 0) + n
+        if sums:
+            yield rows()
+
+    parts = _in_shards(docs, count, "bucket int, lang string, phrases binary, counts array<long>", size, longest - 1)
+    dealt = parts.repartition("bucket", "lang").sortWithinPartitions("bucket", "lang")
+    return dealt.mapInArrow(add_up, "lang string, phrase binary, k int, f long").select("lang", F.col("phrase").cast("string").alias("phrase"), "k", "f")
+
+
+def _packed(lang: str, found: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+    """Phrases and counts, a row for each bucket of phrases: the texts joined by line feeds, which no word has."""
+    bucket = np.fromiter((xxhash.xxh32_intdigest(p) & (BUCKETS - 1) for p in found), np.int32, len(found))
+    order = np.argsort(bucket, kind="stable")
+    starts = np.append(0, 1 + np.flatnonzero(np.diff(bucket[order])))
+    texts = [b"\n".join([found[k] for k in part]) for part in np.split(order, starts[1:])]
+    sums = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array(counts[order], pa.int64()))
+    return _table({"bucket": pa.array(bucket[order][starts]), "lang": pa.array([lang] * len(starts), pa.string()), "phrases": pa.array(texts, pa.binary()), "counts": sums})
 
 
 def _part(phrase: Column, start: Column | int, length: Column | int) -> Column:
