@@ -1,6 +1,6 @@
 """Registered queries of the receipt operators and their DuckDB SQL."""
 
-from slipmill.plans import text_queries, vision_queries
+from slipmill.plans import image_queries, text_queries, vision_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **vision_queries.QUERIES}
-ORACLE_SQL: dict = {**text_queries.ORACLE_SQL, **vision_queries.ORACLE_SQL}
+QUERIES: dict = {**text_queries.QUERIES, **vision_queries.QUERIES, **image_queries.QUERIES}
+ORACLE_SQL: dict = {**text_queries.ORACLE_SQL, **vision_queries.ORACLE_SQL, **image_queries.ORACLE_SQL}

@@ -108,7 +108,12 @@ def part_of(a: np.ndarray, x: int, y: int, w: int, h: int) -> np.ndarray:
 
 
 def pixels(image: dict) -> np.ndarray:
-    return np.frombuffer(image["pixels"], np.uint8).reshape(image["height"], image["width"])
+    return np.frombuffer(image["pixels"], np.uint8).reshape(int(image["height"]), int(image["width"]))
+
+
+def has_pixels(image: dict | None) -> bool:
+    """Whether a row of an image column (as pandas gives it, nulls as they come) is an image of at least one pixel."""
+    return image is not None and isinstance(image["pixels"], bytes | bytearray) and len(image["pixels"]) > 0
 
 
 def gray(a: np.ndarray) -> dict:
@@ -116,12 +121,13 @@ def gray(a: np.ndarray) -> dict:
 
 
 def per_image(change: Callable[[np.ndarray, tuple], np.ndarray]) -> Callable[..., Column]:
-    """A column function (image, *parameters) -> image from a NumPy function of one image's pixels and its row's parameters."""
+    """A column function (image, *parameters) -> image from a NumPy function of one image's pixels and its row's parameters; rows without pixels stay without."""
+    none = {"width": None, "height": None, "pixels": None}
 
     @F.pandas_udf(_GRAY)
     def run(image: pd.DataFrame, parameters: pd.DataFrame) -> pd.DataFrame:
         rows = zip(image.to_dict("records"), parameters.itertuples(index=False), strict=True)
-        return pd.DataFrame([gray(change(pixels(i), tuple(p))) for i, p in rows], columns=["width", "height", "pixels"])
+        return pd.DataFrame([gray(change(pixels(i), tuple(p))) if has_pixels(i) else none for i, p in rows], columns=["width", "height", "pixels"])
 
     return lambda image, *parameters: run(image, F.struct(*(p.alias(f"p{k}") for k, p in enumerate(parameters))))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slipmill.operators.folds import joined
+
 #: Height and largest width of recognised lines; members and spread of a bucket; ink is darker than this.
 HEIGHT, MAX_WIDTH, BUCKET_ROWS, BUCKET_SPREAD, INK = 48, 640, 24, 16, 128
 
@@ -70,38 +74,35 @@ def segment_ends(width: int, most: int, centres: list[int]) -> list[int]:
     return ends[1:]
 
 
-def buckets(widths: list[int]) -> list[range]:
-    """Places of ascending widths that are read together. Widths ascend, so a line that does not fit the last bucket fits no earlier one that is
-    full, and none that is too narrow: only the last is tried."""
-    out: list[range] = []
-    for k, w in enumerate(widths):
-        if out and len(out[-1]) < BUCKET_ROWS and w - widths[out[-1][-1]] <= BUCKET_SPREAD:
-            out[-1] = range(out[-1].start, k + 1)
-        else:
-            out.append(range(k, k + 1))
-    return out
+def bucketed(rows: Iterable) -> Iterator[list]:
+    """Buckets of a stream of rows of ascending width: at most BUCKET_ROWS, each at most BUCKET_SPREAD wider than the one before. Widths ascend, so a row that does not
+    fit the last bucket fits no earlier one that is full, and none that is too narrow: only the last is held."""
+    bucket: list = []
+    for row in rows:
+        if bucket and (len(bucket) == BUCKET_ROWS or row.width - bucket[-1].width > BUCKET_SPREAD):
+            yield bucket
+            bucket = []
+        bucket.append(row)
+    if bucket:
+        yield bucket
 
 
 def width_buckets(widths: DataFrame) -> DataFrame:
     """doc_id, idx, width and bucket of a document's lines (doc_id, idx, width): by width, into the first bucket with room whose widest member
-    is near, which is always the last one, as widths ascend. One document's lines are one small array."""
-    rows = widths.select("doc_id", F.struct(F.col("width").cast("int").alias("width"), F.col("idx").cast("int").alias("idx")).alias("r"))
-    state = F.struct(F.lit(-1).alias("bucket"), F.lit(0).alias("n"), F.lit(0).alias("top"), F.array().cast("array<struct<idx:int,width:int,bucket:int>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        fits = (s["bucket"] >= 0) & (s["n"] < BUCKET_ROWS) & (r["width"] - s["top"] <= BUCKET_SPREAD)
-        bucket = F.when(fits, s["bucket"]).otherwise(s["bucket"] + 1)
-        return F.struct(bucket.alias("bucket"), F.when(fits, s["n"] + 1).otherwise(1).alias("n"), r["width"].alias("top"),
-                        F.concat(s["out"], F.array(F.struct(r["idx"].alias("idx"), r["width"].alias("width"), bucket.alias("bucket")))).alias("out"))
-
-    placed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("r")).select("doc_id", F.aggregate("r", state, step, lambda s: s["out"]).alias("o"))
-    return placed.select("doc_id", F.inline("o"))
+    is near, which is always the last one, as widths ascend. So a bucket starts where the width jumps, and after each BUCKET_ROWS lines from there: windows over
+    the sorted lines."""
+    order = ["width", "idx"]
+    by_doc = Window.partitionBy("doc_id").orderBy(*order)
+    jump = F.coalesce(F.col("width") - F.lag("width").over(by_doc) > BUCKET_SPREAD, F.lit(True))
+    stretch = widths.select("doc_id", F.col("idx").cast("int").alias("idx"), F.col("width").cast("int").alias("width")).withColumn("jump", jump).withColumn("stretch", F.sum(F.col("jump").cast("int")).over(by_doc))
+    place = F.row_number().over(Window.partitionBy("doc_id", "stretch").orderBy(*order)) - 1
+    starts = stretch.withColumn("starts", (place % BUCKET_ROWS == 0).cast("int"))
+    return starts.select("doc_id", "idx", "width", (F.sum("starts").over(by_doc) - 1).cast("int").alias("bucket"))
 
 
 def joined_text(segments: DataFrame) -> DataFrame:
-    """line_id and text of recognised segments (line_id, segment, text) put together in order."""
-    parts = F.array_sort(F.collect_list(F.struct("segment", "text")))
-    return segments.groupBy("line_id").agg(F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("text"))
+    """line_id and text of recognised segments (line_id, segment, text) put together in order, in a stream."""
+    return joined(segments, "line_id", [F.col("segment")], F.col("text"), "")
 
 
 def statistics(boxes: DataFrame, thresholds: tuple[int, ...] = (2, 5, 10, 20, 40)) -> DataFrame:
@@ -111,6 +112,20 @@ def statistics(boxes: DataFrame, thresholds: tuple[int, ...] = (2, 5, 10, 20, 40
                      *(F.count_if(F.col("w") < t).alias(f"under_{t}") for t in thresholds))
 
 
+def order_statistics(boxes: DataFrame, sides: tuple[str, ...] = ("w", "h"), percents: tuple[int, ...] = (25, 50, 75, 90), thresholds: tuple[int, ...] = (2, 5, 10, 20, 40)) -> DataFrame:
+    """A row a side: side, n, least, largest, p25 and so on (the mean of the two values around the rank, cut to an integer; of an even count's 50 that is the median), and how many are
+    under each threshold. One pass counts boxes by side and pixels, whatever is asked; partial counts merge. Ranks come from the running sums of these counts, a row for each different
+    number of pixels, which the size of images bounds. Nulls do not count; without boxes there is no row."""
+    each = boxes.select(F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).cast("long").alias("v")) for s in sides))).alias("b")).select("b.*").where("v is not null")
+    counts = each.groupBy("side", "v").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy("side")
+    ranks = counts.select("side", "v", "c", (F.sum("c").over(whole.orderBy("v")) - F.col("c")).alias("before"), F.sum("c").over(whole).alias("n"))
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("c")), F.col("v")))
+    value = lambda p: F.floor((at(F.expr(f"(n - 1) * {p} div 100")) + at(F.expr(f"((n - 1) * {p} + 99) div 100"))) / 2)
+    return ranks.groupBy("side").agg(F.max("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("largest"), *(value(p).alias(f"p{p}") for p in percents),
+                                     *(F.sum(F.when(F.col("v") < t, F.col("c")).otherwise(0)).alias(f"under_{t}") for t in thresholds))
+
+
 def spread(values: Column) -> Column:
     """The largest of values over the least, the latter at least 1, as text with two decimals and an x; n/a without any."""
     return F.coalesce(F.concat((F.max(values) / F.greatest(F.min(values), F.lit(1))).cast("decimal(18,2)").cast("string"), F.lit("x")), F.lit("n/a"))

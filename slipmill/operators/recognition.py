@@ -1,8 +1,12 @@
 """Images to text boxes with plug-in models: detection, boxes in reading order, straightened lines, orientation, recognition.
 
-A row is an image until its lines are straightened, then a line; nothing is shuffled before texts are counted. Models are functions of
-arrays that ``engine.cached`` loads once in a Python worker. Boxes, order, sizes and decoding are native columns; NumPy does pixels, maps and
-tensors, one row at a time. ``Settings`` says how: detection_limit, line_width, cell_threshold, component_mean, batched, regions.
+A row is an image until its lines are straightened, then a line. Models are functions of arrays that ``engine.cached`` loads once in a Python worker. Score maps and
+class scores do not leave the worker: boxes come out of detection, the run-length code of the best path out of recognition. Order, sizes, regions and decoding
+are native columns. Nothing is shuffled, but for ``Settings.batched``: then segments of lines of all documents are dealt out by width, read in batches of
+like width, and put together by line.
+
+Rows whose image is null or has no pixels have no boxes; ``pipeline.image_documents`` makes them error rows. ``Settings`` says how: detection_limit, line_width,
+cell_threshold, component_mean, batched, regions.
 """
 
 from __future__ import annotations
@@ -17,123 +21,196 @@ from pyspark.sql import functions as F
 from slipmill.operators import geometry, images, lines, maps, sequences
 from slipmill.operators.engine import Settings, cached
 
-#: Size of an orientation model's input; confidence of lines that are read in batches.
-TURN_HEIGHT, TURN_WIDTH, BATCH_CONFIDENCE = 48, 192, 0.8
-_COMPONENT = "array<struct<n:int,mean:double,cells:array<int>>>"
+#: Size of an orientation model's input; confidence of lines that are read in batches; bytes that a worker holds before it hands rows on.
+TURN_HEIGHT, TURN_WIDTH, BATCH_CONFIDENCE, HELD = 48, 192, 0.8, 16_000_000
+_KEEP, _KEPT = ["doc_id", "line_no", "cx", "cy", "w", "h"], "doc_id string, line_no int, cx float, cy float, w float, h float"
+_PLACED = "array<struct<w:double,h:double,a:int,cx:double,cy:double,x:double,y:double>>"
+
+
+def _map(image: dict, model: Callable, limit: int) -> tuple[np.ndarray, float, float]:
+    """The score map of an image, as large as the model's input, and the scales from it to the image."""
+    tensor, x, y = images.detection_tensor(images.pixels(image), limit)
+    found = np.asarray(model(tensor[None]), np.float32)
+    if found.ndim < 2:
+        raise ValueError(f"a map of {found.ndim} dimensions")
+    h, w = tensor.shape[1:]
+    rows, cols = (np.minimum(np.arange(n) * size // n, size - 1) for n, size in ((h, found.shape[-2]), (w, found.shape[-1])))
+    return found.reshape(-1, *found.shape[-2:])[0][rows][:, cols], x, y
 
 
 def detected(pictures: DataFrame, load: Callable[[], Callable], settings: Settings = Settings()) -> DataFrame:
-    """doc_id, image, h, w, scores, and scale_x and scale_y from map to image. pictures: doc_id, image (gray). load gives a function of a
-    1 x 3 x h x w tensor whose result's last two dimensions are the map."""
+    """doc_id, image, h, w, scores, and scale_x and scale_y from map to image, for users of whole maps; recognise() does not need them. pictures: doc_id,
+    image (gray); those without pixels are left out. load gives a function of a 1 x 3 x h x w tensor whose result's last two dimensions are the map."""
     get = cached(load)
+    columns = ["doc_id", "image", "h", "w", "scores", "scale_x", "scale_y"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = get()
         for pdf in frames:
-            out = []
+            out, held = [], 0
             for doc_id, image in zip(pdf["doc_id"], pdf["image"], strict=True):
-                tensor, x, y = images.detection_tensor(images.pixels(image), settings.detection_limit)
-                found = np.asarray(model(tensor[None]), np.float32)
-                if found.ndim < 2:
-                    raise ValueError(f"a map of {found.ndim} dimensions")
-                h, w = tensor.shape[1:]
-                rows, cols = (np.minimum(np.arange(n) * size // n, size - 1) for n, size in ((h, found.shape[-2]), (w, found.shape[-1])))
-                out.append((doc_id, image, h, w, found.reshape(-1, *found.shape[-2:])[0][rows][:, cols].reshape(-1), x, y))
-            yield pd.DataFrame(out, columns=["doc_id", "image", "h", "w", "scores", "scale_x", "scale_y"])
+                scores, x, y = _map(image, model, settings.detection_limit)
+                out.append((doc_id, image, *scores.shape, scores.reshape(-1), x, y))
+                held += scores.nbytes
+                if held > HELD:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=columns)
+
+    some = pictures.select("doc_id", "image").where((F.length("image.pixels") > 0) & (F.col("image.width") > 0) & (F.col("image.height") > 0))
+    return some.mapInPandas(run, f"doc_id string, image {images.GRAY}, h int, w int, scores array<float>, scale_x double, scale_y double")
+
+
+def _in_order(found: DataFrame, settings: Settings, offset_x: float = 0.0, offset_y: float = 0.0) -> DataFrame:
+    """doc_id, image and quads of found (doc_id, image, b: boxes in the map and scales)."""
+    place = lambda p, b: F.struct(((p["x"] - offset_x) * b["x"]).alias("x"), ((p["y"] - offset_y) * b["y"]).alias("y"))
+    quad = lambda b: F.transform(geometry.corners(b["cx"], b["cy"], b["w"] * maps.GROWTH, b["h"] * maps.GROWTH, F.radians(b["a"].cast("double"))), lambda p: place(p, b))
+    out = found.select("doc_id", "image", F.transform("b", quad).alias("q"))
+    if settings.regions:
+        middle = lambda q: geometry.centre(q)
+        out = out.withColumn("q", F.filter("q", lambda q: geometry.in_regions(middle(q)["x"], middle(q)["y"], F.col("image.width"), F.col("image.height"))))
+    return out.select("doc_id", "image", F.transform(geometry.reading_order(F.col("q")), lambda i: F.get(F.col("q"), i)).alias("quads"))
 
-    return pictures.select("doc_id", "image").mapInPandas(run, f"doc_id string, image {images.GRAY}, h int, w int, scores array<float>, scale_x double, scale_y double")
+
+def _kept(scores: np.ndarray, h: int, w: int, x: float, y: float, settings: Settings) -> list[dict]:
+    found = maps.component_cells(scores, h, w, settings.cell_threshold)
+    return [maps.least_box(c["cells"], w) | {"x": x, "y": y} for c in found if c["n"] >= maps.LEAST_CELLS and c["mean"] >= settings.component_mean]
 
 
 def boxed(found: DataFrame, settings: Settings = Settings(), offset_x: float = 0.0, offset_y: float = 0.0) -> DataFrame:
     """doc_id, image and quads (in the image's pixels, in reading order) of detected()'s rows."""
 
-    @F.pandas_udf(_COMPONENT)
-    def components(scores: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([maps.component_cells(np.asarray(s, np.float32), a, b, settings.cell_threshold) for s, a, b in zip(scores, h, w, strict=True)])
-
-    out = found.select("doc_id", "image", "w", "scale_x", "scale_y", components("scores", "h", "w").alias("c"))
-    kept = F.filter("c", lambda c: (c["n"] >= maps.LEAST_CELLS) & (c["mean"] >= settings.component_mean))
-    boxes = F.transform(kept, lambda c: maps.smallest_box(c["cells"], F.col("w")))
-    out = out.select("doc_id", "image", "scale_x", "scale_y", boxes.alias("b"))
-    place = lambda p: F.struct(((p["x"] - offset_x) * F.col("scale_x")).alias("x"), ((p["y"] - offset_y) * F.col("scale_y")).alias("y"))
-    quad = lambda b: F.transform(geometry.corners(b["cx"], b["cy"], b["w"] * maps.GROWTH, b["h"] * maps.GROWTH, F.radians(b["a"].cast("double"))), place)
-    out = out.select("doc_id", "image", F.transform("b", quad).alias("q"))
-    if settings.regions:
-        middle = lambda q: geometry.centre(q)
-        out = out.withColumn("q", F.filter("q", lambda q: geometry.in_regions(middle(q)["x"], middle(q)["y"], F.col("image.width"), F.col("image.height"))))
-    return out.select("doc_id", "image", F.transform(geometry.reading_order(F.col("q")), lambda i: F.get(F.col("q"), i)).alias("quads"))
+    @F.pandas_udf(_PLACED)
+    def boxes(scores: pd.Series, h: pd.Series, w: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_kept(np.asarray(s, np.float32), *rest, settings) for s, *rest in zip(scores, h, w, x, y, strict=True)])
+
+    return _in_order(found.select("doc_id", "image", boxes("scores", "h", "w", "scale_x", "scale_y").alias("b")), settings, offset_x, offset_y)
+
+
+def located(pictures: DataFrame, load: Callable[[], Callable], settings: Settings = Settings()) -> DataFrame:
+    """boxed() of detected() in one call of the worker, which holds one map at a time and gives boxes; pictures without pixels have null quads."""
+    get = cached(load)
+
+    @F.pandas_udf(_PLACED)
+    def boxes(image: pd.DataFrame) -> pd.Series:
+        out = []
+        for i in image.to_dict("records"):
+            if not images.has_pixels(i):
+                out.append(None)
+                continue
+            scores, x, y = _map(i, get(), settings.detection_limit)
+            out.append(_kept(scores.reshape(-1), *scores.shape, x, y, settings))
+        return pd.Series(out, dtype=object)
+
+    return _in_order(pictures.select("doc_id", "image", boxes("image").alias("b")), settings)
 
 
 def straightened(boxes: DataFrame, orient: Callable[[], Callable] | None = None) -> DataFrame:
-    """doc_id, line_no, cx, cy, w, h (in shares of the image) and line (a gray image) of every box of at least 2 x 2 pixels. orient gives a function of an
-    n x 3 x 48 x 192 tensor whose n x 2 scores say which lines stand on their heads; these are turned."""
+    """doc_id, line_no, cx, cy, w, h (in shares of the image) and line (a gray image) of every box of at least 2 x 2 pixels; the lines of an image are cut in
+    one call. orient gives a function of an n x 3 x 48 x 192 tensor whose n x 2 scores say which lines stand on their heads; these are turned."""
+    get = cached(orient) if orient else None
     each = F.transform("quads", lambda q: F.struct(geometry.centre(q).alias("c"), geometry.size(q).alias("s"), geometry.angle(q).alias("a")))
-    sized = boxes.select("doc_id", "image", F.filter(each, lambda b: (b["s"]["w"] >= 2) & (b["s"]["h"] >= 2)).alias("b"))
-    one = sized.select("doc_id", "image", F.posexplode("b").alias("line_no", "b"))
-    line = images.rotated_crop(F.col("image"), F.col("b.c.x"), F.col("b.c.y"), F.col("b.s.w").cast("int"), F.col("b.s.h").cast("int"), F.col("b.a"))
-    share = lambda v, side: (F.col(v) / F.col(f"image.{side}")).cast("float")
-    out = one.select("doc_id", "line_no", share("b.c.x", "width").alias("cx"), share("b.c.y", "height").alias("cy"), share("b.s.w", "width").alias("w"), share("b.s.h", "height").alias("h"), line.alias("line"))
-    if orient is None:
-        return out
-    get = cached(orient)
+    flat = F.transform(F.filter(each, lambda b: (b["s"]["w"] >= 2) & (b["s"]["h"] >= 2)), lambda b: F.array(b["c"]["x"], b["c"]["y"], b["s"]["w"], b["s"]["h"], b["a"]))
 
-    @F.pandas_udf("array<float>")
-    def scores(line: pd.DataFrame) -> pd.Series:
-        tensors = np.stack([images.orientation_tensor(images.pixels(i), TURN_HEIGHT, TURN_WIDTH) for i in line.to_dict("records")])
-        return pd.Series(list(np.asarray(get()(tensors), np.float32)))
-
-    return out.withColumn("line", images.turned_if(F.col("line"), sequences.upside_down(scores("line"))))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out, held = [], 0
+            for doc_id, image, places in zip(pdf["doc_id"], pdf["image"], pdf["places"], strict=True):
+                if places is None or not len(places) or not images.has_pixels(image):
+                    continue
+                a = images.pixels(image)
+                parts = [images.turned_cut(a, cx, cy, int(w), int(h), angle) for cx, cy, w, h, angle in places]
+                if get and parts:
+                    scores = np.asarray(get()(np.stack([images.orientation_tensor(p, TURN_HEIGHT, TURN_WIDTH) for p in parts])), np.float64)
+                    parts = [p[::-1, ::-1] if sequences.turned(s) else p for p, s in zip(parts, scores, strict=True)]
+                for k, (part, (cx, cy, w, h, _)) in enumerate(zip(parts, places, strict=True)):
+                    out.append((doc_id, k, cx / image["width"], cy / image["height"], w / image["width"], h / image["height"], images.gray(part)))
+                    held += part.size
+                if held > HELD:
+                    yield pd.DataFrame(out, columns=[*_KEEP, "line"])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=[*_KEEP, "line"])
+
+    return boxes.select("doc_id", "image", flat.alias("places")).mapInPandas(run, f"{_KEPT}, line {images.GRAY}")
 
 
 def read(straight: DataFrame, load: Callable[[], Callable], characters: list[str], settings: Settings = Settings()) -> DataFrame:
     """straightened()'s rows with text and confidence instead of line. load gives a function of an n x 3 x 48 x w tensor that returns n x steps x
     classes scores. Lines wider than line_width are squeezed to it; batched: they are cut in gaps between characters, segments of like width are
-    read together, and the confidence is a constant."""
+    read together whatever document they come from, and the confidence is a constant."""
+    if settings.batched:
+        return _joined(read_segments(segments(straight, settings.line_width), load), characters)
     get = cached(load)
-    keep = ["doc_id", "line_no", "cx", "cy", "w", "h"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = get()
         for pdf in frames:
-            all_ = [images.pixels(i) for i in pdf["line"]]
-            scores = _in_batches(all_, model, settings.line_width) if settings.batched else [
-                [np.asarray(model(images.recognition_tensor(a, lines.HEIGHT, settings.line_width)[None]), np.float32)[0]] for a in all_]
-            yield pdf[keep].assign(scores=[[[list(step) for step in part] for part in parts] for parts in scores])
-
-    rows = straight.select(*keep, "line").mapInPandas(run, "doc_id string, line_no int, cx float, cy float, w float, h float, scores array<array<array<float>>>")
-    parts = F.transform("scores", lambda s: sequences.decoded(s, characters))
-    rows = rows.select(*keep, parts.alias("p"))
-    mean = F.lit(BATCH_CONFIDENCE) if settings.batched else F.get("p", 0)["confidence"]
-    return rows.select(*keep, F.array_join(F.transform("p", lambda p: p["text"]), "").alias("text"), mean.cast("float").alias("confidence"))
-
-
-def _in_batches(all_: list[np.ndarray], model: Callable, most: int) -> list[list[np.ndarray]]:
-    """Scores of every segment of every line, segments of like width in one call of the model."""
-    parts: list[tuple[int, np.ndarray]] = []
-    for k, a in enumerate(all_):
-        scale = max(a.shape[0], 1) / lines.HEIGHT
-        reach = a.shape[1] if round(a.shape[1] / scale) <= most else max(1, int(most * scale))
-        start = 0
-        for end in lines.segment_ends(a.shape[1], reach, lines.gap_centres(a)):
-            part = a[:, start:end]
-            parts.append((k, images.resized(part, min(max(round(part.shape[1] / scale), 1), most), lines.HEIGHT)))
-            start = end
-    order = sorted(range(len(parts)), key=lambda i: parts[i][1].shape[1])
-    found: list[np.ndarray | None] = [None] * len(parts)
-    for bucket in lines.buckets([parts[i][1].shape[1] for i in order]):
-        members = [order[i] for i in bucket]
-        for i, s in zip(members, np.asarray(model(images.stacked([parts[i][1] for i in members], lines.HEIGHT)), np.float32), strict=True):
-            found[i] = s
-    out: list[list[np.ndarray]] = [[] for _ in all_]
-    for (k, _), s in zip(parts, found, strict=True):
-        out[k].append(s)
-    return out
+            paths = [sequences.best_path(np.asarray(model(images.recognition_tensor(images.pixels(i), lines.HEIGHT, settings.line_width)[None]), np.float32)[0]) for i in pdf["line"]]
+            yield pdf[_KEEP].assign(path=paths)
+
+    rows = straight.select(*_KEEP, "line").mapInPandas(run, f"{_KEPT}, path {sequences.PATH}")
+    rows = rows.select(*_KEEP, sequences.decoded_path(F.col("path"), characters).alias("p"))
+    return rows.select(*_KEEP, F.col("p.text").alias("text"), F.col("p.confidence").cast("float").alias("confidence"))
+
+
+def segments(straight: DataFrame, most: int = lines.MAX_WIDTH) -> DataFrame:
+    """straightened()'s rows cut in gaps between characters: segment (from 0), width and part (a gray image of the recognition height, at most `most` wide) instead of line."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out, held = [], 0
+            for row in pdf.itertuples(index=False):
+                for k, part in enumerate(_parts(images.pixels(row.line), most)):
+                    out.append((*row[:-1], k, part.shape[1], images.gray(part)))
+                    held += part.nbytes
+                if held > HELD:
+                    yield pd.DataFrame(out, columns=[*_KEEP, "segment", "width", "part"])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=[*_KEEP, "segment", "width", "part"])
+
+    return straight.select(*_KEEP, "line").mapInPandas(run, f"{_KEPT}, segment int, width int, part {images.GRAY}")
+
+
+def _parts(a: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The segments of a line at the recognition height, each at most `most` wide."""
+    scale = max(a.shape[0], 1) / lines.HEIGHT
+    reach = a.shape[1] if round(a.shape[1] / scale) <= most else max(1, int(most * scale))
+    start = 0
+    for end in lines.segment_ends(a.shape[1], reach, lines.gap_centres(a)):
+        part = a[:, start:end]
+        yield images.resized(part, min(max(round(part.shape[1] / scale), 1), most), lines.HEIGHT)
+        start = end
+
+
+def read_segments(parts: DataFrame, load: Callable[[], Callable]) -> DataFrame:
+    """segments()'s rows with path (the best path's run-length code) instead of part. Rows are dealt out by width, those of equal width by a hash, and sorted; a task reads them as a
+    stream of buckets (``lines.bucketed``), which go on over Arrow batches and end with the task."""
+    get = cached(load)
+    keep = [*_KEEP, "segment"]
+    order = [F.col("width"), F.xxhash64("doc_id", "line_no", "segment"), *(F.col(c) for c in ("doc_id", "line_no", "segment"))]
+    dealt = parts.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = get()
+        for bucket in lines.bucketed(row for pdf in frames for row in pdf[[*keep, "width", "part"]].itertuples(index=False)):
+            scores = np.asarray(model(images.stacked([images.pixels(r.part) for r in bucket], lines.HEIGHT)), np.float32)
+            yield pd.DataFrame([(*r[: len(keep)], sequences.best_path(s)) for r, s in zip(bucket, scores, strict=True)], columns=[*keep, "path"])
+
+    return dealt.select(*keep, "width", "part").mapInPandas(run, f"{_KEPT}, segment int, path {sequences.PATH}")
+
+
+def _joined(paths: DataFrame, characters: list[str]) -> DataFrame:
+    """Lines of read_segments()'s rows: the texts of a line's segments in order. A line has few segments."""
+    parts = F.array_sort(F.collect_list(F.struct("segment", "path")))
+    rows = paths.groupBy(*_KEEP).agg(parts.alias("p"))
+    text = F.array_join(F.transform("p", lambda p: sequences.decoded_path(p["path"], characters)["text"]), "")
+    return rows.select(*_KEEP, text.alias("text"), F.lit(BATCH_CONFIDENCE).cast("float").alias("confidence"))
 
 
 def recognise(pictures: DataFrame, detect: Callable[[], Callable], load: Callable[[], Callable], characters: list[str], orient: Callable[[], Callable] | None = None,
               settings: Settings = Settings()) -> DataFrame:
     """Boxes (doc_id, line_no, text, confidence, x, y, w, h; places in shares of the image) of pictures (doc_id, image): of all lines that hold text."""
-    read_ = read(straightened(boxed(detected(pictures, detect, settings), settings), orient), load, characters, settings)
+    read_ = read(straightened(located(pictures, detect, settings), orient), load, characters, settings)
     return read_.where(F.length("text") > 0).select("doc_id", "line_no", "text", "confidence", F.col("cx").alias("x"), F.col("cy").alias("y"), "w", "h")
 
 
@@ -155,15 +232,14 @@ def codes(pictures: DataFrame, load: Callable[[], Callable]) -> DataFrame:
 
 
 def _decoded(model: Callable, image: dict, regions: list) -> str | None:
-    if not image["pixels"] or not image["width"] or not image["height"]:
+    if not images.has_pixels(image):
         return None
-    try:
-        a = images.pixels(image)
-        for part in (*(images.part_of(a, r["x"], r["y"], r["w"], r["h"]) for r in regions), a):
+    a = images.pixels(image)
+    for part in (*(images.part_of(a, *(int(r[c]) for c in "xywh")) for r in regions), a):  # a null in a batch makes pandas' numbers floats
+        try:
             text = model(images.luminance(part))
-            if text and text.strip():
-                return text
-    except Exception:  # noqa: BLE001  a decoder's fault must not stop the documents
-        return None
+        except Exception:  # noqa: BLE001  a decoder's fault must not stop the documents
+            return None
+        if text and text.strip():
+            return text
     return None
-

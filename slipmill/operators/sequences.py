@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The best path of a sequence, step by step of one class: the class, the score of its first step, how many steps.
+PATH = "array<struct<c:int,score:float,n:int>>"
+
 
 def steps(flat: Column, n: int, classes: int) -> Column:
     """A flat array cut into whole steps, at most n."""
@@ -29,7 +33,10 @@ def collapsed(scores: Column, dictionary: list[str]) -> Column:
 
 def decoded(scores: Column, dictionary: list[str]) -> Column:
     """struct(text, confidence): the characters and the mean of their scores, 0 without any."""
-    read = collapsed(scores, dictionary)
+    return _joined(collapsed(scores, dictionary))
+
+
+def _joined(read: Column) -> Column:
     total = F.aggregate(read, F.lit(0.0), lambda a, r: a + r["score"])
     return F.struct(F.array_join(F.transform(read, lambda r: r["ch"]), "").alias("text"), F.when(F.size(read) > 0, total / F.size(read)).otherwise(F.lit(0.0)).alias("confidence"))
 
@@ -38,3 +45,25 @@ def upside_down(scores: Column) -> Column:
     """Whether the second of two scores, negative ones counted as 0, takes over nine tenths of a softmax."""
     a, b = F.exp(F.greatest(F.get(scores, 0).cast("double"), F.lit(0.0))), F.exp(F.greatest(F.get(scores, 1).cast("double"), F.lit(0.0)))
     return F.coalesce(b / (a + b) > 0.9, F.lit(False))
+
+
+def best_path(scores: np.ndarray) -> list[tuple[int, float, int]]:
+    """The run-length code of the best path of steps x classes scores: some dozen triples instead of all scores."""
+    if not scores.size:
+        return []
+    best = scores.argmax(axis=1)
+    starts = np.append(0, 1 + np.flatnonzero(best[1:] != best[:-1]))
+    return list(zip(best[starts].tolist(), scores[starts, best[starts]].tolist(), np.diff(np.append(starts, len(best))).tolist(), strict=True))
+
+
+def decoded_path(path: Column, dictionary: list[str]) -> Column:
+    """decoded() of a best path (PATH): each run is one character, as its class differs from that of the step before."""
+    marks = F.array(*(F.lit(c) for c in dictionary)) if dictionary else F.array().cast("array<string>")
+    read = F.transform(F.filter(path, lambda r: r["c"] != 0), lambda r: F.struct(F.coalesce(F.get(marks, r["c"] - 1), F.lit(" ")).alias("ch"), r["score"].cast("double").alias("score")))
+    return _joined(F.filter(read, lambda r: r["ch"] != ""))
+
+
+def turned(scores: np.ndarray) -> bool:
+    """upside_down() of one row."""
+    a, b = np.exp(np.maximum(np.asarray(scores[:2], np.float64), 0))
+    return bool(b / (a + b) > 0.9)

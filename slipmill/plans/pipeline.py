@@ -12,11 +12,12 @@ from pyspark.sql.types import StructType
 from slipmill.functions.dialect import rx, trim_u
 from slipmill.functions.qr import qr_fields
 from slipmill.functions.receipts import FIELD, fields_of, kind_of
+from slipmill.operators.folds import joined
 from slipmill.operators.verify import verification
 
 #: Least length of a PDF's trimmed text layer; below it the page is a picture and needs recognition.
 PDF_LEAST = 20
-EMPTY, NO_RASTER, BROKEN_PDF = "EmptyInput", "RasterNotAvailable", "Pdf"
+EMPTY, NO_RASTER, BROKEN_PDF, BROKEN_IMAGE = "EmptyInput", "RasterNotAvailable", "Pdf", "Decode"
 
 
 def text_documents(df: DataFrame, text: str = "text", id_col: str = "doc_id", on_error: str = "quarantine", kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -49,10 +50,10 @@ def wide_fields(documents: DataFrame, kind: str) -> DataFrame:
 
 
 def box_text(boxes: DataFrame) -> DataFrame:
-    """doc_id and raw_text: the trimmed, non-blank texts of a document's boxes (doc_id, line_no, text), a line each, in order."""
-    t = boxes.select("doc_id", "line_no", trim_u(F.coalesce("text", F.lit(""))).alias("text"))
-    grouped = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("line_no", "text")))).alias("b"))
-    return grouped.select("doc_id", F.array_join("b.text", "\n").alias("raw_text"))
+    """doc_id and raw_text: the trimmed, non-blank texts of a document's boxes (doc_id, line_no, text), a line each, in order. Boxes are sorted in their partitions and folded in a
+    stream, so a document of any number of boxes takes no more memory than its text."""
+    text = trim_u(F.coalesce("text", F.lit("")))
+    return joined(boxes, "doc_id", [F.col("line_no")], F.when(text != "", text), "\n", "raw_text")
 
 
 def verified(documents: DataFrame, payloads: DataFrame | None) -> DataFrame:
@@ -61,16 +62,26 @@ def verified(documents: DataFrame, payloads: DataFrame | None) -> DataFrame:
     if payloads is None:
         return documents.withColumn("verification", F.lit(None).cast("struct<status:string,raw_content:string,matched:array<struct<key:string,qr_value:string,ocr_value:string>>,"
                                                                   "conflicts:array<struct<key:string,qr_value:string,ocr_value:string>>>"))
-    joined = documents.join(payloads.select("doc_id", F.col("raw").alias("_raw")), "doc_id", "left")
-    read = joined.withColumns({"_qr": qr_fields(F.col("_raw")), "_raw": trim_u(F.col("_raw"))})
-    return read.withColumn("verification", verification(F.coalesce("fields", F.array().cast(FIELD)), F.col("_qr"), F.col("_raw"))).drop("_raw", "_qr")
+    known = documents.join(payloads.select("doc_id", F.col("raw").alias("_raw")), "doc_id", "left")
+    return with_verification(known, "_raw")
+
+
+def with_verification(documents: DataFrame, raw: str) -> DataFrame:
+    """documents with a verification column instead of the column raw, their payload (null: not scanned). For text and payload that are in one row: nothing is joined."""
+    read = documents.withColumns({"_qr": qr_fields(F.col(raw)), raw: trim_u(F.col(raw))})
+    return read.withColumn("verification", verification(F.coalesce("fields", F.array().cast(FIELD)), F.col("_qr"), F.col(raw))).drop(raw, "_qr")
 
 
 def image_documents(images: DataFrame, recognize: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Records of images (doc_id, image). recognize: images -> boxes (doc_id, line_no, text ...), a DataFrame operator such as
-    ``operators.recognition.recogniser(...)``; decode: images -> payloads (doc_id, raw)."""
-    documents = images.select("doc_id").join(box_text(recognize(images)), "doc_id", "left")
-    return verified(text_documents(documents, "raw_text"), decode(images) if decode else None)
+    """Records of images (doc_id, image and, as readers give it, error_kind). recognize: images -> boxes (doc_id, line_no, text ...), a DataFrame operator such as
+    ``operators.recognition.recogniser(...)``; decode: images -> payloads (doc_id, raw). Images without pixels are rows with the error_kind that they came with, or Decode."""
+    broken = F.coalesce(F.length("image.pixels"), F.lit(0)) == 0 if "image" in images.columns else F.lit(False)
+    stated = F.col("error_kind") if "error_kind" in images.columns else F.lit(None).cast("string")
+    known = images.select("doc_id", F.coalesce(stated, F.when(broken, BROKEN_IMAGE)).alias("_fault"))
+    read = known.join(box_text(recognize(images)), "doc_id", "left").select(F.struct("doc_id", "_fault").alias("row"), "raw_text")
+    out = text_documents(read, "raw_text", id_col="row")
+    out = out.select("doc_id.doc_id", "kind", "fields", "raw_text", F.coalesce("doc_id._fault", "error_kind").alias("error_kind"))
+    return verified(out, decode(images) if decode else None)
 
 
 def guarded(extract: Callable[[bytes], str]) -> Callable[[Column], Column]:

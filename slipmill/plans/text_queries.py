@@ -138,8 +138,9 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verify_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _checked(spark, sf_dir)
-    fields = pipeline.text_documents(rows.select("doc_id", "text", "raw"), kinds=(P.VAT,))
-    v = pipeline.verified(fields, rows.select("doc_id", "raw")).select("doc_id", "kind", F.size("fields").alias("n_fields"), "verification.*")
+    fields = pipeline.text_documents(rows.select(F.struct("doc_id", "raw").alias("row"), "text"), id_col="row", kinds=(P.VAT,))  # text and payload stay in one row
+    checked = pipeline.with_verification(fields.select("doc_id.doc_id", "doc_id.raw", "kind", "fields"), "raw")
+    v = checked.select("doc_id", "kind", F.size("fields").alias("n_fields"), "verification.*")
     return v.select("doc_id", "kind", "n_fields", "status", F.size("matched").alias("n_matched"), F.size("conflicts").alias("n_conflicts"),
                     F.get("conflicts", 0)["qr_value"].alias("qr_value"), F.get("conflicts", 0)["ocr_value"].alias("ocr_value"))
 

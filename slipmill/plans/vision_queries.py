@@ -43,14 +43,24 @@ def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("at").alias("first"), F.count("*").alias("n"), F.round(F.avg(F.col("p").cast("double")), 5).alias("mean"))
 
 
+def tiled_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_components of maps that are cut to tiles of 3 x 3 cells."""
+    found = maps.tiled_components(maps.tiles(_maps(spark, sf_dir), 3), THRESHOLD)
+    return found.groupBy("map_id", "label").agg(F.min("at").cast("int").alias("first"), F.count("*").alias("n"), F.round(F.avg(F.col("p").cast("double")), 5).alias("mean"))
+
+
+def map_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a size of map: maps, cells, boxes that are kept, least, largest and mean score."""
+    return maps.summary(_maps(spark, sf_dir), THRESHOLD, MEAN).select("h", "w", "maps", "cells", "boxes", *(F.round(c, 5).alias(c) for c in ("least", "largest", "mean")))
+
+
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p").cast("double")
     return _maps(spark, sf_dir).select(F.explode("scores").alias("p")).agg(F.count("*").alias("n"), F.round(F.min(p), 6).alias("least"), F.round(F.max(p), 6).alias("largest"), F.round(F.avg(p), 5).alias("mean"))
 
 
 def component_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = maps.kept_components(_maps(spark, sf_dir), THRESHOLD, MEAN)
-    return found.select("map_id", "label", "n", F.round(maps.smallest_box(F.col("cells"), F.lit(8))["area"], 2).alias("area"))
+    return maps.kept_boxes(_maps(spark, sf_dir), THRESHOLD, MEAN).select("map_id", "label", "n", F.round("box.area", 2).alias("area"))
 
 
 def quad_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +139,10 @@ def box_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.statistics(_boxes(spark, sf_dir))
 
 
+def side_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.order_statistics(_boxes(spark, sf_dir))
+
+
 def narrowest_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.narrowest(_boxes(spark, sf_dir).select("w", "box_id").distinct())
 
@@ -148,7 +162,7 @@ def code_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     score_cells, score_nearest, score_components, score_summary, component_boxes, quad_measures, region_boxes, reading_order, sequence_best, sequence_text, orientation, tensor_sizes,
-    ink_gaps, line_segments, width_buckets, joined_segments, box_statistics, narrowest_boxes, half_turned, code_regions)}
+    ink_gaps, line_segments, width_buckets, joined_segments, box_statistics, narrowest_boxes, half_turned, code_regions, tiled_components, map_summary, side_statistics)}
 
 _CELLS = "with e as (select vec_id, unnest(embedding) as p, unnest(range(0, 64)) as i from embeddings)"
 _BOXES = """with b as (select l_orderkey as doc_id, l_orderkey * 8 + l_linenumber as box_id, l_linenumber as idx, l_partkey % 97 * 10 + 5.0::double as cx, l_suppkey % 83 * 8 + 3.0::double as cy,
@@ -170,6 +184,12 @@ ORACLE_SQL = {
     "score_cells": _CELLS + f" select vec_id as map_id, cast(i // 8 as int) as y, cast(i % 8 as int) as x, round(p::double, 6) as p from e where p > {THRESHOLD}::float",
     "score_nearest": "select vec_id as map_id, cast(j as int) as at, round(embedding[1 + (j // 3 * 8 // 4) * 8 + (j % 3 * 8 // 3)]::double, 6) as p from embeddings, range(0, 12) r(j)",
     "score_components": _COMPONENTS + " select vec_id as map_id, cast(label as int) as label, cast(first as int) as first, n, round(mean, 5) as mean from s",
+    "tiled_components": _COMPONENTS + " select vec_id as map_id, cast(label as int) as label, cast(first as int) as first, n, round(mean, 5) as mean from s",
+    "map_summary": _COMPONENTS + f""", t as (select count(*) as cells, min(p::double) as least, max(p::double) as largest, avg(p::double) as mean from e)
+        select 8 as h, 8 as w, (select count(*) from embeddings) as maps, cells, (select count(*) from s where n >= 3 and mean >= {MEAN}) as boxes, round(least, 5) as least, round(largest, 5) as largest, round(mean, 5) as mean from t""",
+    "side_statistics": _BOXES + ", s as (select unnest(['w', 'h']) as side, unnest([w, h])::bigint as v from b), r as (select side, v, row_number() over (partition by side order by v) - 1 as k, count(*) over (partition by side) as n from s) "
+        "select side, count(*) as n, min(v) as least, max(v) as largest, " + ", ".join(f"(max(v) filter (where k = (n - 1) * {p} // 100) + max(v) filter (where k = ((n - 1) * {p} + 99) // 100)) // 2 as p{p}" for p in (25, 50, 75, 90))
+        + ", " + ", ".join(f"count(*) filter (where v < {t}) as under_{t}" for t in (2, 5, 10, 20, 40)) + " from r group by side",
     "score_summary": _CELLS + " select count(*) as n, round(min(p::double), 6) as least, round(max(p::double), 6) as largest, round(avg(p::double), 5) as mean from e",
     "component_boxes": _COMPONENTS + f""", k as (select * from s where n >= 3 and mean >= {MEAN}),
         t as (select k.vec_id, k.label, k.n, a, c.x * cos(radians(a)) + c.y * sin(radians(a)) as u, c.y * cos(radians(a)) - c.x * sin(radians(a)) as v

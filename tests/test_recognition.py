@@ -78,8 +78,8 @@ def test_batches_read_the_same_text(spark):
     assert [(r.doc_id, r.line_no, r.text) for r in alone] == [(r.doc_id, r.line_no, r.text) for r in together] and {round(r.confidence, 3) for r in together} == {0.8}
     wide = np.zeros((10, 400), np.uint8)
     wide[:, 195:205] = 255
-    parts = recognition._in_batches([wide], recogniser(), 640)
-    assert len(parts[0]) > 1 and lines.segment_ends(400, 133, lines.gap_centres(wide)) == [133, 199, 332, 400]
+    parts = list(recognition._parts(wide, 640))
+    assert len(parts) > 1 and lines.segment_ends(400, 133, lines.gap_centres(wide)) == [133, 199, 332, 400]
 
 
 def test_codes(spark):
