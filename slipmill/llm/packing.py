@@ -102,9 +102,7 @@ def pack(docs: DataFrame, tokens: Column | Callable[[str], int] | None = None, b
     for b in reversed(bounds[:-1]):
         bound = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(bound)
     slices = max(1, -(-total // slice_rows))
-    most = sized.groupBy("spread").count().agg(F.max("count")).first()[0] or 0
-    key = F.col("spread") if most <= 4 * slice_rows else F.xxhash64("row")
-    dealt = sized.withColumns({"bucket": bound.cast("long"), "slice": F.pmod(key, F.lit(slices))})
+    dealt = sized.withColumns({"bucket": bound.cast("long"), "slice": F.pmod(F.xxhash64("row"), F.lit(slices))})  # rows that are alike are dealt out too
 
     inside = Window.partitionBy("bucket", "slice").orderBy(F.col("doc_id").asc_nulls_first(), "spread", "n_tokens")
     counts = dealt.groupBy("bucket", "slice").agg(F.count("*").alias("n"))

@@ -7,8 +7,9 @@ speakable letters and brute-force stretches, by dynamic programming over the who
 not only the longest. Values of ``threshold`` decimal digits of guesses or more are spans of the kind guess. ``pass: please`` is cheap
 and stays; a random key is not.
 
-Words are ranked: the fixed ones first, then those that ``vocabulary`` counts most often in a corpus (a job; at most ``RANKS`` of
-them reach the driver). A guess list is public, so its rank is the number of guesses.
+Words are ranked: the fixed ones, and after them, if a trusted corpus is given, those that ``vocabulary`` counts in it (a job; at most ``RANKS`` of
+them reach the driver). A guess list is public, so its rank is the number of guesses. By default a document's spans depend on its text alone: a corpus that is scanned
+teaches nothing, as a secret would teach itself.
 
 All spans are code points of the whole text, end exclusive. One pass over the documents, no shuffle.
 
@@ -50,8 +51,8 @@ september october november december monday tuesday friday sunday love baby angel
 access key server database mysql oracle linux windows apple google computer internet""".split()
 #: The rows of a keyboard, and how far each is shifted to the right, in keys.
 ROWS = (("`1234567890-=", -1.0), ("qwertyuiop[]", 0.5), ("asdfghjkl;'", 0.75), ("zxcvbnm,./", 1.25))
-#: Most words of a corpus that are ranked; longest unit of a repeat.
-RANKS, UNIT = 20_000, 16
+#: Most words of a corpus that are ranked, least documents that have one; longest unit of a repeat.
+RANKS, DOCUMENTS, UNIT = 20_000, 5, 16
 
 _FIXED = {w: math.log10(i + 1) for i, w in reversed(list(enumerate(dict.fromkeys(COMMON))))}
 _PLAIN = str.maketrans("430157$@!", "aeoistsai")
@@ -155,12 +156,16 @@ def _cost(value: str, words: dict[str, float], units: dict[str, float]) -> float
     return done[n]
 
 
-def vocabulary(docs: DataFrame, ranks: int = RANKS) -> dict[str, float]:
-    """Words of 3 to 15 letters with the cost of their rank: the fixed ones, then the commonest of docs. Tokens count where they stand between
+def vocabulary(docs: DataFrame, ranks: int = RANKS, least: int = DOCUMENTS) -> dict[str, float]:
+    """Words of 3 to 15 letters with the cost of their rank: the fixed ones, then those that stand in most documents of docs, a trusted corpus: what it teaches is no secret
+    any more, so the texts that are scanned should not teach it. Values in credential context are left out, and words of under `least` documents. Tokens count where they stand between
     white space, in lower case or with a capital, with no sign but one at their end, so parts of keys are no words."""
-    token = F.explode(words_of(F.col("text"))).alias("w")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    for pattern in (_ASSIGN, _CONTEXT):
+        text = F.regexp_replace(text, "(?i)" + pattern.pattern, " ")
+    token = F.explode(F.array_distinct(words_of(text))).alias("w")
     word = F.lower(F.regexp_extract("w", r"^([A-Z]?[a-z]{2,14})[.,;:!?]?$", 1)).alias("w")
-    counted = docs.select(token).select(word).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    counted = docs.select(token).select(word).where("w <> ''").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     out, place = dict(_FIXED), len(_FIXED)
     for r in counted.orderBy(F.desc("n"), "w").limit(ranks).collect():
         if r.w not in out:

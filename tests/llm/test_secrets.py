@@ -82,13 +82,23 @@ def test_guess_cost():
 
 
 def test_learnt_words(spark):
-    rows = [(1, "Marotiel, brandovexi. marotiel k9Xq2LmZ4vRw key=kqzxwvj"), (2, None), (3, "")]
-    words = S.vocabulary(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, w int"))
+    rows = [(1, "Marotiel, brandovexi. marotiel k9Xq2LmZ4vRw key=kqzxwvj"), (2, None), (3, ""), (4, "marotiel")]
+    words = S.vocabulary(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, w int"), least=1)
     assert words["password"] == 0 and "k9xq2lmz4vrw" not in words and "kqzxwvj" not in words
     assert words["marotiel"] < words["brandovexi"] and S.guess_cost("Marotiel-brandovexi", words) < S.THRESHOLD
     assert S.find("password is qZxKvJwYpLmNtR") == [("guess", 12, 26)] and S.find("passphrase:\t   x9$Kq2!vLw7z")[0][0] == "guess"
 
 
+def test_secrets_do_not_teach_themselves(spark):
+    planted = [(1, "passphrase is qzxkvjwpylmntr and more"), (2, "my pwd: vbnqxzkrtwpls ok")]
+    alone = {r.doc_id: r.spans for r in S.scan(spark.createDataFrame(planted, "doc_id long, text string")).collect()}
+    assert all([s.kind for s in spans] == ["guess"] for spans in alone.values())
+    corpus = spark.createDataFrame(planted * 10 + [(k, "qzxkvjwpylmntr stands here " * (k % 2)) for k in range(3, 10)], "doc_id long, text string")
+    assert all(r.spans == alone[r.doc_id] for r in S.scan(corpus).where("doc_id < 3").collect())
+    words = S.vocabulary(corpus, least=5)  # each secret is in 10 documents, but only in context
+    assert "vbnqxzkrtwpls" not in words and "qzxkvjwpylmntr" not in words and "stands" not in words and "more" in words
+
+
 def test_spans_in_context():
     assert [k for k, *_ in S.find("pwd is x9$Kq2!vLw7z end")] == ["guess"]
     assert S.find("Authorization: Bearer tR4vN8qZ1mXb")[0][0] == "guess"
