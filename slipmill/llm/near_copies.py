@@ -8,16 +8,19 @@ Candidates come from two searches.
 1. SimHash: 64-bit fingerprints of the sets, all within 4 bits found by ``simhash.links`` (vantage-point trees). This reaches
    copies of about 0.95 and more. A pair of 0.8 differs in 10 bits on average and in up to 18; no triangle bound prunes at 18 of
    64 bits, so a wider radius would compare all pairs.
-2. The rest by MinHash: a class has BANDS keys, each over ROWS least values; classes that share a key (a bucket) are candidates. A
-   pair of 0.8 is missed with probability (1 - 0.8 ** 5) ** 26 = 3e-5, one of 0.9 with 7e-11. The lowest bits of the 130 least
-   values are a sketch; candidates that differ in over ``MOST`` of them (4.5 deviations from what 0.8 gives) are not verified.
+2. The rest by prefix filtering, which misses none: shingles have one order, rarest first; two sets of n and m shingles that are similar to 0.8 have 0.8 max(n, m) in common, so
+   they share one of the first n - ceil(0.8 n) + 1 of either. These are a class's keys; classes that share a key (a bucket) and are near enough in size are candidates.
+   Passages that many documents have are last in the order and are keys only of documents that hold little else.
+
+The order is by how often a shingle's slot of a fixed table (``SLOTS``) is hit in the whole corpus, in steps of a quarter of a power of two, ties by hash. Any order gives all links;
+a table that is full only orders worse. It is summed up over tasks, block by block, and broadcast: 4 MB at any size.
 
 A bucket is not compared pair by pair. In each of ``TURNS`` turns the components that meet in a bucket are compared through
-members drawn from its largest component: of all pairs between two components the likeliest by sketch are verified (one, in later
-turns 16 times as many), and components that turn out to be linked become one. So a large group of copies costs rows in proportion to its size. What
+members drawn from its largest component: of all pairs between two components the one of the nearest fingerprints is verified, and components that turn out to be linked become
+one. So a large group of copies costs rows in proportion to its size. What
 is then still apart within a bucket is compared in full, so every two members of a bucket are in one component or were compared: in
-buckets of up to ``FEW`` as pairs, in larger ones inside tasks, tile against tile, whose sets are counted by matrix products and
-which give only a forest of links.
+buckets of up to ``FEW`` as pairs, in larger ones inside tasks, tile against tile. There the buckets of one largest component are compared together, so a set moves once for them, however many keys
+it shares; sets are counted by matrix products and give only a forest of links.
 
 Defined cases: texts under five words are one shingle; null and empty texts have the empty set and are copies of each other;
 rows are known by doc_id and a hash of the text; a null doc_id stays only where no numbered row is in its component; of
@@ -27,6 +30,7 @@ result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,13 +45,14 @@ from slipmill.llm import simhash
 from slipmill.llm._shared import cut, fresh, map_rows, small
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 26, 5
-#: Differing sketch bits at most, turns, members drawn from a bucket's largest component in each turn, remembered words per worker.
-MOST, TURNS, HUBS, MEMORY = 28, 1, 8, 100_000
+#: Slots of the table of frequencies, slots of a block of it.
+SLOTS, BLOCK = 1 << 22, 1 << 12
+#: Turns, members drawn from a bucket's largest component in each turn, remembered words per worker.
+TURNS, HUBS, MEMORY = 1, 2, 100_000
 #: Members of a bucket that is compared as pairs; members and bytes of sets of a tile in larger ones.
 FEW, TILE, TILE_BYTES = 8, 1024, 16_000_000
 _RNG = np.random.default_rng(11)
-_TIMES, _PLUS, _PLACE = (_RNG.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, SHINGLE))
+_PLACE = _RNG.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDS: dict[bytes, int] = {}
 
 
@@ -69,19 +74,50 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> np.uint64(29)))
 
 
-def sketch(shingles: np.ndarray) -> tuple[list[int], list[int], int]:
-    """Band keys, three longs with the lowest bits of the least values, and the 64-bit fingerprint of a set; no keys for an empty one."""
-    if not len(shingles):
-        return [], [0, 0, 0], 0
-    least, votes = np.full(BANDS * ROWS, np.iinfo(np.uint64).max), np.zeros(64, np.int64)
+def fingerprint(shingles: np.ndarray) -> int:
+    """The 64-bit fingerprint of a set: the bits that over half of its hashes have."""
+    votes = np.zeros(64, np.int64)
     for at in range(0, len(shingles), 2048):
-        part = shingles[at : at + 2048]
-        mixed = part[:, None] * _TIMES + _PLUS
-        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0), out=least)
-        votes += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    keys = [xxhash.xxh64_intdigest(part.tobytes(), k) - (1 << 63) for k, part in enumerate(least.reshape(BANDS, ROWS))]
-    low = np.packbits(np.pad((least & np.uint64(1)).astype(np.uint8), (0, 192 - BANDS * ROWS))).view(">i8").tolist()
-    return keys, low, int.from_bytes(np.packbits(votes * 2 > len(shingles)).tobytes(), "big", signed=True)
+        votes += np.unpackbits(shingles[at : at + 2048].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(shingles)).tobytes(), "big", signed=True)
+
+
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """How often the slot of a shingle is hit by the sets of docs (text), in quarters of powers of two, for all SLOTS."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(total, _slots(shingle_set(text)), 1)
+        blocks = np.flatnonzero(total.reshape(-1, BLOCK).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), pa.array([zlib.compress(total[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes(), 1) for k in blocks], pa.binary())], names=["block", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(zlib.decompress(counts), "<u4").astype(np.int64)
+        levels = [np.minimum(np.rint(4 * np.log2(1 + x)), 255).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["block", "counts"])
+
+    schema, out = "block int, counts binary", np.zeros(SLOTS, np.uint8)
+    for block, levels in docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add_up, schema).toLocalIterator():  # SLOTS bytes
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(levels, np.uint8)
+    return out
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def prefix(shingles: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The keys of a set: its n - ceil(0.8 n) + 1 shingles that are first in the order of levels and hashes."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    first = n - -(-4 * n // 5) + 1
+    return shingles[np.argsort(level[_slots(shingles)], kind="stable")[:first]]  # a set is sorted by hash
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -95,16 +131,16 @@ def _text_hash() -> Column:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), sh (hash of the shingle set), n (its size), keys, bits and fp of every document."""
+    """doc_id, th (hash of the text), sh (hash of the shingle set), n (its size), keys and fp of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs))  # SLOTS bytes
 
     def rows(batch: dict) -> dict:
         sets = [shingle_set(t) for t in batch["text"]]
-        keys, bits, fps = zip(*map(sketch, sets), strict=True) if sets else ((), (), ())
         return {"doc_id": batch["doc_id"], "th": batch["th"], "sh": [xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63) for s in sets],
-                "n": [len(s) for s in sets], "keys": list(keys), "bits": list(bits), "fp": list(fps)}
+                "n": [len(s) for s in sets], "keys": [prefix(s, shared.value).view(np.int64) for s in sets], "fp": [fingerprint(s) for s in sets]}
 
     return map_rows(docs.select("doc_id", "text", _text_hash().alias("th")), rows,
-                    "doc_id long, th long, sh long, n long, keys array<long>, bits array<long>, fp long", ["doc_id", "text", "th"])
+                    "doc_id long, th long, sh long, n long, keys array<long>, fp long", ["doc_id", "text", "th"])
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -146,38 +182,35 @@ def close_pairs(classes: DataFrame) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """key, sh, n, bits and label (sh) of every class in every bucket that it shares."""
+    """key, sh, n, fp and label (sh) of every class in every bucket that it shares."""
     dealt = classes.select("sh", F.explode("keys").alias("key")).repartition("key")
     shared = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    return dealt.join(shared, "key").join(classes.select("sh", "n", "bits"), "sh").select("key", "sh", "n", "bits", F.col("sh").alias("label"))
+    return dealt.join(shared, "key").join(classes.select("sh", "n", "fp"), "sh").select("key", "sh", "n", "fp", F.col("sh").alias("label"))
 
 
-def _candidate(n: Column, m: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    """Whether sizes and sketches let two sets be similar, and in how many bits the sketches differ."""
-    differ = sum((F.bit_count(F.get(x, k).bitwiseXOR(F.get(y, k))) for k in range(1, 3)), F.bit_count(F.get(x, 0).bitwiseXOR(F.get(y, 0))))
-    return (F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILAR) - 0.001) & (differ <= MOST), differ
+def _able(n: Column, m: Column) -> Column:
+    """Whether sizes let two sets be similar."""
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
 def _relabelled(open_: DataFrame, edges: DataFrame) -> DataFrame:
     """open_ with labels that edges (a, b) of labels join made one."""
     joined = simhash.components(edges)
-    return open_.join(joined, F.col("label") == F.col("id"), "left").select("key", "sh", "n", "bits", F.coalesce("component", "label").alias("label"))
+    return open_.join(joined, F.col("label") == F.col("id"), "left").select("key", "sh", "n", "fp", F.coalesce("component", "label").alias("label"))
 
 
 def _met(open_: DataFrame, turn: int) -> DataFrame:
-    """The rows of buckets with several labels, with the label of the bucket's largest component (main), members drawn from it (hubs), and of
-    the bucket total (members), rest (those outside main) and mass (the sets' sizes)."""
-    drawn = F.array(*(F.min(F.struct(F.xxhash64("sh", F.lit(turn * HUBS + k)).alias("h"), "sh", "n", "bits")) for k in range(HUBS)))
-    parts = open_.groupBy("key", "label").agg(F.count("*").alias("size"), F.sum("n").alias("mass"), drawn.alias("hubs"))
-    heads = parts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("size").alias("total"), F.sum("mass").alias("mass"), F.max("size").alias("most"),
-                                     F.max_by(F.struct(F.col("label").alias("main"), "hubs"), F.struct("size", "label")).alias("head"))
-    return open_.join(heads.where("labels > 1").select("key", "head.main", "head.hubs", "total", (F.col("total") - F.col("most")).alias("rest"), "mass"), "key")
+    """The rows of buckets with several labels, with the label of the bucket's largest component (main), members drawn from it (hubs) and the bucket's total (members)."""
+    drawn = F.array(*(F.min(F.struct(F.xxhash64("sh", F.lit(turn * HUBS + k)).alias("h"), "sh", "n", "fp")) for k in range(HUBS)))
+    parts = open_.groupBy("key", "label").agg(F.count("*").alias("size"), drawn.alias("hubs"))
+    heads = parts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("size").alias("total"), F.max_by(F.struct(F.col("label").alias("main"), "hubs"), F.struct("size", "label")).alias("head"))
+    return open_.join(heads.where("labels > 1").select("key", "head.main", "head.hubs", "total"), "key")
 
 
 def _sides(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members outside main, and all, under names of their own."""
-    side = lambda c: [F.col(a).alias(f"{b}{c}") for a, b in (("sh", "s"), ("label", "l"), ("n", "n"), ("bits", "x"))]
-    return met.where("label <> main").select("key", "main", "hubs", "total", "rest", "mass", *side("p")), met.select("key", *side("q"))
+    side = lambda c: [F.col(a).alias(f"{b}{c}") for a, b in (("sh", "s"), ("label", "l"), ("n", "n"), ("fp", "x"))]
+    return met.where("label <> main").select("key", "main", "hubs", "total", *side("p")), met.select("key", *side("q"))
 
 
 def common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -202,17 +235,16 @@ def common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
 
 
 def in_tiles(many: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between components of large buckets, every member outside main against every member; a task holds two tiles of sets."""
-    left, right = _sides(many)
-    left = left.join(right, (left["key"] == right["key"]) & (F.col("lp") != F.col("lq")) & _candidate(F.col("np"), F.col("nq"), F.col("xp"), F.col("xq"))[0], "left_semi")
+    """Links (a, b) between components of large buckets, every member outside main against every member of the buckets of the same main; a task holds two tiles of sets."""
+    rows = cut(many.select("main", "sh", "label", "n", (F.col("label") != F.col("main")).alias("own")).distinct())
+    sizes = rows.groupBy("main").agg(F.count_if("own").alias("rest"), F.count("*").alias("total"), F.sum("n").alias("mass"))
     bytes_ = F.col("mass") * 8 / TILE_BYTES
-    tiles = {"ti": F.ceil(F.greatest(F.col("rest") / TILE, bytes_ * F.col("rest") / F.col("total"), F.lit(1))).cast("int"), "tj": F.ceil(F.greatest(F.col("total") / TILE, bytes_, F.lit(1))).cast("int")}
-    left = cut(left.withColumns(tiles).select("key", F.col("sp").alias("sh"), F.col("lp").alias("label"), "ti", "tj"))
-    right = right.join(left.groupBy("key").agg(F.first("ti").alias("ti"), F.first("tj").alias("tj")), "key").select("key", F.col("sq").alias("sh"), F.col("lq").alias("label"), "ti", "tj")
+    tiles = sizes.select("main", F.ceil(F.greatest(F.col("rest") / TILE, bytes_ * F.col("rest") / F.col("total"), F.lit(1))).cast("int").alias("ti"), F.ceil(F.greatest(F.col("total") / TILE, bytes_, F.lit(1))).cast("int").alias("tj"))
+    each_row = rows.join(tiles, "main")
     own = lambda n: F.pmod(F.xxhash64("sh"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = left.select("key", "sh", "label", F.lit(True).alias("own"), own("ti").alias("i"), each("tj").alias("j")).union(
-        right.select("key", "sh", "label", F.lit(False).alias("own"), each("ti").alias("i"), own("tj").alias("j")))
+    dealt = each_row.where("own").select(F.col("main").alias("key"), "sh", "label", F.lit(True).alias("own"), own("ti").alias("i"), each("tj").alias("j")).union(
+        each_row.select(F.col("main").alias("key"), "sh", "label", F.lit(False).alias("own"), each("ti").alias("i"), own("tj").alias("j")))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         own, sh, label = pdf["own"].to_numpy(bool), pdf["sh"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64)
@@ -230,8 +262,8 @@ def in_tiles(many: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes of found (prints): a subset of all links that reaches what all links of candidates reach."""
-    classes = cut(found.groupBy("sh").agg(*(F.first(c).alias(c) for c in ("keys", "n", "bits", "fp")), F.min(F.struct("doc_id", "th")).alias("row")))
+    """Edges (a, b) between classes of found (prints): a subset of all links that reaches what all links reach."""
+    classes = cut(found.groupBy("sh").agg(*(F.first(c).alias(c) for c in ("keys", "n", "fp")), F.min(F.struct("doc_id", "th")).alias("row")))
     tried, open_ = cut(close_pairs(classes)), cut(buckets(classes))
     wanted = open_.select("sh").union(tried.select("a")).union(tried.select("b")).distinct()
     sets = cut(sets_of(docs, wanted.join(classes.select("sh", "row.doc_id", "row.th"), "sh")))
@@ -241,17 +273,16 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
         met = cut(_met(_relabelled(open_, edges), turn))
         left, right = _sides(met)
         if turn < TURNS:
-            pairs = left.withColumn("h", F.explode("hubs")).select("*", F.col("h.sh").alias("sq"), F.col("main").alias("lq"), F.col("h.n").alias("nq"), F.col("h.bits").alias("xq"))
+            pairs = left.withColumn("h", F.explode("hubs")).select("*", F.col("h.sh").alias("sq"), F.col("main").alias("lq"), F.col("h.n").alias("nq"), F.col("h.fp").alias("xq"))
             fits = F.lit(True)
         else:
             good.append(in_tiles(met.where(F.col("total") > FEW), sets))
             pairs = left.where(F.col("total") <= FEW).join(right, "key")
             fits = (F.col("lp") != F.col("lq")) & ((F.col("lq") == F.col("main")) | (F.col("sp") > F.col("sq")))
-        able, differ = _candidate(F.col("np"), F.col("nq"), F.col("xp"), F.col("xq"))
-        pairs = pairs.where(fits & able).select(*_ordered("sp", "sq"), F.least("lp", "lq").alias("la"), F.greatest("lp", "lq").alias("lb"), differ.alias("d"))
+        pairs = pairs.where(fits & _able(F.col("np"), F.col("nq"))).select(*_ordered("sp", "sq"), F.least("lp", "lq").alias("la"), F.greatest("lp", "lq").alias("lb"), F.bit_count(F.col("xp").bitwiseXOR(F.col("xq"))).alias("d"))
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if turn < TURNS:
-            pairs = pairs.groupBy("la", "lb", F.pmod(F.xxhash64("a", "b"), F.lit(16**turn)).alias("part")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b", "la", "lb")
+            pairs = pairs.groupBy("la", "lb").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b", "la", "lb")
         chosen = cut(pairs.select("a", "b", "la", "lb").dropDuplicates(["a", "b"]))
         good.append(similar(chosen, sets))
         tried = tried.union(chosen.select("a", "b"))
