@@ -29,7 +29,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each component of texts whose five-word shingles are similar to 0.8 or more: copies
-    within 4 bits by SimHash and vantage-point trees, the others by MinHash buckets, every link verified."""
+    within 4 bits by SimHash and vantage-point trees, the others by prefix filtering, every link verified."""
     return near_copies.keep_one(docs)
 
 
