@@ -1,6 +1,7 @@
 """Registered queries of the receipt operators and their DuckDB SQL."""
 
-from slipmill.plans import image_queries, text_queries, vision_queries
+from slipmill.plans import image_queries, pixel_queries, text_queries, vision_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **vision_queries.QUERIES, **image_queries.QUERIES}
-ORACLE_SQL: dict = {**text_queries.ORACLE_SQL, **vision_queries.ORACLE_SQL, **image_queries.ORACLE_SQL}
+_MODULES = (text_queries, vision_queries, pixel_queries, image_queries)
+QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
