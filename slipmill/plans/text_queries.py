@@ -10,7 +10,7 @@ from slipmill.functions.dialect import settled
 from slipmill.functions.qr import compact_date, plain_amount, qr_fields
 from slipmill.functions.receipts import clean_tax_no, cn_amount, cn_integer, kind_of, vat_names, vat_values
 from slipmill.operators import verify
-from slipmill.plans import pipeline, render
+from slipmill.plans import pipeline, render, sql_access
 
 ORDERS = """
 with r as (select cast(o_orderkey as varchar) as doc_id, o_orderkey as k, lpad(cast(o_orderkey as varchar), 8, '0') as no,
@@ -166,11 +166,34 @@ def text_of_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.box_text(boxes)
 
 
+def sql_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of train receipts, asked for in SQL."""
+    render.documents(spark, sf_dir).select("doc_id", "text").createOrReplaceTempView("receipts")
+    sql_access.fields_view(spark, "receipts", "receipt_fields")
+    sql_access.records_view(spark, "receipts", "receipt_records")
+    return spark.sql(f"select r.kind, f.key, count(*) as n, count(distinct f.value) as n_values from receipt_fields f join receipt_records r on f.doc_id = r.doc_id where r.kind = '{P.TRAIN}' group by r.kind, f.key")
+
+
+def _memo(text: str) -> list[tuple[str, str, str]]:
+    """A user's parser: the number of a memo."""
+    return [("memo_no", "memo", text[5:])] if text.startswith("memo ") else []
+
+
+def sql_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user's parser finds, as a table function in SQL."""
+    render.documents(spark, sf_dir).select("doc_id", "text").createOrReplaceTempView("receipts")
+    sql_access.parser_function(spark, "memo_fields", _memo)
+    return spark.sql("select d.doc_id, f.* from receipts d, lateral memo_fields(d.text) f")
+
+
 QUERIES = {f.__name__: f for f in (
-    classify_receipts, classify_documents, classify_counts, vat_fields, vat_wide, train_fields, flight_fields, receipt_fields, vat_dates, vat_names_fallback, vat_tax_numbers, vat_totals,
+    sql_fields, sql_parser, classify_receipts, classify_documents, classify_counts, vat_fields, vat_wide, train_fields, flight_fields, receipt_fields, vat_dates, vat_names_fallback, vat_tax_numbers, vat_totals,
     cn_amounts, qr_long, normal_dates, normal_amounts, verify_receipts, verify_join, verify_conflicts, verify_summary, text_of_boxes)}
 
 _KIND = f"case k % 5 when 0 then '{P.VAT}' when 1 then '{P.VAT}' when 2 then '{P.TRAIN}' when 3 then '{P.FLIGHT}' else '{P.UNKNOWN}' end"
+_TRAIN_VALUES = {
+    "train_no": "'G' || cast(k % 9000 + 1 as varchar)", "travel_date": DAY, "price": "amount", "passenger_name": "'张三'", "passenger_id_no": "'1101011990' || no",
+    "seat_class": "'二等座'", "from_station": "'北京南站'", "to_station": "'上海虹桥站'"}
 _VAT_VALUES = {
     "invoice_code": "code", "invoice_no": "no", "invoice_date": DAY, "buyer_name": "buyer", "seller_name": "seller",
     "buyer_tax_no": "'91320594MA' || lpad(cast(k as varchar), 7, '0') || 'A'", "seller_tax_no": "'91320594MA' || lpad(cast(k as varchar), 7, '0') || 'B'",
@@ -194,11 +217,11 @@ ORACLE_SQL = {
         when contains(text, '发票代码') or contains(text, '发票号码') or (contains(text, '价税合计') and contains(text, '税额')) then '{P.VAT}'
         when contains(text, '车次') or contains(text, '乘车日期') or regexp_matches(text, '(?m)^{_SPACE}*[GCDZYKL]{_SPACE}*[0-9]{{1,4}}{_SPACE}*$') then '{P.TRAIN}'
         when regexp_matches(text, '{"|".join(P.FLIGHT_WORDS)}') then '{P.FLIGHT}' else '{P.UNKNOWN}' end as kind from documents""",
+    "sql_fields": "with f as (" + _long_sql(P.TRAIN, _TRAIN_VALUES, "k % 5 = 2") + f") select '{P.TRAIN}' as kind, key, count(*) as n, count(distinct value) as n_values from f group by key",
+    "sql_parser": ORDERS + "select doc_id, 0 as ord, 'memo_no' as key, 'memo' as label, no as value from r where k % 5 = 4",
     "vat_fields": _long_sql(P.VAT, _VAT_VALUES, "k % 5 = 1"),
     "vat_wide": ORDERS + "select doc_id, " + ", ".join(f"{v} as {k}" for k, v in _VAT_VALUES.items()) + " from r",
-    "train_fields": _long_sql(P.TRAIN, {
-        "train_no": "'G' || cast(k % 9000 + 1 as varchar)", "travel_date": DAY, "price": "amount", "passenger_name": "'张三'", "passenger_id_no": "'1101011990' || no",
-        "seat_class": "'二等座'", "from_station": "'北京南站'", "to_station": "'上海虹桥站'"}, "k % 5 = 2"),
+    "train_fields": _long_sql(P.TRAIN, _TRAIN_VALUES, "k % 5 = 2"),
     "flight_fields": _long_sql(P.FLIGHT, {
         "flight_no": "'CA' || lpad(cast(k % 10000 as varchar), 4, '0')", "flight_date": DAY, "passenger_name": "'李四'", "ticket_no": "'99900' || no", "price": "amount",
         "fuel_surcharge": "'40.00'", "airport_fee": "'50.00'"}, "k % 5 = 3"),

@@ -143,6 +143,11 @@ def side_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.order_statistics(_boxes(spark, sf_dir))
 
 
+def side_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the widths of each order's boxes are apart."""
+    return _boxes(spark, sf_dir).groupBy("doc_id").agg(lines.spread(F.col("w")).alias("spread"))
+
+
 def narrowest_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.narrowest(_boxes(spark, sf_dir).select("w", "box_id").distinct())
 
@@ -162,7 +167,7 @@ def code_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     score_cells, score_nearest, score_components, score_summary, component_boxes, quad_measures, region_boxes, reading_order, sequence_best, sequence_text, orientation, tensor_sizes,
-    ink_gaps, line_segments, width_buckets, joined_segments, box_statistics, narrowest_boxes, half_turned, code_regions, tiled_components, map_summary, side_statistics)}
+    ink_gaps, line_segments, width_buckets, joined_segments, box_statistics, narrowest_boxes, half_turned, code_regions, tiled_components, map_summary, side_statistics, side_spread)}
 
 _CELLS = "with e as (select vec_id, unnest(embedding) as p, unnest(range(0, 64)) as i from embeddings)"
 _BOXES = """with b as (select l_orderkey as doc_id, l_orderkey * 8 + l_linenumber as box_id, l_linenumber as idx, l_partkey % 97 * 10 + 5.0::double as cx, l_suppkey % 83 * 8 + 3.0::double as cy,
@@ -190,6 +195,7 @@ ORACLE_SQL = {
     "side_statistics": _BOXES + ", s as (select unnest(['w', 'h']) as side, unnest([w, h])::bigint as v from b), r as (select side, v, row_number() over (partition by side order by v) - 1 as k, count(*) over (partition by side) as n from s) "
         "select side, count(*) as n, min(v) as least, max(v) as largest, " + ", ".join(f"(max(v) filter (where k = (n - 1) * {p} // 100) + max(v) filter (where k = ((n - 1) * {p} + 99) // 100)) // 2 as p{p}" for p in (25, 50, 75, 90))
         + ", " + ", ".join(f"count(*) filter (where v < {t}) as under_{t}" for t in (2, 5, 10, 20, 40)) + " from r group by side",
+    "side_spread": _BOXES + " select doc_id, cast(cast(max(w) / greatest(min(w), 1) as decimal(18,2)) as varchar) || 'x' as spread from b group by doc_id",
     "score_summary": _CELLS + " select count(*) as n, round(min(p::double), 6) as least, round(max(p::double), 6) as largest, round(avg(p::double), 5) as mean from e",
     "component_boxes": _COMPONENTS + f""", k as (select * from s where n >= 3 and mean >= {MEAN}),
         t as (select k.vec_id, k.label, k.n, a, c.x * cos(radians(a)) + c.y * sin(radians(a)) as u, c.y * cos(radians(a)) - c.x * sin(radians(a)) as v
