@@ -38,7 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipmill.llm import simhash
@@ -131,16 +131,22 @@ def _text_hash() -> Column:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), sh (hash of the shingle set), n (its size), keys and fp of every document."""
+    """doc_id, th (hash of the text), sh (hash of the shingle set), n (its size), fp and keys of every document; of a class that a task meets again and again only the first has keys."""
     shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs))  # SLOTS bytes
+    met: set[int] = set()
 
     def rows(batch: dict) -> dict:
         sets = [shingle_set(t) for t in batch["text"]]
-        return {"doc_id": batch["doc_id"], "th": batch["th"], "sh": [xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63) for s in sets],
-                "n": [len(s) for s in sets], "keys": [prefix(s, shared.value).view(np.int64) for s in sets], "fp": [fingerprint(s) for s in sets]}
+        names, keys = [xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63) for s in sets], []
+        if len(met) > MEMORY:
+            met.clear()
+        for name, s in zip(names, sets, strict=True):
+            keys.append([] if name in met else prefix(s, shared.value).view(np.int64))
+            met.add(name)
+        return {"doc_id": batch["doc_id"], "th": batch["th"], "sh": names, "n": [len(s) for s in sets], "fp": [fingerprint(s) for s in sets], "keys": keys}
 
     return map_rows(docs.select("doc_id", "text", _text_hash().alias("th")), rows,
-                    "doc_id long, th long, sh long, n long, keys array<long>, fp long", ["doc_id", "text", "th"])
+                    "doc_id long, th long, sh long, n long, fp long, keys array<long>", ["doc_id", "text", "th"])
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -181,11 +187,11 @@ def close_pairs(classes: DataFrame) -> DataFrame:
     return same.union(simhash.links(reps.select("fp")).join(one, "a").join(two, "b").select(*_ordered("ra", "rb"))).distinct()
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """key, sh, n, fp and label (sh) of every class in every bucket that it shares."""
-    dealt = classes.select("sh", F.explode("keys").alias("key")).repartition("key")
-    shared = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    return dealt.join(shared, "key").join(classes.select("sh", "n", "fp"), "sh").select("key", "sh", "n", "fp", F.col("sh").alias("label"))
+def buckets(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, sh, n, fp and label (sh) of every class in every bucket that it shares. Keys are dealt out once; a class that several tasks met is one row afterwards."""
+    dealt = found.select("sh", F.explode("keys").alias("key")).repartition("key").groupBy("key", "sh").agg(F.lit(1).alias("one"))
+    shared = dealt.select("key", "sh", F.count("*").over(Window.partitionBy("key")).alias("size")).where("size > 1")
+    return shared.select("key", "sh").join(classes.select("sh", "n", "fp"), "sh").select("key", "sh", "n", "fp", F.col("sh").alias("label"))
 
 
 def _able(n: Column, m: Column) -> Column:
@@ -199,18 +205,24 @@ def _relabelled(open_: DataFrame, edges: DataFrame) -> DataFrame:
     return open_.join(joined, F.col("label") == F.col("id"), "left").select("key", "sh", "n", "fp", F.coalesce("component", "label").alias("label"))
 
 
-def _met(open_: DataFrame, turn: int) -> DataFrame:
-    """The rows of buckets with several labels, with the label of the bucket's largest component (main), members drawn from it (hubs) and the bucket's total (members)."""
-    drawn = F.array(*(F.min(F.struct(F.xxhash64("sh", F.lit(turn * HUBS + k)).alias("h"), "sh", "n", "fp")) for k in range(HUBS)))
-    parts = open_.groupBy("key", "label").agg(F.count("*").alias("size"), drawn.alias("hubs"))
-    heads = parts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("size").alias("total"), F.max_by(F.struct(F.col("label").alias("main"), "hubs"), F.struct("size", "label")).alias("head"))
-    return open_.join(heads.where("labels > 1").select("key", "head.main", "head.hubs", "total"), "key")
+def _met(open_: DataFrame) -> DataFrame:
+    """The rows of buckets with several labels, with the label of the bucket's largest component (main) and the bucket's total (members)."""
+    dealt = open_.repartition("key")
+    parts = dealt.groupBy("key", "label").agg(F.count("*").alias("size"))
+    heads = parts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("size").alias("total"), F.max_by("label", F.struct("size", "label")).alias("main"))
+    return dealt.join(heads.where("labels > 1").drop("labels"), "key")
+
+
+def _hubs(met: DataFrame, turn: int) -> DataFrame:
+    """key and h (sh, n, fp), a row for each of HUBS members drawn from the bucket's main component."""
+    drawn = F.array(*(F.min(F.struct(F.xxhash64("sh", F.lit(turn * HUBS + k)).alias("o"), "sh", "n", "fp")) for k in range(HUBS)))
+    return met.where("label = main").groupBy("key").agg(drawn.alias("hubs")).select("key", F.explode(F.array_distinct("hubs")).alias("h"))
 
 
 def _sides(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members outside main, and all, under names of their own."""
     side = lambda c: [F.col(a).alias(f"{b}{c}") for a, b in (("sh", "s"), ("label", "l"), ("n", "n"), ("fp", "x"))]
-    return met.where("label <> main").select("key", "main", "hubs", "total", *side("p")), met.select("key", *side("q"))
+    return met.where("label <> main").select("key", "main", "total", *side("p")), met.select("key", *side("q"))
 
 
 def common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -263,17 +275,17 @@ def in_tiles(many: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Edges (a, b) between classes of found (prints): a subset of all links that reaches what all links reach."""
-    classes = cut(found.groupBy("sh").agg(*(F.first(c).alias(c) for c in ("keys", "n", "fp")), F.min(F.struct("doc_id", "th")).alias("row")))
-    tried, open_ = cut(close_pairs(classes)), cut(buckets(classes))
-    wanted = open_.select("sh").union(tried.select("a")).union(tried.select("b")).distinct()
+    classes = cut(found.groupBy("sh").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(F.struct("doc_id", "th")).alias("row")))
+    tried, open_ = cut(close_pairs(classes)), cut(buckets(found, classes))
+    wanted = open_.select("sh").union(tried.select("a")).union(tried.select("b")).distinct()  # of copies within 4 bits and of classes that share a key
     sets = cut(sets_of(docs, wanted.join(classes.select("sh", "row.doc_id", "row.th"), "sh")))
     good = [similar(tried, sets)]
     edges = good[0]
     for turn in range(TURNS + 1):
-        met = cut(_met(_relabelled(open_, edges), turn))
+        met = cut(_met(_relabelled(open_, edges)))
         left, right = _sides(met)
         if turn < TURNS:
-            pairs = left.withColumn("h", F.explode("hubs")).select("*", F.col("h.sh").alias("sq"), F.col("main").alias("lq"), F.col("h.n").alias("nq"), F.col("h.fp").alias("xq"))
+            pairs = left.join(_hubs(met, turn), "key").select("*", F.col("h.sh").alias("sq"), F.col("main").alias("lq"), F.col("h.n").alias("nq"), F.col("h.fp").alias("xq"))
             fits = F.lit(True)
         else:
             good.append(in_tiles(met.where(F.col("total") > FEW), sets))
