@@ -96,37 +96,3 @@ def test_rows_are_known_by_id_and_text(spark):
     got = sorted((r.doc_id or -1, r.text or "") for r in kept.collect())
     assert got == sorted([(3, text), (9, rows[2][1]), (9, rows[3][1]), (-1, ""), (5, "twice")])
     assert N.keep_one(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-
-
-def test_keys_miss_no_similar_pair():
-    """Sets of 0.8 and more share a key, whatever the levels say."""
-    rng = random.Random(9)
-    level = np.array([rng.randrange(4) for _ in range(N.SLOTS)], np.uint8)
-    close = 0
-    for _ in range(2000):
-        n = rng.choice([1, 2, 4, 5, 6, 9, 10, 40, 200])
-        a = {rng.randrange(1 << 64) for _ in range(n)}
-        b = set(rng.sample(sorted(a), rng.randrange(n * 3 // 4, n + 1))) | {rng.randrange(1 << 64) for _ in range(rng.randrange(n // 4 + 1))}
-        if b and len(a & b) >= 0.8 * len(a | b):
-            close += 1
-            x, y = (N.prefix(np.array(sorted(s), np.uint64), level) for s in (a, b))
-            assert len(np.intersect1d(x, y))
-    assert close > 300 and not len(N.prefix(np.empty(0, np.uint64), level))
-
-
-def test_shared_boilerplate_makes_few_candidates(spark):
-    """2,000 texts of which 7 parts of 10 are one passage, so none is similar to another, and 40 copies."""
-    rng = random.Random(4)
-    word = lambda: f"w{rng.randrange(10**9)}"
-    passage = [word() for _ in range(304)]
-    rows = [(k, " ".join(passage + [word() for _ in range(128)])) for k in range(2000)] + [(5000 + k, None) for k in range(3)]
-    rows += [(3000 + k, rows[k][1] + " " + word()) for k in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    level = N.frequencies(docs)
-    holders = {}
-    for k, t in rows:
-        for key in N.prefix(N.shingle_set(t), level).tolist():
-            holders.setdefault(key, []).append(k)
-    pairs = {(a, b) for ids in holders.values() if len(ids) > 1 for a in ids for b in ids if a < b}
-    assert {(k, 3000 + k) for k in range(40)} <= pairs and len(pairs) < 400
-    assert {r.doc_id for r in N.keep_one(docs).collect()} == {*range(2000), 5000}
