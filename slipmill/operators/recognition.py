@@ -11,22 +11,35 @@ cell_threshold, component_mean, batched, regions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipmill.operators import geometry, images, lines, maps, sequences
 from slipmill.operators.engine import Settings, cached
 
 #: Size of an orientation model's input; confidence of lines that are read in batches; bytes that a worker holds before it hands rows on.
-TURN_HEIGHT, TURN_WIDTH, BATCH_CONFIDENCE, HELD = 48, 192, 0.8, 16_000_000
+TURN_HEIGHT, TURN_WIDTH, BATCH_CONFIDENCE, HELD = 48, 192, 0.8, 4_000_000
+#: Bytes of a batch that Spark sends to a worker; images are some 100 KB, and a worker holds several copies of a batch.
+BATCH_BYTES = 4 << 20
 _KEEP, _KEPT = ["doc_id", "line_no", "cx", "cy", "w", "h"], "doc_id string, line_no int, cx float, cy float, w float, h float"
+_CUT = f"{_KEPT}, segment int, width int, part {images.GRAY}"
+Frames = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 _PLACED = "array<struct<w:double,h:double,a:int,cx:double,cy:double,x:double,y:double>>"
 
 
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's spark.sql.execution.arrow.maxBytesPerBatch to BATCH_BYTES; a lower one stays. Only how rows are grouped on their way to workers depends on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(key).strip().lower()).groups()
+    if not 0 < int(size) << 10 * "bkmg".index(unit or "b") <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def _map(image: dict, model: Callable, limit: int) -> tuple[np.ndarray, float, float]:
     """The score map of an image, as large as the model's input, and the scales from it to the image."""
     tensor, x, y = images.detection_tensor(images.pixels(image), limit)
@@ -105,12 +118,15 @@ def located(pictures: DataFrame, load: Callable[[], Callable], settings: Setting
     return _in_order(pictures.select("doc_id", "image", boxes("image").alias("b")), settings)
 
 
-def straightened(boxes: DataFrame, orient: Callable[[], Callable] | None = None) -> DataFrame:
-    """doc_id, line_no, cx, cy, w, h (in shares of the image) and line (a gray image) of every box of at least 2 x 2 pixels; the lines of an image are cut in
-    one call. orient gives a function of an n x 3 x 48 x 192 tensor whose n x 2 scores say which lines stand on their heads; these are turned."""
-    get = cached(orient) if orient else None
+def _places(boxes: DataFrame) -> DataFrame:
+    """doc_id, image and places (centre, sides and angle of every box of at least 2 x 2 pixels)."""
     each = F.transform("quads", lambda q: F.struct(geometry.centre(q).alias("c"), geometry.size(q).alias("s"), geometry.angle(q).alias("a")))
     flat = F.transform(F.filter(each, lambda b: (b["s"]["w"] >= 2) & (b["s"]["h"] >= 2)), lambda b: F.array(b["c"]["x"], b["c"]["y"], b["s"]["w"], b["s"]["h"], b["a"]))
+    return boxes.select("doc_id", "image", flat.alias("places"))
+
+
+def _straightening(orient: Callable[[], Callable] | None) -> Frames:
+    get = cached(orient) if orient else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -131,15 +147,16 @@ def straightened(boxes: DataFrame, orient: Callable[[], Callable] | None = None)
                     out, held = [], 0
             yield pd.DataFrame(out, columns=[*_KEEP, "line"])
 
-    return boxes.select("doc_id", "image", flat.alias("places")).mapInPandas(run, f"{_KEPT}, line {images.GRAY}")
+    return run
 
 
-def read(straight: DataFrame, load: Callable[[], Callable], characters: list[str], settings: Settings = Settings()) -> DataFrame:
-    """straightened()'s rows with text and confidence instead of line. load gives a function of an n x 3 x 48 x w tensor that returns n x steps x
-    classes scores. Lines wider than line_width are squeezed to it; batched: they are cut in gaps between characters, segments of like width are
-    read together whatever document they come from, and the confidence is a constant."""
-    if settings.batched:
-        return _joined(read_segments(segments(straight, settings.line_width), load), characters)
+def straightened(boxes: DataFrame, orient: Callable[[], Callable] | None = None) -> DataFrame:
+    """doc_id, line_no, cx, cy, w, h (in shares of the image) and line (a gray image) of every box of at least 2 x 2 pixels; the lines of an image are cut in
+    one call. orient gives a function of an n x 3 x 48 x 192 tensor whose n x 2 scores say which lines stand on their heads; these are turned."""
+    return _places(boxes).mapInPandas(_straightening(orient), f"{_KEPT}, line {images.GRAY}")
+
+
+def _reading(load: Callable[[], Callable], settings: Settings) -> Frames:
     get = cached(load)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,18 +165,28 @@ def read(straight: DataFrame, load: Callable[[], Callable], characters: list[str
             paths = [sequences.best_path(np.asarray(model(images.recognition_tensor(images.pixels(i), lines.HEIGHT, settings.line_width)[None]), np.float32)[0]) for i in pdf["line"]]
             yield pdf[_KEEP].assign(path=paths)
 
-    rows = straight.select(*_KEEP, "line").mapInPandas(run, f"{_KEPT}, path {sequences.PATH}")
+    return run
+
+
+def read(straight: DataFrame, load: Callable[[], Callable], characters: list[str], settings: Settings = Settings()) -> DataFrame:
+    """straightened()'s rows with text and confidence instead of line. load gives a function of an n x 3 x 48 x w tensor that returns n x steps x
+    classes scores. Lines wider than line_width are squeezed to it; batched: they are cut in gaps between characters, segments of like width are
+    read together whatever document they come from, and the confidence is a constant."""
+    if settings.batched:
+        return _joined(read_segments(segments(straight, settings.line_width), load), characters)
+    return _texts(straight.select(*_KEEP, "line").mapInPandas(_reading(load, settings), f"{_KEPT}, path {sequences.PATH}"), characters)
+
+
+def _texts(rows: DataFrame, characters: list[str]) -> DataFrame:
     rows = rows.select(*_KEEP, sequences.decoded_path(F.col("path"), characters).alias("p"))
     return rows.select(*_KEEP, F.col("p.text").alias("text"), F.col("p.confidence").cast("float").alias("confidence"))
 
 
-def segments(straight: DataFrame, most: int = lines.MAX_WIDTH) -> DataFrame:
-    """straightened()'s rows cut in gaps between characters: segment (from 0), width and part (a gray image of the recognition height, at most `most` wide) instead of line."""
-
+def _cutting(most: int) -> Frames:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out, held = [], 0
-            for row in pdf.itertuples(index=False):
+            for row in pdf[[*_KEEP, "line"]].itertuples(index=False):
                 for k, part in enumerate(_parts(images.pixels(row.line), most)):
                     out.append((*row[:-1], k, part.shape[1], images.gray(part)))
                     held += part.nbytes
@@ -168,7 +195,12 @@ def segments(straight: DataFrame, most: int = lines.MAX_WIDTH) -> DataFrame:
                     out, held = [], 0
             yield pd.DataFrame(out, columns=[*_KEEP, "segment", "width", "part"])
 
-    return straight.select(*_KEEP, "line").mapInPandas(run, f"{_KEPT}, segment int, width int, part {images.GRAY}")
+    return run
+
+
+def segments(straight: DataFrame, most: int = lines.MAX_WIDTH) -> DataFrame:
+    """straightened()'s rows cut in gaps between characters: segment (from 0), width and part (a gray image of the recognition height, at most `most` wide) instead of line."""
+    return straight.select(*_KEEP, "line").mapInPandas(_cutting(most), _CUT)
 
 
 def _parts(a: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -210,7 +242,15 @@ def _joined(paths: DataFrame, characters: list[str]) -> DataFrame:
 def recognise(pictures: DataFrame, detect: Callable[[], Callable], load: Callable[[], Callable], characters: list[str], orient: Callable[[], Callable] | None = None,
               settings: Settings = Settings()) -> DataFrame:
     """Boxes (doc_id, line_no, text, confidence, x, y, w, h; places in shares of the image) of pictures (doc_id, image): of all lines that hold text."""
-    read_ = read(straightened(located(pictures, detect, settings), orient), load, characters, settings)
+    bounded(pictures.sparkSession)
+    places, straight = _places(located(pictures, detect, settings)), _straightening(orient)
+    # Lines are read, or cut to segments, where they are straightened: no third worker holds them.
+    if settings.batched:
+        cut = _cutting(settings.line_width)
+        read_ = _joined(read_segments(places.mapInPandas(lambda frames: cut(straight(frames)), _CUT), load), characters)
+    else:
+        reading = _reading(load, settings)
+        read_ = _texts(places.mapInPandas(lambda frames: reading(straight(frames)), f"{_KEPT}, path {sequences.PATH}"), characters)
     return read_.where(F.length("text") > 0).select("doc_id", "line_no", "text", "confidence", F.col("cx").alias("x"), F.col("cy").alias("y"), "w", "h")
 
 
@@ -223,6 +263,7 @@ def codes(pictures: DataFrame, load: Callable[[], Callable]) -> DataFrame:
     """doc_id and raw (null: no code) of pictures (doc_id, image). load gives a function of an h x w x 3 array that returns a text or None. The
     regions where codes stand are tried in order, then the whole image; blank texts count as none; a fault of the decoder is no code."""
     get = cached(load)
+    bounded(pictures.sparkSession)
 
     @F.pandas_udf("string")
     def decode(image: pd.DataFrame, regions: pd.Series) -> pd.Series:

@@ -117,3 +117,28 @@ def test_best_paths(spark):
         assert r.a == r.b
     line = glyphs.reader()()(images.recognition_tensor(np.where(np.pad(glyphs.line("发票代码：011002200111"), 20), 0, 255).astype(np.uint8), 48, 1280)[None])[0]
     assert len(sequences.best_path(line)) * 12 < line.nbytes / 100
+
+
+def test_drawn_pages_are_handed_on_in_small_batches(spark):
+    text = pd.Series(["发票号码：00000001", None, "", "名称：ABC\n价税合计（小写）¥1.00"] * 50)
+    columns = (text, pd.Series([None, None, "x", "y"] * 50), pd.Series([None, None, [], [1]] * 50))
+    whole = [row for f in glyphs._pages(iter([columns, columns]), 1 << 40) for row in f.to_dict("records")]
+    parts = list(glyphs._pages(iter([columns, columns]), 100_000))
+    assert len(parts) >= 50 and [row["pixels"] for f in parts for row in f.to_dict("records")] == [row["pixels"] for row in whole]
+    assert max(sum(len(p) for p in f["pixels"] if p is not None) for f in parts) < 100_000 + 200_000
+    df = spark.createDataFrame(list(zip(range(200), text, strict=True)), "k int, t string").coalesce(1)
+    image = glyphs.drawn(F.col("t"), F.lit(None).cast("string"), F.array().cast("array<bigint>"))
+    assert df.select("k", image.alias("i")).where("(t is null) <> (i.pixels is null)").count() == 0
+
+
+@pytest.mark.parametrize(("stated", "left"), [("64m", "4194304"), ("67108864b", "4194304"), ("1m", "1m"), ("100000", "100000b")])
+def test_batches_of_images_are_bounded(spark, stated, left):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, stated)
+    try:
+        df = table(spark, TEXTS[:3])
+        rows = recognition.recognise(df, *MODELS).collect()
+        assert spark.conf.get(key).removesuffix("b") == left.removesuffix("b")
+        assert sorted(r.text for r in rows) == sorted(recognition.read(recognition.straightened(recognition.located(df, MODELS[0]), MODELS[3]), *MODELS[1:3]).toPandas()["text"])
+    finally:
+        spark.conf.unset(key)
