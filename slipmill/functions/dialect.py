@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, written out: a class of ranges is several times as fast as the property.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space as a string.
+SPACES = "".join(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
 
 
 @functools.cache
@@ -32,7 +34,12 @@ def rx(pattern: str, flags: str = "") -> str:
 
 
 def trim_u(c: Column) -> Column:
-    return F.btrim(c, F.lit("".join(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))))
+    return F.btrim(c, F.lit(SPACES))
+
+
+def blank(c: Column) -> Column:
+    """Whether c is null or nothing but white space."""
+    return F.ltrim(F.coalesce(c, F.lit("")), F.lit(SPACES)) == ""
 
 
 def some(c: Column) -> Column:
@@ -67,6 +74,17 @@ def groups(c: Column, pattern: str, n: int) -> Column:
     return F.when(found != "", F.split(marked, "\u0001", -1))
 
 
+#: Any characters, as few as will do; a class, since a group in its place is several times as slow. It does not nest, so long texts need no deep stack.
+FAR = r"[\x{0}-\x{10FFFF}]*?"
+
+
+def searched(c: Column, patterns: list[str], n: int) -> Column:
+    """The n groups of the first match of each pattern, by one pass over c for all of them: an array of strings, empty where a group or a pattern has no match.
+    The text is decoded once, not once a pattern. A group must not hold a line feed, unless it is the last."""
+    ahead = "".join(f"(?:(?={FAR}(?:{p}))|)" for p in patterns)
+    return F.split(F.regexp_replace(c, rx(rf"\A{ahead}(?s:.*)"), "\n".join(f"${k}" for k in range(1, n + 1))), "\n", n)
+
+
 def has(c: Column, *words: str) -> Column:
     """Any of the words stands in c."""
     out = F.contains(c, F.lit(words[0]))

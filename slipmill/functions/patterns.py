@@ -24,10 +24,11 @@ AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
 VAT_CODE = r"发票\s*[代弋]\s*码\s*[:：]?\s*([0-9A-Za-z\-]{6,})"
 VAT_NO = r"发票\s*号码\s*[:：]?\s*([0-9A-Za-z\-]{5,})"
 VAT_DATE = r"开票\s*[日目]\s*期\s*[:：]?\s*([0-9]{4})\s*[年\-./]\s*([0-9]{1,2})\s*[月\-./]\s*([0-9]{1,2})\s*[日目]?"
-VAT_NAME = r"(?<!项目)(?<!货物)(?<!商品)(?<!服务)名\s*称\s*[:：]\s*([^\s，,；;]{2,60})"
+VAT_NAME = r"名(?<!项目名)(?<!货物名)(?<!商品名)(?<!服务名)\s*称\s*[:：]\s*([^\s，,；;]{2,60})"
 VAT_NAME_SPLIT = r"(?:^|\n)\s*称\s*[:：]\s*([^\s，,；;]{2,60})(?:\n|$)"
 VAT_TAX_NO = r"(?:纳税人.{0,2}号|统一社会信用代码|纳税人识别\s*号)\s*[:：]?\s*([0-9A-Za-z.,/\\|丨·\-]{15,24})"
-VAT_SUM = r"(?:价\s*税)?合\s*计\s*(?:金\s*额)?\s*[:：]?\s*[¥￥]?\s*" + AMOUNT
+VAT_SUM_END = r"合\s*计\s*(?:金\s*额)?\s*[:：]?\s*[¥￥]?\s*" + AMOUNT
+VAT_SUM = r"(?:价\s*税)?" + VAT_SUM_END
 VAT_TAX_SUM = r"税\s*额\s*[:：]?\s*[¥￥]?\s*" + AMOUNT
 FIGURES = r"小\s*写((?s:.{0,80}))"
 AMOUNT_WITH_DECIMALS = r"([0-9][0-9,]*\.[0-9]{1,2})"

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from slipmill.functions import patterns as P
-from slipmill.functions.dialect import every, first, groups, has, let, rx, some, trim_u
+from slipmill.functions.dialect import FAR, every, first, groups, has, let, rx, searched, some, trim_u
 
 FIELD = "array<struct<ord:int,key:string,label:string,value:string,confidence:float>>"
 
@@ -66,12 +66,16 @@ def clean_tax_no(c: Column) -> Column:
 
 
 def _dated(text: Column, pattern: str) -> Column:
-    return let(groups(text, pattern, 3), lambda g: F.concat(F.get(g, 0), F.lit("年"), F.get(g, 1), F.lit("月"), F.get(g, 2), F.lit("日")))
+    return let(groups(text, pattern, 3), _date)
+
+
+def _date(g: Column, at: int = 0) -> Column:
+    return F.concat(some(F.get(g, at)), F.lit("年"), F.get(g, at + 1), F.lit("月"), F.get(g, at + 2), F.lit("日"))
 
 
 def _listed(kind: str, values: dict[str, Column]) -> Column:
-    """The values of a kind in order, each trimmed once, without those that are null or blank."""
-    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), F.lit(label).alias("label"), trim_u(values[key]).alias("value"),
+    """The values of a kind in order, without those that are null or empty. Values that may have white space at their ends come trimmed."""
+    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), F.lit(label).alias("label"), values[key].alias("value"),
                               F.lit(P.CONFIDENCE).cast("float").alias("confidence")) for i, (key, label) in enumerate(P.FIELDS[kind])))
     return F.filter(rows, lambda r: F.coalesce(r["value"], F.lit("")) != "")
 
@@ -83,19 +87,51 @@ def vat_names(text: Column) -> Column:
     return let(names, lambda n: F.when(F.size(n) < 2, F.concat(n, F.filter(cut, lambda x: ~F.array_contains(n, x)))).otherwise(n))
 
 
+def _sum(text: Column) -> Column:
+    sums = F.filter(every(text, P.VAT_SUM, 0), lambda x: ~F.startswith(x, F.lit("价")))
+    return first(F.get(sums, 0), P.VAT_SUM)
+
+
+def _tax_numbers(found: Column) -> Column:
+    return F.filter(F.transform(found, clean_tax_no), lambda x: F.length(x) >= 15)
+
+
 def vat_values(text: Column) -> dict[str, Column]:
     names = vat_names(text)
-    tax = F.filter(F.transform(every(text, P.VAT_TAX_NO), clean_tax_no), lambda x: F.length(x) >= 15)
-    sums = F.filter(every(text, P.VAT_SUM, 0), lambda x: ~F.startswith(x, F.lit("价")))
+    tax = _tax_numbers(every(text, P.VAT_TAX_NO))
     figures = F.regexp_extract(F.regexp_extract(text, rx(P.FIGURES), 1), rx(P.AMOUNT_WITH_DECIMALS), 1)
     return {
         "invoice_code": first(text, P.VAT_CODE), "invoice_no": first(text, P.VAT_NO), "invoice_date": _dated(text, P.VAT_DATE),
         "buyer_name": F.get(names, 0), "seller_name": F.get(names, 1), "buyer_tax_no": F.get(tax, 0), "seller_tax_no": F.get(tax, 1),
-        "total_amount": first(F.get(sums, 0), P.VAT_SUM), "total_tax": first(text, P.VAT_TAX_SUM),
+        "total_amount": _sum(text), "total_tax": first(text, P.VAT_TAX_SUM),
         "total_amount_with_tax": F.coalesce(some(figures), cn_amount(text)),
     }
 
 
+def vat_list(text: Column) -> Column:
+    """vat_values() as a list of fields, by one pass over the text. Where the first two names, tax numbers or sums do not settle a value, all of them are looked for."""
+    name, tax = P.VAT_NAME, f"(?=[纳统]){P.VAT_TAX_NO}"
+    patterns = [P.VAT_CODE, P.VAT_NO, P.VAT_DATE, f"{name}(?:{FAR}{name})?", f"{tax}(?:{FAR}{tax})?", rf"(?=[价合])(?:(价)\s*税)?{P.VAT_SUM_END}", P.VAT_TAX_SUM, P.FIGURES]
+
+    def more(v: Column) -> Column:
+        at = lambda k: F.get(v, k)
+        # Names hold no white space, so they need no trimming.
+        names = F.when(at(6) != "", F.array(at(5), at(6))).otherwise(vat_names(text))
+        clean = F.array(at(7), at(8))
+        settled_ = (at(8) == "") | ((F.length(clean_tax_no(at(7))) >= 15) & (F.length(clean_tax_no(at(8))) >= 15))
+        return F.struct(v.alias("v"), names.alias("names"), F.when(settled_, _tax_numbers(clean)).otherwise(_tax_numbers(every(text, P.VAT_TAX_NO))).alias("tax"),
+                        some(F.regexp_extract(at(12), rx(P.AMOUNT_WITH_DECIMALS), 1)).alias("figures"))
+
+    def listed(f: Column) -> Column:
+        v = f["v"]
+        return _listed(P.VAT, {
+            "invoice_code": F.get(v, 0), "invoice_no": F.get(v, 1), "invoice_date": _date(v, 2), "buyer_name": F.get(f["names"], 0), "seller_name": F.get(f["names"], 1),
+            "buyer_tax_no": F.get(f["tax"], 0), "seller_tax_no": F.get(f["tax"], 1), "total_amount": F.when(F.get(v, 9) == "", F.get(v, 10)).otherwise(_sum(text)),
+            "total_tax": F.get(v, 11), "total_amount_with_tax": F.coalesce(f["figures"], cn_amount(text))})
+
+    return let(let(searched(text, patterns, 13), more), listed)
+
+
 def train_values(text: Column) -> dict[str, Column]:
     stations = F.filter(every(text, P.RUN, 0), lambda r: F.endswith(r, F.lit(P.STATION_END)))
     return {
@@ -105,6 +141,35 @@ def train_values(text: Column) -> dict[str, Column]:
     }
 
 
+def train_list(text: Column) -> Column:
+    """train_values() as a list of fields, by one pass over the text."""
+    station = f"(?<![一-龥])([一-龥]*{P.STATION_END})(?![一-龥])"
+    patterns = [P.TRAIN_NO, P.DATE, P.PRICE, P.PERSON, P.ID_NO, P.SEAT, f"{station}(?:{FAR}{station})?"]
+
+    def listed(v: Column) -> Column:
+        at = lambda k: F.get(v, k)
+        return _listed(P.TRAIN, {"train_no": F.concat(at(0), at(1)), "travel_date": _date(v, 2), "price": at(5), "passenger_name": at(6), "passenger_id_no": at(7), "seat_class": at(8),
+                                 "from_station": at(9), "to_station": at(10)})
+
+    return let(searched(text, patterns, 11), listed)
+
+
+def flight_list(text: Column) -> Column:
+    """flight_values() of the compatible route as a list of fields, by one pass over the text."""
+    patterns = [P.FLIGHT_NO, P.DATE, P.PERSON, P.TICKET_NO, P.PRICE, P.FUEL, P.AIRPORT_FEE, f"({P.ROUTE})"]
+
+    def more(v: Column) -> Column:
+        route = F.get(v, 9)
+        return F.struct(v.alias("v"), F.when(route == "", every(text, P.RUN, 0)).when(route.rlike(P.ARROWS), F.split(route, P.ARROWS)).alias("ends"))
+
+    def listed(f: Column) -> Column:
+        at, end = (lambda k: F.get(f["v"], k)), (lambda k: trim_u(F.get(f["ends"], k)))
+        return _listed(P.FLIGHT, {"flight_no": at(0), "departure": end(0), "arrival": end(1), "flight_date": _date(f["v"], 1), "passenger_name": at(4), "ticket_no": at(5), "price": at(6),
+                                  "fuel_surcharge": at(7), "airport_fee": at(8)})
+
+    return let(let(searched(text, patterns, 10), more), listed)
+
+
 def flight_values(text: Column, route: str = "compat") -> dict[str, Column]:
     """route: 'compat' reads the first two neighbouring ideographs as a route, as documents of this kind have always been
     read; 'fixed' takes the first route that has an arrow."""
@@ -131,9 +196,9 @@ def register(kind: str, extract: Callable[[Column], Column]) -> None:
     EXTRACTORS[kind] = extract
 
 
-register(P.VAT, lambda t: _listed(P.VAT, vat_values(t)))
-register(P.TRAIN, lambda t: _listed(P.TRAIN, train_values(t)))
-register(P.FLIGHT, lambda t: _listed(P.FLIGHT, flight_values(t)))
+register(P.VAT, vat_list)
+register(P.TRAIN, train_list)
+register(P.FLIGHT, flight_list)
 
 
 def fields_of(kind: Column, text: Column, kinds: tuple[str, ...] | None = None) -> Column:

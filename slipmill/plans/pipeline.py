@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from slipmill.functions.dialect import rx, trim_u
+from slipmill.functions.dialect import blank, trim_u
 from slipmill.functions.qr import qr_fields
 from slipmill.functions.receipts import FIELD, fields_of, kind_of
 from slipmill.operators.folds import joined
@@ -24,9 +24,9 @@ def text_documents(df: DataFrame, text: str = "text", id_col: str = "doc_id", on
     """doc_id, kind, fields, raw_text and error_kind of every row. on_error: 'quarantine' keeps blank rows with their error_kind
     and no kind or fields, 'fail' raises. kinds: only documents of these kinds get fields."""
     t = F.col(text)
-    blank = ~F.coalesce(t, F.lit("")).rlike(rx(r"\S"))
-    error = F.when(blank, F.raise_error(F.lit("EmptyInput: no text"))) if on_error == "fail" else F.when(blank, EMPTY)
-    out = df.select(F.col(id_col).alias("doc_id"), F.when(~blank, kind_of(t)).alias("kind"), t.alias("raw_text"), error.cast("string").alias("error_kind"))
+    empty = blank(t)
+    error = F.when(empty, F.raise_error(F.lit("EmptyInput: no text"))) if on_error == "fail" else F.when(empty, EMPTY)
+    out = df.select(F.col(id_col).alias("doc_id"), F.when(~empty, kind_of(t)).alias("kind"), t.alias("raw_text"), error.cast("string").alias("error_kind"))
     return out.select("doc_id", "kind", F.when(F.col("error_kind").isNull(), fields_of(F.col("kind"), F.col("raw_text"), kinds)).alias("fields"), "raw_text", "error_kind")
 
 
@@ -45,7 +45,7 @@ def wide_fields(documents: DataFrame, kind: str) -> DataFrame:
     """One column a key, null where a document has no such field; only documents of the kind. No shuffle: each key is looked up in the row's own list."""
     from slipmill.functions.patterns import FIELDS
 
-    value = lambda key: F.get(F.filter("fields", lambda f: f["key"] == key), 0)["value"].alias(key)
+    value = lambda key: F.get("fields.value", F.array_position("fields.key", key).cast("int") - 1).alias(key)
     return documents.where(F.col("kind") == kind).select("doc_id", *(value(k) for k, _ in FIELDS[kind]))
 
 
