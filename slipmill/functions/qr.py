@@ -14,8 +14,10 @@ QR_FIELD = "array<struct<ord:int,key:string,value:string>>"
 def compact_date(c: Column) -> Column:
     """yyyyMMdd of the first three numbers that look like a date; else the value, trimmed."""
     t = trim_u(c)
-    y, m, d = (F.regexp_extract(t, rx(P.LOOSE_DATE), k) for k in (1, 2, 3))
-    return F.when(y != "", F.concat(y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).otherwise(t)
+    # A trimmed value starts with no line feed, so one at the start tells that there was a date.
+    marked = F.regexp_replace(t, rx(rf"\A(?s:.*?){P.LOOSE_DATE}(?s:.*)"), "\n$1\n$2\n$3")
+    date = let(F.split(marked, "\n"), lambda p: F.concat(F.get(p, 1), F.lpad(F.get(p, 2), 2, "0"), F.lpad(F.get(p, 3), 2, "0")))
+    return F.when(F.startswith(marked, F.lit("\n")), date).otherwise(t)
 
 
 def plain_amount(c: Column) -> Column:
@@ -50,8 +52,9 @@ def _pair(key: str, value: Column) -> Column:
 
 def verification_url(raw: Column) -> Column:
     """The first URL of the payload if it is one of the tax bureau with a query, else null."""
-    url = first(raw, P.QR_URL, 0)
-    return F.when(F.contains(url, F.lit("?")) & F.contains(F.lower(url), F.lit(P.QR_DOMAIN)), url)
+    # What is looked for in the address must stand in the payload: a plain search keeps most payloads from the pattern.
+    url = F.when(F.contains(raw, F.lit("?")) & F.contains(F.lower(raw), F.lit(P.QR_DOMAIN)), first(raw, P.QR_URL, 0))
+    return let(url, lambda url: F.when(F.contains(url, F.lit("?")) & F.contains(F.lower(url), F.lit(P.QR_DOMAIN)), url))
 
 
 def _url_pairs(url: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipmill.functions.dialect import let, trim_u
+from slipmill.functions.dialect import blank, let, trim_u
 from slipmill.functions.qr import normal
 
 NOT_SCANNED, VERIFIED, MISMATCH = "NotScanned", "Verified", "Mismatch"
@@ -15,25 +15,31 @@ def _status(matched: Column, conflicts: Column) -> Column:
     return F.when(conflicts > 0, MISMATCH).when(matched > 0, VERIFIED).otherwise(NOT_SCANNED)
 
 
+def same(key: Column, a: Column, b: Column) -> Column:
+    """Whether two values are equal in normal form; equal values are, without it."""
+    return F.when(a == b, True).otherwise(normal(key, a) == normal(key, b))
+
+
 def verification(fields: Column, qr: Column, raw: Column) -> Column:
     """struct(status, raw_content, matched, conflicts) of a row's field list and QR field list, in the order of the latter.
 
     A null payload is not scanned; so is one that shares no key with the fields. Values are compared in normal form and
     reported as they stand.
     """
-    known = F.filter(fields, lambda f: trim_u(F.coalesce(f["value"], F.lit(""))) != "")
+    def value(key: Column) -> Column:
+        """The first value of a key that is not blank. Only fields of the key are looked at."""
+        return F.get(F.filter(fields, lambda f: F.when(f["key"] == key, ~blank(f["value"]))), 0)["value"]
 
-    def side_by_side(k: Column) -> Column:
-        pairs = F.transform(qr, lambda q: F.struct(q["key"].alias("key"), q["value"].alias("qr_value"), F.get(F.filter(k, lambda f: f["key"] == q["key"]), 0)["value"].alias("ocr_value")))
-        same = lambda p: normal(p["key"], p["qr_value"]) == normal(p["key"], p["ocr_value"])
-        return F.transform(F.filter(pairs, lambda p: p["ocr_value"].isNotNull()), lambda p: F.struct(p.alias("pair"), same(p).alias("same")))
+    def side_by_side(pairs: Column) -> Column:
+        return F.transform(F.filter(pairs, lambda p: p["ocr_value"].isNotNull()), lambda p: F.struct(p.alias("pair"), same(p["key"], p["qr_value"], p["ocr_value"]).alias("same")))
 
     def parted(pairs: Column) -> Column:
-        chosen = lambda same: F.transform(F.filter(pairs, lambda p: p["same"] == same), lambda p: p["pair"])
+        chosen = lambda equal: F.transform(F.filter(pairs, lambda p: p["same"] == equal), lambda p: p["pair"])
         return F.struct(chosen(True).alias("matched"), chosen(False).alias("conflicts"))
 
     none = F.array().cast("array<struct<key:string,qr_value:string,ocr_value:string>>")
-    return let(let(let(known, side_by_side), parted), lambda v: F.struct(
+    pairs = F.transform(qr, lambda q: F.struct(q["key"].alias("key"), q["value"].alias("qr_value"), value(q["key"]).alias("ocr_value")))
+    return let(let(let(pairs, side_by_side), parted), lambda v: F.struct(
         F.when(raw.isNull(), NOT_SCANNED).otherwise(_status(F.size(v["matched"]), F.size(v["conflicts"]))).alias("status"), raw.alias("raw_content"),
         F.coalesce(v["matched"], none).alias("matched"), F.coalesce(v["conflicts"], none).alias("conflicts")))
 
@@ -48,7 +54,7 @@ def compare(fields: DataFrame, qr: DataFrame) -> DataFrame:
     order = F.col("ord") if "ord" in fields.columns else F.col("value")
     right = fields.where(trim_u(F.col("value")) != "").groupBy("doc_id", "key").agg(F.min_by("value", order).alias("ocr_value"))
     joined = left.join(right, ["doc_id", "key"])
-    return joined.select("doc_id", "ord", "key", "qr_value", "ocr_value", (normal(F.col("key"), F.col("qr_value")) == normal(F.col("key"), F.col("ocr_value"))).alias("same"))
+    return joined.select("doc_id", "ord", "key", "qr_value", "ocr_value", same(F.col("key"), F.col("qr_value"), F.col("ocr_value")).alias("same"))
 
 
 def statuses(documents: DataFrame, fields: DataFrame, qr: DataFrame) -> DataFrame:

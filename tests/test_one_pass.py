@@ -42,3 +42,20 @@ def test_a_text_is_passed_once_for_all_fields(spark):
 def test_blank(spark):
     df = spark.createDataFrame([(x,) for x in (None, "", " \n　 ", "​", " a ")], "t string")
     assert all(r[0] == r[1] for r in df.select(blank(F.col("t")), ~F.coalesce("t", F.lit("")).rlike(rx(r"\S"))).collect())
+
+
+def test_equal_values_and_dates_in_few_searches(spark):
+    """Before, a date was searched four times and each comparison brought both sides to normal form."""
+    from slipmill.functions.qr import compact_date
+    from slipmill.operators import verify
+
+    values = ["2024年1月2日", " 20240102 ", "x 2024-1-2 y 2025-3-4", "2024", "", "a\nb", "\n", "1.50", "1,50", "٢٠٢٤-١-٢"]
+    df = spark.createDataFrame([(a, b) for a in values for b in [*values, None]], "a string, b string").coalesce(1)
+    y, m, d = (F.regexp_extract(trim_u(F.col("a")), rx(P.LOOSE_DATE), k) for k in (1, 2, 3))
+    plain = F.when(y != "", F.concat(y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).otherwise(trim_u(F.col("a")))
+    assert all(r[0] == r[1] for r in df.select(compact_date(F.col("a")), plain).collect())
+    for key in ("invoice_date", "total_tax", "invoice_no"):
+        k = F.lit(key)
+        assert all(r[0] == r[1] for r in df.select(verify.same(k, F.col("a"), F.col("b")), verify.normal(k, F.col("a")) == verify.normal(k, F.col("b"))).collect())
+    plan = df.select(compact_date(F.col("a")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 0
