@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from slipmill.functions import patterns as P
 from slipmill.functions.dialect import first, groups, let, rx, trim_u
 
+#: All keys that qr_fields() can give.
+KEYS = (*P.QR_PARAMETERS.values(), "invoice_code")
 QR_FIELD = "array<struct<ord:int,key:string,value:string>>"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipmill.functions.dialect import blank, let, trim_u
+from slipmill.functions.dialect import blank, let
 from slipmill.functions.qr import normal
 
 NOT_SCANNED, VERIFIED, MISMATCH = "NotScanned", "Verified", "Mismatch"
@@ -44,21 +44,22 @@ def verification(fields: Column, qr: Column, raw: Column) -> Column:
         F.coalesce(v["matched"], none).alias("matched"), F.coalesce(v["conflicts"], none).alias("conflicts")))
 
 
-def compare(fields: DataFrame, qr: DataFrame) -> DataFrame:
+def compare(fields: DataFrame, qr: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """doc_id, ord (of the QR side), key, qr_value, ocr_value and same, for every key that both long tables have.
 
     fields: doc_id, key, value and, if they have one, ord; qr: doc_id, ord, key, value. Both sides hash on (doc_id, key), a document's rows stay
-    few. Of fields that repeat a key the first counts (by ord, else the smallest value), as in verification().
+    few. keys: all keys that qr can hold, if they are known, so that other fields are not moved. Of fields that repeat a key the first counts (by ord, else the smallest value), as in verification().
     """
     left = qr.select("doc_id", "ord", "key", F.col("value").alias("qr_value"))
+    fields = fields if keys is None else fields.where(F.col("key").isin(*keys))
     order = F.col("ord") if "ord" in fields.columns else F.col("value")
-    right = fields.where(trim_u(F.col("value")) != "").groupBy("doc_id", "key").agg(F.min_by("value", order).alias("ocr_value"))
+    right = fields.where(~blank(F.col("value"))).groupBy("doc_id", "key").agg(F.min_by("value", order).alias("ocr_value"))
     joined = left.join(right, ["doc_id", "key"])
     return joined.select("doc_id", "ord", "key", "qr_value", "ocr_value", same(F.col("key"), F.col("qr_value"), F.col("ocr_value")).alias("same"))
 
 
-def statuses(documents: DataFrame, fields: DataFrame, qr: DataFrame) -> DataFrame:
-    """doc_id, status, n_matched and n_conflicts of every document of documents (doc_id)."""
-    counted = compare(fields, qr).groupBy("doc_id").agg(F.count_if("same").alias("m"), F.count_if(~F.col("same")).alias("c"))
+def statuses(documents: DataFrame, fields: DataFrame, qr: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, status, n_matched and n_conflicts of every document of documents (doc_id). keys: as in compare()."""
+    counted = compare(fields, qr, keys).groupBy("doc_id").agg(F.count_if("same").alias("m"), F.count_if(~F.col("same")).alias("c"))
     m, c = F.coalesce("m", F.lit(0)), F.coalesce("c", F.lit(0))
     return documents.select("doc_id").join(counted, "doc_id", "left").select("doc_id", _status(m, c).alias("status"), m.alias("n_matched"), c.alias("n_conflicts"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipmill.functions import patterns as P
+from slipmill.functions import qr
 from slipmill.functions.dialect import settled
 from slipmill.functions.qr import compact_date, plain_amount, qr_fields
 from slipmill.functions.receipts import clean_tax_no, cn_amount, cn_integer, kind_of, vat_names, vat_values
@@ -148,13 +149,13 @@ def verify_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verify_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _checked(spark, sf_dir)
     fields = pipeline.long_fields(pipeline.text_documents(rows, kinds=(P.VAT,)))
-    return verify.statuses(rows, fields, pipeline.inlined(rows, qr_fields(F.col("raw"))))
+    return verify.statuses(rows, fields, pipeline.inlined(rows, qr_fields(F.col("raw"))), qr.KEYS)
 
 
 def verify_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _checked(spark, sf_dir)
     fields = pipeline.long_fields(pipeline.text_documents(rows, kinds=(P.VAT,)))
-    return verify.compare(fields, pipeline.inlined(rows, qr_fields(F.col("raw")))).where("not same").drop("same")
+    return verify.compare(fields, pipeline.inlined(rows, qr_fields(F.col("raw"))), qr.KEYS).where("not same").drop("same")
 
 
 def verify_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

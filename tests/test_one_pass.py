@@ -59,3 +59,13 @@ def test_equal_values_and_dates_in_few_searches(spark):
         assert all(r[0] == r[1] for r in df.select(verify.same(k, F.col("a"), F.col("b")), verify.normal(k, F.col("a")) == verify.normal(k, F.col("b"))).collect())
     plan = df.select(compact_date(F.col("a")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") == 0
+
+
+def test_fields_that_no_payload_can_hold_are_not_moved(spark):
+    from slipmill.functions import qr
+    from slipmill.operators import verify
+
+    fields = spark.createDataFrame([("a", k, "1") for _, names in P.FIELDS.items() for k, _ in names] + [("a", "invoice_type", "10"), ("b", "invoice_no", " ")], "doc_id string, key string, value string")
+    payloads = spark.createDataFrame([("a", i, k, "1") for i, k in enumerate(qr.KEYS)] + [("b", 0, "invoice_no", "1")], "doc_id string, ord int, key string, value string")
+    got, want = (sorted(verify.compare(fields, payloads, keys).collect()) for keys in (qr.KEYS, None))
+    assert got == want and len(got) == 5
