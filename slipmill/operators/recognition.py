@@ -2,8 +2,8 @@
 
 A row is an image until its lines are straightened, then a line. Models are functions of arrays that ``engine.cached`` loads once in a Python worker. Score maps and
 class scores do not leave the worker: boxes come out of detection, the run-length code of the best path out of recognition. Order, sizes, regions and decoding
-are native columns. Nothing is shuffled, but for ``Settings.batched``: then segments of lines of all documents are dealt out by width, read in batches of
-like width, and put together by line.
+are native columns. Nothing is shuffled. ``Settings.batched`` reads segments of lines in batches of like width over documents: each worker sorts those of the lines
+it is given by width, POOL bytes at a time, and puts the lines together again.
 
 Rows whose image is null or has no pixels have no boxes; ``pipeline.image_documents`` makes them error rows. ``Settings`` says how: detection_limit, line_width,
 cell_threshold, component_mean, batched, regions.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,12 +27,22 @@ from slipmill.operators.engine import Settings, cached
 TURN_HEIGHT, TURN_WIDTH, BATCH_CONFIDENCE, HELD = 48, 192, 0.8, 4_000_000
 #: Bytes of a batch that Spark sends to a worker; images are some 100 KB, and a worker holds several copies of a batch.
 BATCH_BYTES = 4 << 20
+#: Bytes of segments that a worker pools before it reads them, enough to fill buckets; bytes that a segment takes besides its pixels.
+POOL, OBJECTS = 16_000_000, 1_000
 _KEEP, _KEPT = ["doc_id", "line_no", "cx", "cy", "w", "h"], "doc_id string, line_no int, cx float, cy float, w float, h float"
-_CUT = f"{_KEPT}, segment int, width int, part {images.GRAY}"
+_READ = f"{_KEPT}, paths array<{sequences.PATH}>"
 Frames = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 _PLACED = "array<struct<w:double,h:double,a:int,cx:double,cy:double,x:double,y:double>>"
 
 
+class _Segment(NamedTuple):
+    """A part of a line: its width, the line's place in the pool, its pixels."""
+
+    width: int
+    row: int
+    part: np.ndarray
+
+
 def bounded(spark: SparkSession) -> None:
     """Lowers the session's spark.sql.execution.arrow.maxBytesPerBatch to BATCH_BYTES; a lower one stays. Only how rows are grouped on their way to workers depends on it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -171,9 +182,9 @@ def _reading(load: Callable[[], Callable], settings: Settings) -> Frames:
 def read(straight: DataFrame, load: Callable[[], Callable], characters: list[str], settings: Settings = Settings()) -> DataFrame:
     """straightened()'s rows with text and confidence instead of line. load gives a function of an n x 3 x 48 x w tensor that returns n x steps x
     classes scores. Lines wider than line_width are squeezed to it; batched: they are cut in gaps between characters, segments of like width are
-    read together whatever document they come from, and the confidence is a constant."""
+    read together whatever document of the worker's pool they come from, and the confidence is a constant."""
     if settings.batched:
-        return _joined(read_segments(segments(straight, settings.line_width), load), characters)
+        return _joined(straight.select(*_KEEP, "line").mapInPandas(_reading_together(load, settings.line_width), _READ), characters)
     return _texts(straight.select(*_KEEP, "line").mapInPandas(_reading(load, settings), f"{_KEPT}, path {sequences.PATH}"), characters)
 
 
@@ -182,27 +193,6 @@ def _texts(rows: DataFrame, characters: list[str]) -> DataFrame:
     return rows.select(*_KEEP, F.col("p.text").alias("text"), F.col("p.confidence").cast("float").alias("confidence"))
 
 
-def _cutting(most: int) -> Frames:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out, held = [], 0
-            for row in pdf[[*_KEEP, "line"]].itertuples(index=False):
-                for k, part in enumerate(_parts(images.pixels(row.line), most)):
-                    out.append((*row[:-1], k, part.shape[1], images.gray(part)))
-                    held += part.nbytes
-                if held > HELD:
-                    yield pd.DataFrame(out, columns=[*_KEEP, "segment", "width", "part"])
-                    out, held = [], 0
-            yield pd.DataFrame(out, columns=[*_KEEP, "segment", "width", "part"])
-
-    return run
-
-
-def segments(straight: DataFrame, most: int = lines.MAX_WIDTH) -> DataFrame:
-    """straightened()'s rows cut in gaps between characters: segment (from 0), width and part (a gray image of the recognition height, at most `most` wide) instead of line."""
-    return straight.select(*_KEEP, "line").mapInPandas(_cutting(most), _CUT)
-
-
 def _parts(a: np.ndarray, most: int) -> Iterator[np.ndarray]:
     """The segments of a line at the recognition height, each at most `most` wide."""
     scale = max(a.shape[0], 1) / lines.HEIGHT
@@ -214,28 +204,44 @@ def _parts(a: np.ndarray, most: int) -> Iterator[np.ndarray]:
         start = end
 
 
-def read_segments(parts: DataFrame, load: Callable[[], Callable]) -> DataFrame:
-    """segments()'s rows with path (the best path's run-length code) instead of part. Rows are dealt out by width, those of equal width by a hash, and sorted; a task reads them as a
-    stream of buckets (``lines.bucketed``), which go on over Arrow batches and end with the task."""
+def _reading_together(load: Callable[[], Callable], most: int) -> Frames:
     get = cached(load)
-    keep = [*_KEEP, "segment"]
-    order = [F.col("width"), F.xxhash64("doc_id", "line_no", "segment"), *(F.col(c) for c in ("doc_id", "line_no", "segment"))]
-    dealt = parts.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = get()
-        for bucket in lines.bucketed(row for pdf in frames for row in pdf[[*keep, "width", "part"]].itertuples(index=False)):
-            scores = np.asarray(model(images.stacked([images.pixels(r.part) for r in bucket], lines.HEIGHT)), np.float32)
-            yield pd.DataFrame([(*r[: len(keep)], sequences.best_path(s)) for r, s in zip(bucket, scores, strict=True)], columns=[*keep, "path"])
+        rows, pool, held = [], [], 0
+        for pdf in frames:
+            for row in pdf[[*_KEEP, "line"]].itertuples(index=False):
+                for part in _parts(images.pixels(row.line), most):
+                    pool.append(_Segment(part.shape[1], len(rows), part))
+                    held += part.nbytes + OBJECTS
+                rows.append(row[:-1])
+                if held > POOL:
+                    yield _read_pool(model, rows, pool)
+                    rows, pool, held = [], [], 0
+        yield _read_pool(model, rows, pool)
 
-    return dealt.select(*keep, "width", "part").mapInPandas(run, f"{_KEPT}, segment int, path {sequences.PATH}")
+    return run
 
 
-def _joined(paths: DataFrame, characters: list[str]) -> DataFrame:
-    """Lines of read_segments()'s rows: the texts of a line's segments in order. A line has few segments."""
-    parts = F.array_sort(F.collect_list(F.struct("segment", "path")))
-    rows = paths.groupBy(*_KEEP).agg(parts.alias("p"))
-    text = F.array_join(F.transform("p", lambda p: sequences.decoded_path(p["path"], characters)["text"]), "")
+def _read_pool(model: Callable, rows: list[tuple], pool: list[_Segment]) -> pd.DataFrame:
+    """rows with the best paths of their segments, in the order in which these stand in the pool."""
+    paths: list = [None] * len(pool)
+    order = sorted(range(len(pool)), key=lambda k: pool[k].width)
+    at = iter(order)
+    for bucket in lines.bucketed(pool[k] for k in order):
+        scores = np.asarray(model(images.stacked([s.part for s in bucket], lines.HEIGHT)), np.float32)
+        for _, s in zip(bucket, scores, strict=True):
+            paths[next(at)] = sequences.best_path(s)
+    of: list[list] = [[] for _ in rows]
+    for segment, path in zip(pool, paths, strict=True):
+        of[segment.row].append(path)
+    return pd.DataFrame(rows, columns=_KEEP).assign(paths=of)
+
+
+def _joined(rows: DataFrame, characters: list[str]) -> DataFrame:
+    """Lines of _reading_together()'s rows: the texts of a line's segments in order."""
+    text = F.array_join(F.transform("paths", lambda p: sequences.decoded_path(p, characters)["text"]), "")
     return rows.select(*_KEEP, text.alias("text"), F.lit(BATCH_CONFIDENCE).cast("float").alias("confidence"))
 
 
@@ -244,10 +250,10 @@ def recognise(pictures: DataFrame, detect: Callable[[], Callable], load: Callabl
     """Boxes (doc_id, line_no, text, confidence, x, y, w, h; places in shares of the image) of pictures (doc_id, image): of all lines that hold text."""
     bounded(pictures.sparkSession)
     places, straight = _places(located(pictures, detect, settings)), _straightening(orient)
-    # Lines are read, or cut to segments, where they are straightened: no third worker holds them.
+    # Lines are read where they are straightened: no third worker holds them.
     if settings.batched:
-        cut = _cutting(settings.line_width)
-        read_ = _joined(read_segments(places.mapInPandas(lambda frames: cut(straight(frames)), _CUT), load), characters)
+        together = _reading_together(load, settings.line_width)
+        read_ = _joined(places.mapInPandas(lambda frames: together(straight(frames)), _READ), characters)
     else:
         reading = _reading(load, settings)
         read_ = _texts(places.mapInPandas(lambda frames: reading(straight(frames)), f"{_KEPT}, path {sequences.PATH}"), characters)

@@ -46,7 +46,7 @@ def image_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of the lines of all images, read in batches of like width over all documents."""
+    """Texts of the lines of all images, read in batches of like width over documents."""
     read = recognition.recognise(pictures(spark, sf_dir), lambda: glyphs.detector(), glyphs.reader(), glyphs.ALPHABET, lambda: glyphs.orienter(), Settings(batched=True))
     return read.select("doc_id", "text", F.round(F.col("confidence").cast("double"), 3).alias("confidence"))
 

@@ -142,3 +142,57 @@ def test_batches_of_images_are_bounded(spark, stated, left):
         assert sorted(r.text for r in rows) == sorted(recognition.read(recognition.straightened(recognition.located(df, MODELS[0]), MODELS[3]), *MODELS[1:3]).where("text <> ''").toPandas()["text"])
     finally:
         spark.conf.unset(key)
+
+
+def test_batched_reading_finds_each_image_once_and_moves_no_pixels(spark, capfd):
+    found = spark.sparkContext.accumulator(0)
+
+    def detect():
+        model = glyphs.detector()
+
+        def run(tensor):
+            found.add(1)
+            return model(tensor)
+
+        return run
+
+    texts = [t for t in TEXTS if t] * 5
+    df = recognition.recognise(table(spark, texts).repartition(3), detect, *MODELS[1:], settings=Settings(line_width=2600, batched=True))
+    assert sorted(r.text for r in df.collect()) == sorted(t for page in texts for t in page)
+    assert found.value == len(texts)
+    capfd.readouterr()
+    recognition.recognise(table(spark, texts), *MODELS, settings=Settings(batched=True)).explain()
+    plan = capfd.readouterr().out
+    assert "MapInPandas" in plan and "Exchange" not in plan
+
+
+def test_segments_wait_in_a_pool_of_bounded_size(monkeypatch):
+    rng = random.Random(9)
+    pages = [["".join(rng.choice(glyphs.ALPHABET) for _ in range(rng.randrange(1, 40)))] for _ in range(120)]
+    rows = [(f"d{k}", 0, 0.5, 0.5, 1.0, 1.0, images.gray(np.where(np.pad(glyphs.line(t), ((3, 4), (30, 31))), 0, 255).astype(np.uint8))) for k, [t] in enumerate(pages)]
+    taken, sizes = [], []
+
+    def frames():
+        for k in range(0, 120, 4):
+            taken.append(k)
+            yield pd.DataFrame(rows[k : k + 4], columns=[*recognition._KEEP, "line"])
+
+    def load():
+        model = glyphs.reader()()
+        return lambda tensor: sizes.append(len(tensor)) or model(tensor)
+
+    def read(pool):
+        monkeypatch.setattr(recognition, "POOL", pool)
+        taken.clear()
+        sizes.clear()
+        out, seen = [], []
+        for pdf in recognition._reading_together(load, 640)(frames()):
+            out += [(r.doc_id, "".join(glyphs.ALPHABET[c - 1] for p in r.paths for c, _, _ in p if c)) for r in pdf.itertuples()]
+            seen.append(len(taken))
+        return out, seen
+
+    want = [(f"d{k}", t) for k, [t] in enumerate(pages)]
+    small, seen = read(200_000)
+    assert small == want and len(seen) > 10 and seen[0] <= 4 and max(b - a for a, b in zip(seen, seen[1:])) <= 4
+    whole, seen = read(1 << 40)
+    assert whole == want and len(seen) == 1 and max(sizes) > 4
