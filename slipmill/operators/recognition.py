@@ -174,7 +174,7 @@ def _reading(load: Callable[[], Callable], settings: Settings) -> Frames:
         model = get()
         for pdf in frames:
             paths = [sequences.best_path(np.asarray(model(images.recognition_tensor(images.pixels(i), lines.HEIGHT, settings.line_width)[None]), np.float32)[0]) for i in pdf["line"]]
-            yield pdf[_KEEP].assign(path=paths)
+            yield pdf[_KEEP].assign(path=pd.Series(paths, pdf.index, dtype=object))  # an empty list would be a column of numbers
 
     return run
 
@@ -236,7 +236,7 @@ def _read_pool(model: Callable, rows: list[tuple], pool: list[_Segment]) -> pd.D
     of: list[list] = [[] for _ in rows]
     for segment, path in zip(pool, paths, strict=True):
         of[segment.row].append(path)
-    return pd.DataFrame(rows, columns=_KEEP).assign(paths=of)
+    return pd.DataFrame([(*row, p) for row, p in zip(rows, of, strict=True)], columns=[*_KEEP, "paths"])
 
 
 def _joined(rows: DataFrame, characters: list[str]) -> DataFrame:

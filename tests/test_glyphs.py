@@ -196,3 +196,8 @@ def test_segments_wait_in_a_pool_of_bounded_size(monkeypatch):
     assert small == want and len(seen) > 10 and seen[0] <= 4 and max(b - a for a, b in zip(seen, seen[1:])) <= 4
     whole, seen = read(1 << 40)
     assert whole == want and len(seen) == 1 and max(sizes) > 4
+
+
+@pytest.mark.parametrize("batched", [False, True])
+def test_tasks_without_lines(spark, batched):
+    assert read(table(spark, [[], [], ["A1"], []]), batched=batched) == {"d2": ["A1"]}
