@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from slipmill.functions.dialect import let
 from slipmill.operators.graph import components as components_of
 from slipmill.operators.graph import kept
+from slipmill.operators.images import Room
 
 #: Score over which a cell counts, least cells and least mean score of a component, growth of its box.
 CELL, LEAST_CELLS, LEAST_MEAN, GROWTH = 0.3, 3, 0.5, 1.5
+#: For what does not leave the functions of this module.
+_ROOM = Room()
 
 
 def cells(maps: DataFrame, threshold: float = CELL) -> DataFrame:
@@ -29,16 +32,27 @@ def nearest(scores: Column, h: Column, w: Column, to_h: int, to_w: int) -> Colum
     return F.transform(F.sequence(F.lit(0), F.lit(to_h * to_w - 1)), lambda i: F.get(scores, place(i).cast("int")))
 
 
-def _labels(mask: np.ndarray) -> np.ndarray:
-    """8-neighbour components: for each cell the raster index of the component's first cell, -1 outside. Runs of cells in a row are joined with the
-    runs that touch them in the row above; a run's root is the earliest of its component."""
+def runs(mask: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first column and end (one past the last column) of every run of at least so many true cells in a row, in raster order."""
     h, w = mask.shape
-    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, start = np.nonzero(edge == 1)
-    end = np.nonzero(edge == -1)[1]
-    out = np.full((h, w), -1)
-    if not len(row):
-        return out
+    wide = _ROOM("wide", bool)(h, w + 2)
+    wide[:, 0] = wide[:, -1] = False
+    wide[:, 1:-1] = mask
+    flat = wide.reshape(-1)
+    turn = np.flatnonzero(np.not_equal(flat[1:], flat[:-1], out=_ROOM("turn", bool)(max(flat.size - 1, 0))))  # into a run and out of it by turns, as rows begin and end outside
+    start, end = turn[::2], turn[1::2]
+    if least > 1:
+        long = end - start >= least
+        start, end = start[long], end[long]
+    row = start // (w + 2)
+    return row, start - row * (w + 2), end - row * (w + 2)
+
+
+def _rooted_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """runs() of a map and, for each, the raster index of the first cell of its 8-neighbour component. Runs are joined with those that touch them in the row above;
+    a run's root is the earliest of its component."""
+    w = mask.shape[1]
+    row, start, end = runs(mask)
     above, touch = row * (w + 2) + start, row * (w + 2) + end
     low = np.searchsorted(touch, (row - 1) * (w + 2) + start, side="left")
     high = np.searchsorted(above, (row - 1) * (w + 2) + end, side="right")
@@ -54,20 +68,28 @@ def _labels(mask: np.ndarray) -> np.ndarray:
         np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
         while not np.array_equal(step := root[root], root):
             root = step
-    first = (row * w + start)[root]
+    return row, start, end, (row * w + start)[root]
+
+
+def _labels(mask: np.ndarray) -> np.ndarray:
+    """For each cell the raster index of the first cell of its 8-neighbour component, -1 outside."""
+    out = np.full(mask.shape, -1)
+    _, start, end, first = _rooted_runs(mask)
     out[mask] = np.repeat(first, end - start)
     return out
 
 
 def component_cells(scores: np.ndarray, h: int, w: int, threshold: float = CELL) -> list[dict]:
-    """n, mean and cells (raster indices) of every component of one map, by first cell."""
+    """n, mean and cells (raster indices) of every component of one map, by first cell. Runs are sorted by component, not cells."""
     if not h or not w or len(scores) < h * w:
         return []
-    label = _labels(scores[: h * w].reshape(h, w) > np.float32(threshold)).reshape(-1)
-    at = np.flatnonzero(label >= 0)
-    at = at[np.argsort(label[at], kind="stable")]
-    parts = np.split(at, np.flatnonzero(np.diff(label[at])) + 1) if len(at) else []
-    return [{"n": len(p), "mean": float(scores[p].astype(np.float64).mean()), "cells": p.astype(np.int32)} for p in parts]
+    row, start, end, first = _rooted_runs(np.greater(scores[: h * w].reshape(h, w), np.float32(threshold), out=_ROOM("over", bool)(h, w)))
+    order = np.argsort(first, kind="stable")
+    first, size = first[order], (end - start)[order]
+    upto = np.cumsum(size)
+    at = (np.repeat((row * w + start)[order] - (upto - size), size) + np.arange(size.sum())).astype(np.int32)
+    found, end = scores[at].astype(np.float64), [*upto[np.flatnonzero(np.diff(first))].tolist(), len(at)]
+    return [{"n": e - s, "mean": float(found[s:e].mean()), "cells": at[s:e]} for s, e in zip([0, *end[:-1]], end, strict=True) if e > s]
 
 
 def hull(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,14 +115,23 @@ def hull(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[:, 0], found[:, 1]
 
 
+#: Up to so many rows, finding the hull takes longer than it saves.
+FEW_ROWS = 64
 _DEGREES = np.arange(180)
 _COS, _SIN = np.cos(np.radians(_DEGREES))[:, None], np.sin(np.radians(_DEGREES))[:, None]
 
 
 def least_box(cells: np.ndarray, width: int) -> dict:
-    """smallest_box() of one component's cells, with NumPy over the corners of their hull."""
+    """smallest_box() of one component's cells (in raster order), with NumPy over the outermost cells of few rows, or the corners of the hull of many: both have the
+    extents of all cells in every direction."""
     counted = cells[:: max(len(cells) // 500, 1)]
-    x, y = hull(counted % width, counted // width)
+    y, x = np.divmod(counted, width)
+    first = np.flatnonzero(np.diff(y, prepend=-1))  # cells stand row by row
+    if len(first) <= FEW_ROWS:
+        ends = np.concatenate([first, np.append(first[1:], len(y)) - 1])
+        x, y = x[ends], y[ends]
+    else:
+        x, y = hull(x, y)
     u, v = x * _COS + y * _SIN, y * _COS - x * _SIN
     left, right, top, bottom = u.min(axis=1), u.max(axis=1), v.min(axis=1), v.max(axis=1)
     w, h = right - left, bottom - top

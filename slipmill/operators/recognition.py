@@ -17,9 +17,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+from slipmill.functions.dialect import settled
 from slipmill.operators import geometry, images, lines, maps, sequences
 from slipmill.operators.engine import Settings, cached
 
@@ -35,6 +37,10 @@ Frames = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 _PLACED = "array<struct<w:double,h:double,a:int,cx:double,cy:double,x:double,y:double>>"
 
 
+#: For inputs of models, which hold until a model's next call.
+_ROOM = images.Room()
+
+
 class _Segment(NamedTuple):
     """A part of a line: its width, the line's place in the pool, its pixels."""
 
@@ -53,11 +59,13 @@ def bounded(spark: SparkSession) -> None:
 
 def _map(image: dict, model: Callable, limit: int) -> tuple[np.ndarray, float, float]:
     """The score map of an image, as large as the model's input, and the scales from it to the image."""
-    tensor, x, y = images.detection_tensor(images.pixels(image), limit)
+    tensor, x, y = images.detection_tensor(images.pixels(image), limit, empty=_ROOM("detection"))
     found = np.asarray(model(tensor[None]), np.float32)
     if found.ndim < 2:
         raise ValueError(f"a map of {found.ndim} dimensions")
     h, w = tensor.shape[1:]
+    if found.shape[-2:] == (h, w):
+        return found.reshape(-1, h, w)[0], x, y
     rows, cols = (np.minimum(np.arange(n) * size // n, size - 1) for n, size in ((h, found.shape[-2]), (w, found.shape[-1])))
     return found.reshape(-1, *found.shape[-2:])[0][rows][:, cols], x, y
 
@@ -74,7 +82,7 @@ def detected(pictures: DataFrame, load: Callable[[], Callable], settings: Settin
             out, held = [], 0
             for doc_id, image in zip(pdf["doc_id"], pdf["image"], strict=True):
                 scores, x, y = _map(image, model, settings.detection_limit)
-                out.append((doc_id, image, *scores.shape, scores.reshape(-1), x, y))
+                out.append((doc_id, image, *scores.shape, scores.flatten(), x, y))  # a copy: models may use their maps again
                 held += scores.nbytes
                 if held > HELD:
                     yield pd.DataFrame(out, columns=columns)
@@ -86,14 +94,15 @@ def detected(pictures: DataFrame, load: Callable[[], Callable], settings: Settin
 
 
 def _in_order(found: DataFrame, settings: Settings, offset_x: float = 0.0, offset_y: float = 0.0) -> DataFrame:
-    """doc_id, image and quads of found (doc_id, image, b: boxes in the map and scales)."""
+    """quads of found (image, b: boxes in the map and scales, and other columns) instead of b."""
+    rest = [c for c in found.columns if c != "b"]
     place = lambda p, b: F.struct(((p["x"] - offset_x) * b["x"]).alias("x"), ((p["y"] - offset_y) * b["y"]).alias("y"))
     quad = lambda b: F.transform(geometry.corners(b["cx"], b["cy"], b["w"] * maps.GROWTH, b["h"] * maps.GROWTH, F.radians(b["a"].cast("double"))), lambda p: place(p, b))
-    out = found.select("doc_id", "image", F.transform("b", quad).alias("q"))
+    out = found.select(*rest, F.transform("b", quad).alias("q"))
     if settings.regions:
         middle = lambda q: geometry.centre(q)
         out = out.withColumn("q", F.filter("q", lambda q: geometry.in_regions(middle(q)["x"], middle(q)["y"], F.col("image.width"), F.col("image.height"))))
-    return out.select("doc_id", "image", F.transform(geometry.reading_order(F.col("q")), lambda i: F.get(F.col("q"), i)).alias("quads"))
+    return out.select(*rest, F.transform(geometry.reading_order(F.col("q")), lambda i: F.get(F.col("q"), i)).alias("quads"))
 
 
 def _kept(scores: np.ndarray, h: int, w: int, x: float, y: float, settings: Settings) -> list[dict]:
@@ -111,8 +120,7 @@ def boxed(found: DataFrame, settings: Settings = Settings(), offset_x: float = 0
     return _in_order(found.select("doc_id", "image", boxes("scores", "h", "w", "scale_x", "scale_y").alias("b")), settings, offset_x, offset_y)
 
 
-def located(pictures: DataFrame, load: Callable[[], Callable], settings: Settings = Settings()) -> DataFrame:
-    """boxed() of detected() in one call of the worker, which holds one map at a time and gives boxes; pictures without pixels have null quads."""
+def _finding(load: Callable[[], Callable], settings: Settings) -> Callable[[str], Column]:
     get = cached(load)
 
     @F.pandas_udf(_PLACED)
@@ -126,14 +134,29 @@ def located(pictures: DataFrame, load: Callable[[], Callable], settings: Setting
             out.append(_kept(scores.reshape(-1), *scores.shape, x, y, settings))
         return pd.Series(out, dtype=object)
 
-    return _in_order(pictures.select("doc_id", "image", boxes("image").alias("b")), settings)
+    return boxes
+
+
+def located(pictures: DataFrame, load: Callable[[], Callable], settings: Settings = Settings()) -> DataFrame:
+    """boxed() of detected() in one call of the worker, which holds one map at a time and gives boxes; pictures without pixels have null quads."""
+    return _in_order(pictures.select("doc_id", "image", _finding(load, settings)("image").alias("b")), settings)
 
 
 def _places(boxes: DataFrame) -> DataFrame:
-    """doc_id, image and places (centre, sides and angle of every box of at least 2 x 2 pixels)."""
+    """places (centre, sides and angle of every box of at least 2 x 2 pixels) of boxes (quads and other columns) instead of quads."""
     each = F.transform("quads", lambda q: F.struct(geometry.centre(q).alias("c"), geometry.size(q).alias("s"), geometry.angle(q).alias("a")))
     flat = F.transform(F.filter(each, lambda b: (b["s"]["w"] >= 2) & (b["s"]["h"] >= 2)), lambda b: F.array(b["c"]["x"], b["c"]["y"], b["s"]["w"], b["s"]["h"], b["a"]))
-    return boxes.select("doc_id", "image", flat.alias("places"))
+    return boxes.select(*(c for c in boxes.columns if c != "quads"), flat.alias("places"))
+
+
+def _lines_of(image: dict, places: np.ndarray, turn: Callable | None) -> list[np.ndarray]:
+    """The lines of an image, cut along their places; those that stand on their heads are turned."""
+    a = images.pixels(image)
+    parts = [images.turned_cut(a, cx, cy, int(w), int(h), angle) for cx, cy, w, h, angle in places]
+    if turn and parts:
+        scores = np.asarray(turn(images.stacked([images.resized(p, TURN_WIDTH, TURN_HEIGHT) for p in parts], TURN_HEIGHT, _ROOM("orientation"))), np.float64)
+        parts = [p[::-1, ::-1] if sequences.turned(s) else p for p, s in zip(parts, scores, strict=True)]
+    return parts
 
 
 def _straightening(orient: Callable[[], Callable] | None) -> Frames:
@@ -145,12 +168,7 @@ def _straightening(orient: Callable[[], Callable] | None) -> Frames:
             for doc_id, image, places in zip(pdf["doc_id"], pdf["image"], pdf["places"], strict=True):
                 if places is None or not len(places) or not images.has_pixels(image):
                     continue
-                a = images.pixels(image)
-                parts = [images.turned_cut(a, cx, cy, int(w), int(h), angle) for cx, cy, w, h, angle in places]
-                if get and parts:
-                    scores = np.asarray(get()(np.stack([images.orientation_tensor(p, TURN_HEIGHT, TURN_WIDTH) for p in parts])), np.float64)
-                    parts = [p[::-1, ::-1] if sequences.turned(s) else p for p, s in zip(parts, scores, strict=True)]
-                for k, (part, (cx, cy, w, h, _)) in enumerate(zip(parts, places, strict=True)):
+                for k, (part, (cx, cy, w, h, _)) in enumerate(zip(_lines_of(image, places, get and get()), places, strict=True)):
                     out.append((doc_id, k, cx / image["width"], cy / image["height"], w / image["width"], h / image["height"], images.gray(part)))
                     held += part.size
                 if held > HELD:
@@ -167,13 +185,17 @@ def straightened(boxes: DataFrame, orient: Callable[[], Callable] | None = None)
     return _places(boxes).mapInPandas(_straightening(orient), f"{_KEPT}, line {images.GRAY}")
 
 
+def _line_scores(model: Callable, a: np.ndarray, most: int) -> np.ndarray:
+    return np.asarray(model(images.recognition_tensor(a, lines.HEIGHT, most, empty=_ROOM("line"))[None]), np.float32)[0]
+
+
 def _reading(load: Callable[[], Callable], settings: Settings) -> Frames:
     get = cached(load)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = get()
         for pdf in frames:
-            paths = [sequences.best_path(np.asarray(model(images.recognition_tensor(images.pixels(i), lines.HEIGHT, settings.line_width)[None]), np.float32)[0]) for i in pdf["line"]]
+            paths = [sequences.best_path(_line_scores(model, images.pixels(i), settings.line_width)) for i in pdf["line"]]
             yield pdf[_KEEP].assign(path=pd.Series(paths, pdf.index, dtype=object))  # an empty list would be a column of numbers
 
     return run
@@ -226,17 +248,49 @@ def _reading_together(load: Callable[[], Callable], most: int) -> Frames:
 
 def _read_pool(model: Callable, rows: list[tuple], pool: list[_Segment]) -> pd.DataFrame:
     """rows with the best paths of their segments, in the order in which these stand in the pool."""
+    return pd.DataFrame([(*row, p) for row, p in zip(rows, _pool_paths(model, len(rows), pool), strict=True)], columns=[*_KEEP, "paths"])
+
+
+def _pool_paths(model: Callable, n: int, pool: list[_Segment], best: Callable[[np.ndarray], list] = sequences.best_path) -> list[list]:
+    """The best paths, or another sum of the scores, of the segments of each of n lines."""
     paths: list = [None] * len(pool)
     order = sorted(range(len(pool)), key=lambda k: pool[k].width)
     at = iter(order)
     for bucket in lines.bucketed(pool[k] for k in order):
-        scores = np.asarray(model(images.stacked([s.part for s in bucket], lines.HEIGHT)), np.float32)
+        scores = np.asarray(model(images.stacked([s.part for s in bucket], lines.HEIGHT, _ROOM("lines"))), np.float32)
         for _, s in zip(bucket, scores, strict=True):
-            paths[next(at)] = sequences.best_path(s)
-    of: list[list] = [[] for _ in rows]
+            paths[next(at)] = best(s)
+    of: list[list] = [[] for _ in range(n)]
     for segment, path in zip(pool, paths, strict=True):
         of[segment.row].append(path)
-    return pd.DataFrame([(*row, p) for row, p in zip(rows, of, strict=True)], columns=[*_KEEP, "paths"])
+    return of
+
+
+def _reading_images(load: Callable[[], Callable], orient: Callable[[], Callable] | None, settings: Settings) -> Frames:
+    """Rows with lines (the classes that are read in each line's segments; null without pixels) instead of image and places. A batch of images (BATCH_BYTES) is a pool."""
+    get, turn = cached(load), cached(orient) if orient else None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = get()
+        for pdf in frames:
+            found, pool, n = [], [], 0
+            for image, places in zip(pdf["image"], pdf["places"], strict=True):
+                if not images.has_pixels(image):
+                    found.append(None)
+                    continue
+                parts = _lines_of(image, places, turn and turn()) if places is not None else []
+                if settings.batched:
+                    pool += [_Segment(p.shape[1], n + k, p) for k, part in enumerate(parts) for p in _parts(part, settings.line_width)]
+                    found.append(range(n, n + len(parts)))
+                    n += len(parts)
+                else:
+                    found.append([[sequences.best_classes(_line_scores(model, part, settings.line_width))] for part in parts])
+            if settings.batched:
+                of = _pool_paths(model, n, pool, sequences.best_classes)
+                found = [None if at is None else [of[k] for k in at] for at in found]
+            yield pdf.drop(columns=["image", "places"]).assign(lines=pd.Series(found, pdf.index, dtype=object))
+
+    return run
 
 
 def _joined(rows: DataFrame, characters: list[str]) -> DataFrame:
@@ -265,17 +319,40 @@ def recogniser(*models, **how) -> Callable[[DataFrame], DataFrame]:
     return lambda pictures: recognise(pictures, *models, **how)
 
 
-def codes(pictures: DataFrame, load: Callable[[], Callable]) -> DataFrame:
-    """doc_id and raw (null: no code) of pictures (doc_id, image). load gives a function of an h x w x 3 array that returns a text or None. The
-    regions where codes stand are tried in order, then the whole image; blank texts count as none; a fault of the decoder is no code."""
-    get = cached(load)
+def read_images(pictures: DataFrame, detect: Callable[[], Callable], load: Callable[[], Callable], characters: list[str], orient: Callable[[], Callable] | None = None,
+                decode: Callable[[], Callable] | None = None, settings: Settings = Settings()) -> DataFrame:
+    """recognise() and, with decode, codes() in one pass: the columns of pictures but the image, texts (of the lines that hold text, in reading order; null without
+    pixels) and raw. Each image is made and moved once, a row stays a row, and nothing is joined or shuffled."""
     bounded(pictures.sparkSession)
+    rest = [c for c in pictures.columns if c != "image"]
+    raw = [_decoding(decode)("image", images.code_regions(F.col("image.width"), F.col("image.height"))).alias("raw")] if decode else []
+    places = _places(_in_order(pictures.select(*rest, "image", *raw, _finding(detect, settings)("image").alias("b")), settings))
+    kept = StructType([f for f in places.schema.fields if f.name not in ("image", "places")]).add("lines", ArrayType(ArrayType(ArrayType(IntegerType()))))
+    read_ = places.mapInPandas(_reading_images(load, orient, settings), kept)
+    text = lambda line: sequences.spelled(F.flatten(line), characters)
+    return read_.withColumn("texts", settled(F.filter(F.transform("lines", text), lambda t: F.length(t) > 0))).drop("lines")
+
+
+def page_reader(*models, **how) -> Callable[[DataFrame], DataFrame]:
+    """read_images() with everything but the pictures, for ``pipeline.read_documents``."""
+    return lambda pictures: read_images(pictures, *models, **how)
+
+
+def _decoding(load: Callable[[], Callable]) -> Callable[..., Column]:
+    get = cached(load)
 
     @F.pandas_udf("string")
     def decode(image: pd.DataFrame, regions: pd.Series) -> pd.Series:
-        return pd.Series([_decoded(get(), i, r) for i, r in zip(image.to_dict("records"), regions, strict=True)])
+        return pd.Series([_decoded(get(), i, r) for i, r in zip(image.to_dict("records"), regions, strict=True)], dtype=object)
+
+    return decode
+
 
-    return pictures.select("doc_id", decode("image", images.code_regions(F.col("image.width"), F.col("image.height"))).alias("raw"))
+def codes(pictures: DataFrame, load: Callable[[], Callable]) -> DataFrame:
+    """doc_id and raw (null: no code) of pictures (doc_id, image). load gives a function of an h x w x 3 array that returns a text or None. The
+    regions where codes stand are tried in order, then the whole image; blank texts count as none; a fault of the decoder is no code."""
+    bounded(pictures.sparkSession)
+    return pictures.select("doc_id", _decoding(load)("image", images.code_regions(F.col("image.width"), F.col("image.height"))).alias("raw"))
 
 
 def _decoded(model: Callable, image: dict, regions: list) -> str | None:

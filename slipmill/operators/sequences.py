@@ -63,6 +63,22 @@ def decoded_path(path: Column, dictionary: list[str]) -> Column:
     return _joined(F.filter(read, lambda r: r["ch"] != ""))
 
 
+def best_classes(scores: np.ndarray) -> list[int]:
+    """The classes that best_path() reads, without blanks: all that a text needs."""
+    if not scores.size:
+        return []
+    best = scores.argmax(axis=1)
+    new = best != 0
+    new[1:] &= best[1:] != best[:-1]
+    return best[new].tolist()
+
+
+def spelled(classes: Column, dictionary: list[str]) -> Column:
+    """decoded()'s text of best_classes()."""
+    marks = F.array(*(F.lit(c) for c in dictionary)) if dictionary else F.array().cast("array<string>")
+    return F.array_join(F.transform(classes, lambda c: F.coalesce(F.get(marks, c - 1), F.lit(" "))), "")
+
+
 def turned(scores: np.ndarray) -> bool:
     """upside_down() of one row."""
     a, b = np.exp(np.maximum(np.asarray(scores[:2], np.float64), 0))

@@ -12,6 +12,8 @@ from slipmill.plans.text_queries import DAY
 
 #: Lines are up to 20 characters long, which is wider than the usual limit.
 SETTINGS = Settings(line_width=1280)
+#: Partitions of images for each core: an image is some 10 ms of work, so cores that end early get more of them.
+PARTS = 4
 
 
 def _receipt() -> Column:
@@ -24,7 +26,7 @@ def _receipt() -> Column:
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and image of a receipt of every customer: a line of each sixth stands on its head, every fifth has no code, each hundred and first is broken (no pixels)."""
     k = F.col("k")
-    c = render.spread(render.table(spark, sf_dir, "customer")).select(
+    c = render.spread(render.table(spark, sf_dir, "customer"), PARTS).select(
         F.col("c_custkey").cast("string").alias("doc_id"), F.col("c_custkey").alias("k"), F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("no"), F.concat(F.lit("0110"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 8, "0")).alias("code"),
         F.abs(F.col("c_acctbal").cast("decimal(18,2)")).cast("string").alias("amount"), (F.col("c_custkey") % 30 + 1990).cast("string").alias("y"), (F.col("c_custkey") % 12 + 1).cast("string").alias("m"), (F.col("c_custkey") % 28 + 1).cast("string").alias("d"), F.col("c_name").alias("buyer"))
     payload = F.when(k % 5 != 4, render.line("01,10,", F.col("code"), ",", F.when(k % 7 == 0, F.lit("99999999")).otherwise(F.col("no")), ",", F.col("amount"), ",", F.col("y"), F.lpad("m", 2, "0"), F.lpad("d", 2, "0"), ",1"))
@@ -33,8 +35,8 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str, settings: Settings = SETTINGS) -> DataFrame:
-    read = recognition.recogniser(lambda: glyphs.detector(), glyphs.reader(), glyphs.ALPHABET, orient=lambda: glyphs.orienter(), settings=settings)
-    return pipeline.image_documents(pictures(spark, sf_dir), read, lambda images: recognition.codes(images, lambda: glyphs.decoder()))
+    read = recognition.page_reader(lambda: glyphs.detector(again=True), glyphs.reader(again=True), glyphs.ALPHABET, orient=lambda: glyphs.orienter(), decode=lambda: glyphs.decoder(), settings=settings)
+    return pipeline.read_documents(pictures(spark, sf_dir), read)
 
 
 def image_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def image_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of the lines of all images, read in batches of like width over documents."""
-    read = recognition.recognise(pictures(spark, sf_dir), lambda: glyphs.detector(), glyphs.reader(), glyphs.ALPHABET, lambda: glyphs.orienter(), Settings(batched=True))
+    read = recognition.recognise(pictures(spark, sf_dir), lambda: glyphs.detector(again=True), glyphs.reader(again=True), glyphs.ALPHABET, lambda: glyphs.orienter(), Settings(batched=True))
     return read.select("doc_id", "text", F.round(F.col("confidence").cast("double"), 3).alias("confidence"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from slipmill.functions.dialect import blank, trim_u
+from slipmill.functions.dialect import blank, settled, trim_u
 from slipmill.functions.qr import qr_fields
 from slipmill.functions.receipts import FIELD, fields_of, kind_of
 from slipmill.operators.folds import joined
@@ -72,18 +72,36 @@ def with_verification(documents: DataFrame, raw: str) -> DataFrame:
     return read.withColumn("verification", verification(F.coalesce("fields", F.array().cast(FIELD)), F.col("_qr"), F.col(raw))).drop(raw, "_qr")
 
 
-def image_documents(images: DataFrame, recognize: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Records of images (doc_id, image and, as readers give it, error_kind). recognize: images -> boxes (doc_id, line_no, text ...), a DataFrame operator such as
-    ``operators.recognition.recogniser(...)``; decode: images -> payloads (doc_id, raw). Images without pixels are rows with the error_kind that they came with, or Decode."""
+def _faults(images: DataFrame) -> Column:
+    """The error_kind that images came with, or that of those without pixels."""
     broken = F.coalesce(F.length("image.pixels"), F.lit(0)) == 0 if "image" in images.columns else F.lit(False)
     stated = F.col("error_kind") if "error_kind" in images.columns else F.lit(None).cast("string")
-    known = images.select("doc_id", F.coalesce(stated, F.when(broken, BROKEN_IMAGE)).alias("_fault"))
+    return F.coalesce(stated, F.when(broken, BROKEN_IMAGE))
+
+
+def image_documents(images: DataFrame, recognize: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Records of images (doc_id, image and, as readers give it, error_kind). recognize: images -> boxes (doc_id, line_no, text ...), a DataFrame operator such as
+    ``operators.recognition.recogniser(...)``; decode: images -> payloads (doc_id, raw). Images without pixels are rows with the error_kind that they came with, or Decode.
+    Images are read once by each of the two and joined; ``read_documents`` reads them once."""
+    known = images.select("doc_id", _faults(images).alias("_fault"))
     read = known.join(box_text(recognize(images)), "doc_id", "left").select(F.struct("doc_id", "_fault").alias("row"), "raw_text")
     out = text_documents(read, "raw_text", id_col="row")
     out = out.select("doc_id.doc_id", "kind", "fields", "raw_text", F.coalesce("doc_id._fault", "error_kind").alias("error_kind"))
     return verified(out, decode(images) if decode else None)
 
 
+def read_documents(images: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """image_documents() with one operator for texts and codes, in one pass without a join. read: images -> their columns but the image, texts (a list; null or empty:
+    none) and, if it decodes, raw; such as ``operators.recognition.page_reader(...)``. A row stays a row, so repeated and null doc_ids do too."""
+    rows = read(images.select("doc_id", "image", _faults(images).alias("_fault")))
+    lines = F.filter(F.transform("texts", trim_u), lambda t: t != "")
+    scanned = "raw" in rows.columns
+    kept = rows.select(F.struct("doc_id", "_fault", *(["raw"] if scanned else [])).alias("row"), settled(F.when(F.size("texts") > 0, F.array_join(lines, "\n"))).alias("raw_text"))
+    out = text_documents(kept, "raw_text", id_col="row")
+    out = out.select("doc_id.doc_id", "kind", "fields", "raw_text", F.coalesce("doc_id._fault", "error_kind").alias("error_kind"), *(["doc_id.raw"] if scanned else []))
+    return with_verification(out, "raw") if scanned else verified(out, None)
+
+
 def guarded(extract: Callable[[bytes], str]) -> Callable[[Column], Column]:
     """A column function struct(text, fault) from a Python function of one document's bytes; what it raises becomes the fault."""
 

@@ -12,11 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than the session has cores, dealt to all cores: text work costs more than the move. Larger
+def spread(df: DataFrame, parts: int = 1) -> DataFrame:
+    """A scan of fewer partitions than parts for each core of the session, dealt to so many: text work costs more than the move. Larger
     scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    least = df.sparkSession.sparkContext.defaultParallelism * parts
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:

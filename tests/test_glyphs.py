@@ -201,3 +201,34 @@ def test_segments_wait_in_a_pool_of_bounded_size(monkeypatch):
 @pytest.mark.parametrize("batched", [False, True])
 def test_tasks_without_lines(spark, batched):
     assert read(table(spark, [[], [], ["A1"], []]), batched=batched) == {"d2": ["A1"]}
+
+
+def test_image_fields_makes_each_image_once(spark, capfd):
+    from slipmill.plans import image_queries
+
+    image_queries.image_fields(spark, "/root/testdata/sf0.001").explain()
+    plan = capfd.readouterr().out
+    assert plan.count("BatchEvalPython") == 0 and plan.count("ArrowEvalPython") == 2 and plan.count("MapInPandas") == 1  # drawn; boxes and code; read
+    assert "Join" not in plan and plan.count("Exchange") == plan.count("Exchange RoundRobinPartitioning") == 1
+
+
+@pytest.mark.parametrize(("batched", "coded"), [(False, True), (True, False)])
+def test_one_pass_reads_what_two_and_a_join_read(spark, batched, coded):
+    pages = [glyphs.page(t, p, (1,)) for t, p in ((["发票代码：011002200111", "名称：abc#123"], "发票号码：00000001"), ([], "发票代码：1"), (["A1"], None), (["x" * 30], "receipt 1"))]
+    rows = [(f"d{k}", (a.shape[1], a.shape[0], bytearray(a.tobytes())), None) for k, a in enumerate(pages)]
+    rows += [("n", None, None), ("e", (0, 0, bytearray()), None), ("c", (None, None, None), "Stated")]
+    df = spark.createDataFrame(rows, f"doc_id string, image {images.GRAY}, error_kind string").repartition(3)
+    settings, decode = Settings(line_width=1280, batched=batched), (lambda: glyphs.decoder()) if coded else None
+    for images_ in (df, df.drop("error_kind").where("doc_id > 'e'")):
+        two = pipeline.image_documents(images_, recognition.recogniser(*MODELS, settings=settings), (lambda i: recognition.codes(i, decode)) if coded else None)
+        one = pipeline.read_documents(images_, recognition.page_reader(*MODELS[:3], orient=MODELS[3], decode=decode, settings=settings))
+        assert one.columns == two.columns and sorted(one.collect(), key=lambda r: r.doc_id) == sorted(two.collect(), key=lambda r: r.doc_id)
+    assert images_.count() == 1
+
+
+def test_best_classes_spell_what_best_paths_read(spark):
+    rng = np.random.default_rng(8)
+    scores = [rng.integers(0, 3, (n, 5)).astype(np.float32) for n in (0, 1, 2, 30, 60)]
+    df = spark.createDataFrame([(s.tolist(), sequences.best_classes(s)) for s in scores], "s array<array<float>>, c array<int>")
+    for marks in (["a", "", "c"], []):
+        assert all(r.a == r.b for r in df.select(sequences.decoded(F.col("s"), marks)["text"].alias("a"), sequences.spelled(F.col("c"), marks).alias("b")).collect())
