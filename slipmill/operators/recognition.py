@@ -32,7 +32,7 @@ BATCH_BYTES = 4 << 20
 #: Bytes of segments that a worker pools before it reads them, enough to fill buckets; bytes that a segment takes besides its pixels.
 POOL, OBJECTS = 16_000_000, 1_000
 _KEEP, _KEPT = ["doc_id", "line_no", "cx", "cy", "w", "h"], "doc_id string, line_no int, cx float, cy float, w float, h float"
-_READ = f"{_KEPT}, paths array<{sequences.PATH}>"
+_READ = f"{_KEPT}, paths array<array<int>>"
 Frames = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 _PLACED = "array<struct<w:double,h:double,a:int,cx:double,cy:double,x:double,y:double>>"
 
@@ -206,7 +206,7 @@ def read(straight: DataFrame, load: Callable[[], Callable], characters: list[str
     classes scores. Lines wider than line_width are squeezed to it; batched: they are cut in gaps between characters, segments of like width are
     read together whatever document of the worker's pool they come from, and the confidence is a constant."""
     if settings.batched:
-        return _joined(straight.select(*_KEEP, "line").mapInPandas(_reading_together(load, settings.line_width), _READ), characters)
+        return _joined(straight.select(*_KEEP, "line").mapInPandas(_reading_together(load, settings.line_width, sequences.best_classes), _READ), characters)
     return _texts(straight.select(*_KEEP, "line").mapInPandas(_reading(load, settings), f"{_KEPT}, path {sequences.PATH}"), characters)
 
 
@@ -226,7 +226,8 @@ def _parts(a: np.ndarray, most: int) -> Iterator[np.ndarray]:
         start = end
 
 
-def _reading_together(load: Callable[[], Callable], most: int) -> Frames:
+def _reading_together(load: Callable[[], Callable], most: int, best: Callable[[np.ndarray], list] = sequences.best_path) -> Frames:
+    """Lines with what best makes of the scores of each of their segments."""
     get = cached(load)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,16 +240,16 @@ def _reading_together(load: Callable[[], Callable], most: int) -> Frames:
                     held += part.nbytes + OBJECTS
                 rows.append(row[:-1])
                 if held > POOL:
-                    yield _read_pool(model, rows, pool)
+                    yield _read_pool(model, rows, pool, best)
                     rows, pool, held = [], [], 0
-        yield _read_pool(model, rows, pool)
+        yield _read_pool(model, rows, pool, best)
 
     return run
 
 
-def _read_pool(model: Callable, rows: list[tuple], pool: list[_Segment]) -> pd.DataFrame:
-    """rows with the best paths of their segments, in the order in which these stand in the pool."""
-    return pd.DataFrame([(*row, p) for row, p in zip(rows, _pool_paths(model, len(rows), pool), strict=True)], columns=[*_KEEP, "paths"])
+def _read_pool(model: Callable, rows: list[tuple], pool: list[_Segment], best: Callable[[np.ndarray], list]) -> pd.DataFrame:
+    """rows with the best paths (or what else best gives) of their segments, in the order in which these stand in the pool."""
+    return pd.DataFrame([(*row, p) for row, p in zip(rows, _pool_paths(model, len(rows), pool, best), strict=True)], columns=[*_KEEP, "paths"])
 
 
 def _pool_paths(model: Callable, n: int, pool: list[_Segment], best: Callable[[np.ndarray], list] = sequences.best_path) -> list[list]:
@@ -294,9 +295,8 @@ def _reading_images(load: Callable[[], Callable], orient: Callable[[], Callable]
 
 
 def _joined(rows: DataFrame, characters: list[str]) -> DataFrame:
-    """Lines of _reading_together()'s rows: the texts of a line's segments in order."""
-    text = F.array_join(F.transform("paths", lambda p: sequences.decoded_path(p, characters)["text"]), "")
-    return rows.select(*_KEEP, text.alias("text"), F.lit(BATCH_CONFIDENCE).cast("float").alias("confidence"))
+    """Lines of _reading_together()'s rows of classes: the texts of a line's segments in order. The confidence is a constant, so no scores leave the worker."""
+    return rows.select(*_KEEP, settled(sequences.spelled(F.flatten("paths"), characters)).alias("text"), F.lit(BATCH_CONFIDENCE).cast("float").alias("confidence"))
 
 
 def recognise(pictures: DataFrame, detect: Callable[[], Callable], load: Callable[[], Callable], characters: list[str], orient: Callable[[], Callable] | None = None,
@@ -306,7 +306,7 @@ def recognise(pictures: DataFrame, detect: Callable[[], Callable], load: Callabl
     places, straight = _places(located(pictures, detect, settings)), _straightening(orient)
     # Lines are read where they are straightened: no third worker holds them.
     if settings.batched:
-        together = _reading_together(load, settings.line_width)
+        together = _reading_together(load, settings.line_width, sequences.best_classes)
         read_ = _joined(places.mapInPandas(lambda frames: together(straight(frames)), _READ), characters)
     else:
         reading = _reading(load, settings)

@@ -232,3 +232,27 @@ def test_best_classes_spell_what_best_paths_read(spark):
     df = spark.createDataFrame([(s.tolist(), sequences.best_classes(s)) for s in scores], "s array<array<float>>, c array<int>")
     for marks in (["a", "", "c"], []):
         assert all(r.a == r.b for r in df.select(sequences.decoded(F.col("s"), marks)["text"].alias("a"), sequences.spelled(F.col("c"), marks).alias("b")).collect())
+
+
+def test_tensors_of_lines_are_one_channel_seen_three_times():
+    rng = np.random.default_rng(10)
+    parts = [rng.integers(0, 256, (48, w)).astype(np.uint8) for w in (30, 41, 8)]
+    together = images.stacked(parts, 48)
+    assert together.shape == (3, 3, 48, 48) and together.strides[1] == 0
+    for part, t in zip(parts, together, strict=True):
+        want = np.zeros((48, 48), np.float32)
+        want[:, : part.shape[1]] = (part.astype(np.float32) / np.float32(255) - np.float32(0.5)) / np.float32(0.5)
+        assert (t == want).all() and (images.recognition_tensor(part, 48, 640)[:, :, : part.shape[1]] == want[:, : part.shape[1]]).all()
+
+
+@pytest.mark.parametrize("shift", [0.0, 0.5, 0.3])
+def test_level_cuts_are_turned_cuts(shift):
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 256, (40, 60)).astype(np.uint8)
+    y, x = np.mgrid[:20, :31].astype(np.float32)
+    sx, sy = np.float32(40 + shift) + (x - np.float32(15.5)), np.float32(25 + shift) + (y - np.float32(10))
+    x0, y0 = sx.astype(int), sy.astype(int)
+    inside = (sx <= 59) & (sy <= 39)
+    x0, y0, x1, y1, dx, dy = x0.clip(0, 59), y0.clip(0, 39), (x0 + 1).clip(0, 59), (y0 + 1).clip(0, 39), sx - x0, sy - y0
+    value = a[y0, x0] * (1 - dx) * (1 - dy) + a[y0, x1] * dx * (1 - dy) + a[y1, x0] * (1 - dx) * dy + a[y1, x1] * dx * dy
+    assert (images.turned_cut(a, 40 + shift, 25 + shift, 31, 20, 0.0) == np.where(inside, value, 0).astype(np.uint8)).all()
