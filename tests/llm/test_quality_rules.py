@@ -103,3 +103,27 @@ def test_threshold_comes_from_all_of_the_tenth(spark):
     llr = sorted(r.llr for r in R.figures(docs, ratios).collect() if r.doc_id in ids and not r.base_failed)
     at = lambda q: llr[int(p := q * (len(llr) - 1))] + (p - int(p)) * (llr[min(int(p) + 1, len(llr) - 1)] - llr[int(p)])
     assert len(llr) > 30 and abs(R.own_threshold(docs, labels, ratios) - (at(0.5) - 2 * (at(0.5) - at(R.LOW)))) < 1e-9
+
+
+def test_threshold_comes_from_all_trusted_documents_unlearnt(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(24))) for i in range(40)] + [(100 + i, " ".join(f"#x{rng.randrange(90)}|" for _ in range(24))) for i in range(9)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+    tenth = {r.doc_id for r in R.trusted_ids(spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int"), False).collect()}
+    trusted = [i for i in range(40) if i not in tenth]  # none in the tenth: there was no threshold
+    labels = spark.createDataFrame([(i, 1) for i in trusted], "doc_id long, quality int")
+    fold = {r.doc_id: r.fold for r in R.trusted_ids(labels).collect()}
+    assert set(fold) == set(trusted) and len(set(fold.values())) > 1
+    own = {}
+    for k in set(fold.values()):
+        rest = spark.createDataFrame([(i, 1) for i in trusted if fold[i] != k], "doc_id long, quality int")
+        own |= {r.doc_id: r.llr for r in R.figures(frame, R.bucket_ratios(frame, rest, 256)).collect() if fold.get(r.doc_id) == k}
+    assert set(own) == set(trusted)
+    llr = sorted(own.values())
+    at = lambda q: llr[int(p := q * (len(llr) - 1))] + (p - int(p)) * (llr[min(int(p) + 1, len(llr) - 1)] - llr[int(p)])
+    least = at(0.5) - 2 * (at(0.5) - at(R.LOW))
+    ratios = R.bucket_ratios(frame, labels, 256)
+    assert R.own_threshold(frame, labels, ratios) == pytest.approx(least, abs=1e-4)
+    got = R.judge(frame, labels, buckets=256).collect()
+    assert all(r.kept == (r.llr >= least) for r in got if abs(r.llr - least) > 1e-4) and not any(r.kept for r in got if r.doc_id >= 100)
+    assert {r.doc_id: r.llr for r in got} == pytest.approx({r.doc_id: r.llr for r in R.figures(frame, ratios).collect()})
